@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -32,6 +34,36 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared checkpoint folder and read it back.
+
+    Used instead of ``checkpoint()`` where the plan is costly: it computes the rows once, keeps them compressed, and
+    the copy survives lost executors. The folder is removed when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/aerolith-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the JVM may be gone by now
+        pass
+
+
+#: A side is broadcast only after its rows were counted and found to take no more than this.
+BROADCAST_BYTES = 16 << 20
+
+
+def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` (cheap to count: a table just written), marked for broadcast if it is small enough, else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the executors once per application, so that kernels import it there.
 

@@ -10,6 +10,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolith.llm.exact_dedup import exact_groups
+from aerolith.llm.simhash_dedup import simhash_groups
 from aerolith.llm.token_counts import token_counts
 
 
@@ -31,8 +33,27 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), budget=2048)
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = exact_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=3)
+    return groups.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op7_simhash_dedup": op7_simhash_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
+        FROM d JOIN g USING (t)
+    """,
+}
