@@ -39,27 +39,52 @@ def recipes(docs: DataFrame, min_chars: int = 768, max_chars: int = 8192) -> Dat
 
 
 def chunk_store(recipe_rows: DataFrame) -> DataFrame:
-    """Distinct chunks: chunk_id, n_bytes, n_uses, first_row. Fails on an identifier that stands for two chunks."""
+    """Distinct chunks: chunk, n_bytes, n_uses and the verified identifier (first_row, first_pos), where it stood first.
+
+    Fails if one digest ever stood for two chunks.
+    """
     same = (F.min("c.check") == F.max("c.check")) & (F.min("c.n") == F.max("c.n"))
+    first = F.when(F.col("same"), F.col("first")).otherwise(F.raise_error(F.lit("two chunks share a digest")).cast("struct<row_uid:bigint,pos:int>"))
     return (
-        recipe_rows.select("row_uid", F.explode("recipe").alias("c"))
-        .groupBy(F.col("c.id").alias("chunk_id"))
-        .agg(F.min("c.n").alias("n_bytes"), F.count(F.lit(1)).alias("n_uses"), F.min("row_uid").alias("first_row"), same.alias("verified"))
-        .withColumn("n_bytes", F.when(F.col("verified"), F.col("n_bytes")).otherwise(F.raise_error(F.lit("two chunks share an identifier"))))
-        .drop("verified")
+        recipe_rows.select("row_uid", F.posexplode("recipe").alias("pos", "c"))
+        .groupBy(F.col("c.id").alias("chunk"))
+        .agg(F.min("c.n").alias("n_bytes"), F.count(F.lit(1)).alias("n_uses"), F.min(F.struct("row_uid", "pos")).alias("first"), same.alias("same"))
+        .select("chunk", "n_bytes", "n_uses", first.alias("first"))
+        .select("chunk", "n_bytes", "n_uses", F.col("first.row_uid").alias("first_row"), F.col("first.pos").alias("first_pos"))
     )
 
 
+def identified(recipe_rows: DataFrame) -> DataFrame:
+    """``recipe_rows`` with ``ids``, the ordered list of verified identifiers, and ``new_bytes``."""
+    uses = recipe_rows.select("row_uid", F.posexplode("recipe").alias("pos", "c")).select("row_uid", "pos", F.col("c.id").alias("chunk"))
+    new = (F.col("first_row") == F.col("row_uid")) & (F.col("first_pos") == F.col("pos"))
+    lists = (
+        uses.join(chunk_store(recipe_rows), "chunk")
+        .groupBy("row_uid")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "first_row", "first_pos"))).alias("ids"), F.sum(F.when(new, F.col("n_bytes"))).alias("new_bytes"))
+        .withColumn("ids", F.transform("ids", lambda c: F.struct(c["first_row"], c["first_pos"])))
+    )
+    return recipe_rows.drop("recipe").join(lists, "row_uid", "left")
+
+
 def exact_groups(docs: DataFrame, min_chars: int = 768, max_chars: int = 8192) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_bytes, n_chunks, new_bytes.
 
     ``new_bytes`` is what a chunk store gains from the row: the bytes of chunks that no row before it holds.
     """
-    rows = materialise(recipes(docs, min_chars, max_chars), "recipes")
-    gains = chunk_store(rows).groupBy(F.col("first_row").alias("row_uid")).agg(F.sum("n_bytes").alias("new_bytes"))
-    ids = F.transform("recipe", lambda c: c["id"])
-    groups = (
-        rows.groupBy(ids.alias("ids"))
+    rows = identified(materialise(recipes(docs, min_chars, max_chars), "recipes"))
+    rows = materialise(rows.withColumn("ids", F.coalesce("ids", F.array().cast("array<struct<first_row:bigint,first_pos:int>>"))), "identified")
+    groups = groups_of(rows)
+    return rows.join(groups, "text_sha256").select(
+        "doc_id", "keep_id", "group_size", (F.col("row_uid") == F.col("keep_uid")).alias("kept"), "text_sha256",
+        "n_bytes", F.size("ids").cast("long").alias("n_chunks"), F.coalesce("new_bytes", F.lit(0)).cast("long").alias("new_bytes"),
+    )
+
+
+def groups_of(rows: DataFrame) -> DataFrame:
+    """text_sha256, keep_id, keep_uid, group_size of each set of rows with the same ordered identifiers."""
+    return (
+        rows.groupBy("ids")
         .agg(
             F.max(F.struct("doc_id", "row_uid")).alias("best"),
             F.count(F.lit(1)).alias("group_size"),
@@ -73,27 +98,14 @@ def exact_groups(docs: DataFrame, min_chars: int = 768, max_chars: int = 8192) -
             "group_size",
         )
     )
-    return (
-        rows.select("row_uid", "doc_id", "n_bytes", "text_sha256", F.size("recipe").alias("n_chunks"))
-        .join(groups, "text_sha256")
-        .join(gains, "row_uid", "left")
-        .select(
-            "doc_id", "keep_id", "group_size", (F.col("row_uid") == F.col("keep_uid")).alias("kept"), "text_sha256",
-            "n_bytes", F.col("n_chunks").cast("long").alias("n_chunks"), F.coalesce("new_bytes", F.lit(0)).cast("long").alias("new_bytes"),
-        )
-    )
 
 
 def drop_exact_copies(docs: DataFrame, min_chars: int = 768, max_chars: int = 8192) -> DataFrame:
     """``docs`` without exact copies: of equal texts one row stays, the one with the largest doc_id; all columns kept."""
-    rows = materialise(recipes(docs, min_chars, max_chars), "recipes")
-    ids = F.transform("recipe", lambda c: c["id"])
-    size = rows.groupBy(ids.alias("ids"), "doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
-    best = size.groupBy("ids").agg(F.max(F.struct("doc_id", "n")).alias("b"), F.min("text_sha256").alias("__sha"))
-    best = materialise(best.select("__sha", F.col("b.doc_id").alias("keep"), F.col("b.n").alias("n")), "kept")
-    lost = rows.select("doc_id", F.col("text_sha256").alias("__sha")).join(best, "__sha").where(~F.col("doc_id").eqNullSafe(F.col("keep")))
-    lost = materialise(lost.select(F.col("doc_id").alias("__id"), "__sha").distinct(), "lost")
-    again = best.where("n > 1").select(F.col("keep").alias("__id"), "__sha")
+    groups = exact_groups(docs, min_chars, max_chars).select("doc_id", "keep_id", "kept", F.col("text_sha256").alias("__sha"))
+    rows = materialise(groups.groupBy("doc_id", "keep_id", "__sha").agg(F.count(F.lit(1)).alias("n")), "copies")
+    lost = rows.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__id"), "__sha")
+    again = rows.where("n > 1").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__id"), "__sha")
     own = docs.withColumns({"__own_id": F.col("doc_id").cast("long"), "__own_sha": F.sha2(text_or_empty(), 256)})
 
     def met(side):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from aerolith.llm.exact_dedup import exact_groups
 from aerolith.llm.simhash_dedup import simhash_groups
 from aerolith.llm.token_counts import token_counts
+from aerolith.llm.toxicity import toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -43,10 +44,15 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
