@@ -33,7 +33,9 @@ def merge_symbols(symbols: list[str], rank: Callable[[str, str], int | None]) ->
 
 
 class PrefixTable:
-    """Back-pointers ``prefix -> (last token, tokens so far)`` of words, kept across words that share prefixes.
+    """Back-pointers ``prefix -> (last token, sum of units so far)`` of words, kept across words that share prefixes.
+
+    The unit of a token is 1 for counts; anything that adds up will do (packed ids, for an encoder).
 
     ``tokens``: token strings that may stand inside or at the end of a word. ``final``: tokens that carry a word-end
     mark, without the mark, or None if the vocabulary has no such mark. The table is emptied when it passes ``limit``
@@ -41,9 +43,10 @@ class PrefixTable:
     back-pointers instead of the table.
     """
 
-    def __init__(self, tokens, rank, final=None, end_mark="", limit=400_000, long_word=48):
+    def __init__(self, tokens, rank, final=None, end_mark="", limit=500_000, long_word=48, unit=None):
         self.tokens, self.rank, self.final, self.mark = tokens, rank, final, end_mark
         self.limit, self.long_word = limit, long_word
+        self.unit = unit or (lambda token: 1)
         self.longest = max(map(len, tokens), default=1)
         self.longest_final = max(map(len, final), default=1) if final is not None else 0
         self.table: dict[str, tuple[str, int]] = {}
@@ -67,23 +70,26 @@ class PrefixTable:
         return found
 
     def last(self, prefix: str) -> tuple[str, int]:
-        """Last token and token count of the encoding of ``prefix`` read as the inside of a word."""
+        """Last token and sum of units of the encoding of ``prefix`` read as the inside of a word."""
         found = self.table.get(prefix)
         if found is not None:
             return found
-        n = len(prefix)
-        for size in range(1, min(self.longest, n) + 1):
+        n, tokens, pairs = len(prefix), self.tokens, self.pairs
+        for size in range(min(self.longest, n), 0, -1):
             token = prefix[n - size :]
-            if size > 1 and token not in self.tokens:
+            if size > 1 and token not in tokens:
                 continue
             if size == n:
                 if self.fits("", token):
-                    found = (token, 1)
+                    found = (token, self.unit(token))
                     break
                 continue
-            before = self.last(prefix[: n - size])
-            if self.fits(before[0], token):
-                found = (token, before[1] + 1)
+            before = self.table.get(prefix[: n - size]) or self.last(prefix[: n - size])
+            ok = pairs.get((before[0], token))
+            if ok is None:
+                ok = self.fits(before[0], token)
+            if ok:
+                found = (token, before[1] + self.unit(token))
                 break
         if len(self.table) > self.limit:
             self.table.clear()
@@ -91,21 +97,21 @@ class PrefixTable:
         return found
 
     def close(self, prefix: str) -> tuple[str, int]:
-        """Last token and count of ``prefix`` read as a whole word."""
+        """Last token and sum of units of ``prefix`` read as a whole word."""
         if self.final is None:
             return self.last(prefix)
         n = len(prefix)
-        for size in range(1, min(self.longest_final, n) + 1):
+        for size in range(min(self.longest_final, n), 0, -1):
             token = prefix[n - size :]
             if size > 1 and token not in self.final:
                 continue
             if size == n:
                 if self.fits("", token, True):
-                    return token, 1
+                    return token, self.unit(token)
                 continue
             before = self.last(prefix[: n - size])
             if self.fits(before[0], token, True):
-                return token, before[1] + 1
+                return token, before[1] + self.unit(token)
         raise ValueError("no encoding")
 
     def counts(self, word: str) -> list[int]:
@@ -142,9 +148,9 @@ class PrefixTable:
                 continue
             if size == i:
                 if self.fits("", token, closing):
-                    return token, 1
+                    return token, self.unit(token)
                 continue
             before = window[-size]
             if self.fits(before[0], token, closing):
-                return token, before[1] + 1
+                return token, before[1] + self.unit(token)
         raise ValueError("no encoding")

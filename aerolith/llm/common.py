@@ -17,6 +17,26 @@ from pyspark.sql import functions as F
 EMIT_ROWS = 4096
 
 
+class Memo(dict):
+    """``memo[key]`` is ``compute(key)``, kept in two generations of at most ``limit`` short keys each.
+
+    When the young generation is full it becomes the old one, so that keys in use survive and memory stays bounded.
+    """
+
+    def __init__(self, compute: Callable, limit: int = 300_000, longest: int = 64):
+        super().__init__()
+        self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.pop(key) if key in self.old else self.compute(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoints: the cluster's own setting, else (tests, one machine) a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

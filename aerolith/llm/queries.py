@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.llm.exact_dedup import exact_groups
+from aerolith.llm.mixing import mixture
+from aerolith.llm.sentencepiece_codec import round_trip
 from aerolith.llm.simhash_dedup import simhash_groups
 from aerolith.llm.token_counts import token_counts
 from aerolith.llm.toxicity import toxicity
@@ -48,14 +50,65 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), max_epochs=2.5)
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_mixing": """
+        WITH RECURSIVE d AS (
+          SELECT doc_id, coalesce(source, '') AS source, coalesce(CAST(doc_id AS VARCHAR), '') AS k,
+                 CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens
+          FROM documents),
+        t AS (SELECT source, sum(n_tokens) AS tokens, count(*) AS n_rows FROM d GROUP BY source),
+        e AS (SELECT CAST(max(tokens) AS DOUBLE) AS most, CAST(min(tokens) AS DOUBLE) AS least, CAST(sum(tokens) AS DOUBLE) AS total
+              FROM t WHERE tokens > 0),
+        b(i, lo, hi) AS (
+          SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+          UNION ALL
+          SELECT i + 1,
+                 CASE WHEN pow(most / least, 1 - (lo + hi) / 2) <= 2.5 THEN lo ELSE (lo + hi) / 2 END,
+                 CASE WHEN pow(most / least, 1 - (lo + hi) / 2) <= 2.5 THEN (lo + hi) / 2 ELSE hi END
+          FROM b, e WHERE i < 40),
+        a AS (SELECT CASE WHEN most / least <= 2.5 THEN 0 ELSE hi END AS a, most FROM b, e WHERE i = 40),
+        w AS (
+          SELECT source, tokens, n_rows, a, most,
+                 CASE WHEN tokens > 0 THEN pow(CAST(tokens AS DOUBLE), a) ELSE 0 END AS power FROM t, a),
+        v AS (
+          SELECT source, tokens, n_rows, round(power / sum(power) OVER (), 6) AS weight,
+                 CASE WHEN tokens > 0 THEN round(power / tokens * max(tokens / power) FILTER (WHERE tokens > 0) OVER (), 6) ELSE 1 END AS epochs FROM w),
+        u AS (
+          SELECT *, CAST(floor(epochs) AS BIGINT) AS full_epochs, floor((epochs - floor(epochs)) * tokens + 1e-6) AS rest,
+                 CAST(ceil(n_rows / 1024.0) AS BIGINT) AS blocks FROM v),
+        r AS (
+          SELECT d.*, weight, epochs, full_epochs, rest,
+                 CAST('0x' || substr(md5('0|block|' || k), 1, 8) AS BIGINT) % blocks AS block
+          FROM d JOIN u USING (source)),
+        p AS (
+          SELECT source, block, sum(n_tokens) AS in_block, md5('0|' || CAST(full_epochs AS VARCHAR) || '|' || CAST(block AS VARCHAR)) AS place
+          FROM r GROUP BY source, block, full_epochs),
+        q AS (
+          SELECT source, block, coalesce(sum(in_block) OVER (PARTITION BY source ORDER BY place, block
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM p)
+        SELECT doc_id, source, n_tokens, weight, epochs,
+               CAST(full_epochs + CASE WHEN n_tokens > 0 AND done + sum(n_tokens) OVER (PARTITION BY source, block
+                    ORDER BY md5('0|' || CAST(full_epochs AS VARCHAR) || '|row|' || k), k, n_tokens
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+        FROM r JOIN q USING (source, block)
+    """,
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
