@@ -14,6 +14,7 @@ from aerolith.llm.exact_dedup import exact_groups
 from aerolith.llm.mixing import mixture
 from aerolith.llm.sentencepiece_codec import round_trip
 from aerolith.llm.simhash_dedup import simhash_groups
+from aerolith.llm.substring_dedup import substring_dedup
 from aerolith.llm.token_counts import token_counts
 from aerolith.llm.toxicity import toxicity
 
@@ -54,6 +55,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), window=35).drop("removed")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"), max_epochs=2.5)
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
