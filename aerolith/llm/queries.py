@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from aerolith.llm.exact_dedup import exact_groups
 from aerolith.llm.hilbert_ann import nearest
+from aerolith.llm.license_scan import license_scan, scan_sql
+from aerolith.llm.line_dedup import line_dedup
 from aerolith.llm.mixing import mixture
 from aerolith.llm.sentencepiece_codec import round_trip
 from aerolith.llm.simhash_dedup import simhash_groups
@@ -34,6 +36,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), budget=2048)
 
@@ -56,6 +62,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).drop("removed", "kept")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -69,9 +79,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_token_counts": op2_token_counts,
     "op3_hilbert_ann": op3_hilbert_ann,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_substring_dedup": op8_substring_dedup,
@@ -80,6 +92,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": scan_sql(),
     "op9_mixing": """
         WITH RECURSIVE d AS (
           SELECT doc_id, coalesce(source, '') AS source, coalesce(CAST(doc_id AS VARCHAR), '') AS k,
