@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows whose kernel outputs are gathered before a batch is handed back to the JVM.
-EMIT_ROWS = 4096
+EMIT_ROWS = 512
 
 
 class Memo(dict):
@@ -84,11 +84,16 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors once per application, so that kernels import it there.
+    """Set up a session for kernels over texts: Arrow batches of 1,000 rows unless the session says otherwise, and send this package's source to the executors once per application, so that kernels import it there.
 
     Imported modules outlive a task, and with them the kernels' bounded memos.
     """
+    if spark.conf.get(BATCH_SETTING, None) == "10000":  # Spark's default is meant for narrow rows
+        spark.conf.set(BATCH_SETTING, "1000")
     sc = spark.sparkContext
     if getattr(sc, "_aerolith_shipped", False):
         return

@@ -103,7 +103,7 @@ class Viterbi:
 class Codec:
     """Encoder and decoder for one vocabulary, with bounded memos."""
 
-    def __init__(self, model: dict, memo: int = 400_000):
+    def __init__(self, model: dict, memo: int = 250_000):
         skip = {*model["bytes"], *model["other"]}
         self.ids = {p: i for i, p in enumerate(model["pieces"]) if i not in skip}
         scores = model["scores"]

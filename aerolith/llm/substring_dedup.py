@@ -46,7 +46,7 @@ class WordHashes:
     """64-bit hashes of words, memorised for short words."""
 
     def __init__(self):
-        self.memo = Memo(xxhash.xxh64_intdigest, 400_000, 24)
+        self.memo = Memo(xxhash.xxh64_intdigest, 120_000, 24)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
@@ -383,7 +383,7 @@ def _kept(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, "text_id binary, n_words long, n_removed long, kept_sha256 string, removed array<array<int>>")
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 8, block_words: int = 1_000_000, hot: int = 2000) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 8, block_words: int = 300_000, hot: int = 2000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and removed word intervals of each row of ``docs``."""
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("text_id", F.unhex(F.md5("text")))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.llm.bpe_prefix import PrefixTable
-from aerolith.llm.common import map_rows, text_or_empty
+from aerolith.llm.common import Memo, map_rows, text_or_empty
 
 #: Whitespace of the tokenizer's pattern; str.split() also cuts at the four separators U+001C to U+001F.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -41,7 +41,7 @@ def byte_alphabet() -> list[str]:
 class WordCounter:
     """Counts for one vocabulary file, with memos of bounded size."""
 
-    def __init__(self, spec: str, memo: int = 300_000):
+    def __init__(self, spec: str, memo: int = 250_000):
         spec = json.loads(spec)
         model, mark = spec["model"], spec["model"]["end_of_word_suffix"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -54,8 +54,7 @@ class WordCounter:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.words = regex.compile(split)
         self.bytes = byte_alphabet()
-        self.memo: dict[str, int] = {}
-        self.memo_limit = memo
+        self.memo = Memo(self.chunk, memo)
 
     def symbols(self, word: str) -> str:
         if word.isascii() and word.isprintable() and " " not in word:
@@ -77,17 +76,7 @@ class WordCounter:
         return text.split() if not ODD_SPACE.search(text) else [c for c in WHITE.split(text) if c]
 
     def _plain(self, text: str) -> list[int]:
-        memo, out = self.memo, []
-        for c in self._chunks(text):
-            n = memo.get(c)
-            if n is None:
-                if len(memo) > self.memo_limit:
-                    memo.clear()
-                n = self.chunk(c)
-                if len(c) <= 64:
-                    memo[c] = n
-            out.append(n)
-        return out
+        return list(map(self.memo.__getitem__, self._chunks(text)))
 
     def chunk_counts(self, text: str) -> list[int]:
         """Tokens of each white-space separated piece of ``text``, special strings as pieces of their own."""

@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import map_rows, materialise, small_side, text_or_empty
+from aerolith.llm.common import Memo, map_rows, materialise, small_side, text_or_empty
 
 EDGE = re.compile(r"^\W+|\W+$")
 RUNS = re.compile(r"(.)\1{2,}")
@@ -143,15 +144,14 @@ def stems_of(terms: dict[str, float], least: int = 4) -> list[str]:
 class Scorer:
     """Hit counts and scores of texts for one model; memos are bounded."""
 
-    def __init__(self, model: dict, memo: int = 300_000):
+    def __init__(self, model: dict, memo: int = 150_000):
         self.terms: dict[str, float] = model["terms"]
         self.clean_words = frozenset(model.get("clean", ()))
         self.stems = tuple(model.get("stems", ()))
         self.weights = np.array(model.get("weights", PRIOR))
         exact = frozenset(model.get("exact_only", ()))
         self.automaton = LexiconAutomaton({t: w for t, w in self.terms.items() if t not in exact})
-        self.memo: dict[str, tuple | None] = {}
-        self.limit = memo
+        self.memo = Memo(self.verdict, memo)
 
     def verdict(self, token: str) -> tuple | None:
         """(kind, weight, word): kind 0 a term, 1 a misspelt term, 2 a word with a term's stem."""
@@ -177,19 +177,8 @@ class Scorer:
         return score >= 0.6
 
     def features(self, text: str) -> list[float]:
-        tokens, memo = text.split(), self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-        hits = []
-        for i, t in enumerate(tokens):
-            try:
-                v = memo[t]
-            except KeyError:
-                v = self.verdict(t)
-                if len(t) <= 64:
-                    memo[t] = v
-            if v is not None:
-                hits.append((i, v))
+        tokens = text.split()
+        hits = [(i, v) for i, v in enumerate(map(self.memo.__getitem__, tokens)) if v is not None]
         plain = misspelt = stem = quoted = 0
         best = 0.0
         for i, (kind, weight, _) in hits:
@@ -250,7 +239,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_terms:
                 seen, tokens = {}, [clean(t) for t in text.split()]
                 for i, w in enumerate(tokens):
                     if w and w not in seen and len(w) <= 40:
-                        seen[w] = (tokens[i - 1] if i else "") + " " + (tokens[i + 1] if i + 1 < len(tokens) else "")
+                        around = (tokens[i - 1] if i else "") + " " + (tokens[i + 1] if i + 1 < len(tokens) else "")
+                        seen[w] = zlib.crc32(around.encode("utf-8", "surrogatepass"))
                 term += seen
                 context += seen.values()
                 toxic += [label] * len(seen)
@@ -258,17 +248,17 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_terms:
 
         return step
 
-    schema = pa.schema([("term", pa.string()), ("toxic", pa.int32()), ("context", pa.string())])
+    schema = pa.schema([("term", pa.string()), ("toxic", pa.int32()), ("context", pa.int64())])
     n_pos = sum(r.toxic == 1 for r in picked)
     n_neg = len(picked) - n_pos
     llr = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
     found = (
-        map_rows(sample, words, "term string, toxic int, context string", schema)
+        map_rows(sample, words, "term string, toxic int, context long", schema)
         .groupBy("term")
         .agg(
             F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("pos"),
             F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("neg"),
-            F.size(F.collect_set(F.when(F.col("toxic") == 1, F.xxhash64("context")))).alias("contexts"),
+            F.size(F.collect_set(F.when(F.col("toxic") == 1, F.col("context")))).alias("contexts"),
         )
         .where(F.col("contexts") >= min_contexts)
         .withColumn("llr", llr)
