@@ -215,7 +215,6 @@ class FragmentIndex:
     def repeated(self) -> list[np.ndarray]:
         """Per fragment, the starts of its windows that occur twice or more, weights counted."""
         n, w = len(self.sizes), self.window
-        found: list[list[np.ndarray]] = []
         order = np.argsort(-self.sizes, kind="stable")  # longest first: the active ones are a prefix
         sizes = self.sizes[order]
         lo, hi = np.zeros(n, np.int64), np.full(n, len(self.seq), np.int64)
@@ -234,8 +233,8 @@ class FragmentIndex:
             return [np.empty(0, np.int64)] * n
         fragment, start = np.concatenate(hits_fragment), np.concatenate(hits_start)
         by = np.lexsort((start, fragment))
-        cuts = np.searchsorted(fragment[by], np.arange(n + 1))
-        return [start[by][cuts[i] : cuts[i + 1]] for i in range(n)]
+        cuts, start = np.searchsorted(fragment[by], np.arange(n + 1)), start[by]
+        return [start[cuts[i] : cuts[i + 1]] for i in range(n)]
 
 
 def to_signed(x: np.ndarray) -> np.ndarray:
