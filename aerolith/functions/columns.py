@@ -38,14 +38,15 @@ def one_pole_gain(cutoff_hz: Column, dt: Column, order: int) -> Column:
     return omega / (omega + 1.0)
 
 
-def hyperbolic(x: Column, thr0: Column, expo: Column, stall: Column, full: Column) -> Column:
-    """Gain curve: ``thr0`` up to the stall throttle, then falling hyperbolically to ``full`` at throttle 1.
+def hyperbolic(x: Column, thr0: Column, thr100: Column, stall: Column, expo: Column) -> Column:
+    """Gain curve over throttle: ``thr0`` up to the stall throttle, from there a hyperbola that reaches ``thr100`` at 1.
 
-    The base is 1 + (x - stall) / (1 - stall) * (k - 1), with k such that the curve ends at ``full``; a zero exponent
-    leaves the plateau.
+    With exponent e = -1 / (0.999 - expo / 100) and y the throttle beyond stall scaled to 0..1, the curve is
+    thr0 / (1 + ((thr0 / thr100) ** (1 / e) - 1) * y) ** e. Parameters are kept in their legal ranges.
     """
-    exponent = expo / 10.0
-    ok = (exponent != 0) & (thr0 > 0) & (full > 0) & (stall < 1)
-    reach = F.pow(thr0 / full, F.lit(1.0) / exponent)
-    base = (x - stall) / (F.lit(1.0) - stall) * (reach - 1.0) + 1.0
-    return F.when((x <= stall) | ~ok, thr0).otherwise(thr0 / F.pow(base, exponent))
+    stall, expo = clamp(stall, 0.0, 0.999), clamp(expo, -100.0, 100.0)
+    thr0, thr100 = F.greatest(thr0, F.lit(1e-6)), F.greatest(thr100, F.lit(1e-6))
+    e = F.lit(-1.0) / (F.lit(0.999) - expo / 100.0)
+    y = (x - stall) / (F.lit(1.0) - stall)
+    base = (F.pow(F.greatest(thr0 / thr100, F.lit(1e-9)), F.lit(1.0) / e) - 1.0) * y + 1.0
+    return F.when(x <= stall, thr0).otherwise(thr0 / F.greatest(F.pow(F.greatest(base, F.lit(1e-9)), e), F.lit(1e-9)))
