@@ -43,7 +43,7 @@ class PrefixTable:
     back-pointers instead of the table.
     """
 
-    def __init__(self, tokens, rank, final=None, end_mark="", limit=500_000, long_word=48, unit=None):
+    def __init__(self, tokens, rank, final=None, end_mark="", limit=300_000, long_word=48, unit=None):
         self.tokens, self.rank, self.final, self.mark = tokens, rank, final, end_mark
         self.limit, self.long_word = limit, long_word
         self.unit = unit or (lambda token: 1)
@@ -53,6 +53,11 @@ class PrefixTable:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.ends: dict[tuple[str, str], bool] = {}
 
+    def forget(self) -> None:
+        self.table.clear()
+        self.pairs.clear()
+        self.ends.clear()
+
     def _symbols(self, token: str, final: bool) -> list[str]:
         return [*token[:-1], token[-1] + self.mark] if final else list(token)
 
@@ -62,7 +67,7 @@ class PrefixTable:
         key = (before, token)
         found = known.get(key)
         if found is None:
-            if len(known) > 4 * self.limit:
+            if len(known) > self.limit:
                 known.clear()
             out = merge_symbols(list(before) + self._symbols(token, final), self.rank)
             whole = token + self.mark if final else token

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -36,6 +38,10 @@ class Memo(dict):
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoints: the cluster's own setting, else (tests, one machine) a temporary one."""
@@ -113,23 +119,51 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def relax() -> None:
+    """Give memory that a finished task has freed back to the system: idle workers stay beside the next stage's JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` that leaves its workers small."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from aerolith.llm.common import relax
+
+        try:
+            yield from run(batches)
+        finally:
+            relax()
+
+    ship(df.sparkSession)
+    return df.mapInArrow(tidy, schema)
+
+
 def map_rows(
     df: DataFrame, kernel: Callable[[], Callable[[dict[str, list]], dict[str, Iterable]]], schema: str, arrow: pa.Schema
 ) -> DataFrame:
-    """``mapInArrow`` with column lists: ``kernel()`` is built once per task and maps one batch to one batch."""
+    """``mapInArrow`` with column lists: ``kernel()`` is built once per task and maps one batch to one batch.
 
-    ship(df.sparkSession)
+    A kernel's attribute ``release``, if it has one, is called when the task ends.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = kernel()
-        for batch in batches:
-            for at in range(0, batch.num_rows, EMIT_ROWS):
-                part = batch.slice(at, EMIT_ROWS)
-                out = step({n: part.column(i) for i, n in enumerate(part.schema.names)})
-                arrays = [
-                    v if isinstance(v, pa.Array) else pa.array(v, type=f.type) for f, v in ((f, out[f.name]) for f in arrow)
-                ]
-                if len(arrays[0]):
-                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
-
-    return df.mapInArrow(run, schema)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, EMIT_ROWS):
+                    part = batch.slice(at, EMIT_ROWS)
+                    out = step({n: part.column(i) for i, n in enumerate(part.schema.names)})
+                    values = ((out[f.name], f.type) for f in arrow)
+                    arrays = [v if isinstance(v, pa.Array) else pa.array(v, type=t) for v, t in values]
+                    if len(arrays[0]):
+                        yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        finally:
+            getattr(step, "release", lambda: None)()
+
+    return map_batches(df, run, schema)

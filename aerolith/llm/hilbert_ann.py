@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.taskcontext import TaskContext
 
-from aerolith.llm.common import materialise, ship
+from aerolith.llm.common import map_batches, materialise, ship
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -114,8 +114,8 @@ def _orderings(entries: DataFrame, dim: int, center: float, spread: float, order
                     names=["ordering", "key", "entry", "is_query", "code", "norm", "scale"],
                 )
 
-    return entries.select("entry", "is_query", "vector").mapInArrow(
-        run, "ordering int, key long, entry long, is_query boolean, code binary, norm float, scale float"
+    return map_batches(
+        entries.select("entry", "is_query", "vector"), run, "ordering int, key long, entry long, is_query boolean, code binary, norm float, scale float"
     )
 
 
@@ -188,7 +188,7 @@ def _windows(sorted_rows: DataFrame, window: int, keep: int, block: int = 20_000
             yield from found(table, begin, table.num_rows)
             yield edge(table.slice(max(0, table.num_rows - 2 * window)), 1)
 
-    return sorted_rows.mapInArrow(run, ROW)
+    return map_batches(sorted_rows, run, ROW)
 
 
 def _stitches(ends: DataFrame, window: int, keep: int) -> DataFrame:

@@ -124,6 +124,10 @@ class Codec:
         self.packed: dict[str, bytes] = {}
         self.memo = Memo(self.key, memo)
 
+    def forget(self) -> None:
+        self.memo.forget()
+        self.table.forget()
+
     def pack(self, token: str) -> bytes:
         """The token's id as four bytes, or its byte pieces' ids."""
         found = self.packed.get(token)
@@ -176,7 +180,7 @@ _CODECS: dict[int, Codec] = {}
 
 
 def codec_for(model: dict) -> Codec:
-    """One codec per vocabulary and worker process; its memos serve later tasks too."""
+    """One codec per vocabulary and worker process; tasks empty its memos when they end."""
     key = hash(tuple(model["pieces"]))
     if key not in _CODECS:
         _CODECS[key] = Codec(model)
@@ -199,6 +203,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
             values = pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32())
             return {"doc_id": cols["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), "n_ids": pa.array(sizes)}
 
+        step.release = codec.forget
         return step
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
@@ -240,6 +245,7 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
                 same.append(decoded == text)
             return {"doc_id": cols["doc_id"], "n_ids": n, "ids_sha256": digest, "decoded_sha256": back, "round_trip": same}
 
+        step.release = codec.forget
         return step
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import map_rows, materialise, ship, small_side, text_or_empty
+from aerolith.llm.common import map_batches, map_rows, materialise, small_side, text_or_empty
 from aerolith.llm.components import connected_components
 
 SEED = 42
@@ -156,7 +156,6 @@ def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
 
 def fingerprint_links(distinct: DataFrame, masks: list[int], radius: int, bits: int) -> DataFrame:
     """(a, b): enough links between fingerprints (column fp) to connect all that are linked within ``radius`` bits."""
-    ship(distinct.sparkSession)
     size = bits // 8
 
     def spread(batches):
@@ -193,13 +192,9 @@ def fingerprint_links(distinct: DataFrame, masks: list[int], radius: int, bits:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
-    return (
-        distinct.select("fp")
-        .mapInArrow(spread, "mask int, shard binary, fp binary")
-        .repartition("mask", "shard")
-        .sortWithinPartitions("mask", "shard", "fp")
-        .mapInArrow(search, "a binary, b binary")
-    )
+    keyed = map_batches(distinct.select("fp"), spread, "mask int, shard binary, fp binary")
+    dealt = keyed.repartition("mask", "shard").sortWithinPartitions("mask", "shard", "fp")
+    return map_batches(dealt, search, "a binary, b binary")
 
 
 def simhash_groups(

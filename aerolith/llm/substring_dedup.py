@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import EMIT_ROWS, Memo, materialise, ship, text_or_empty
+from aerolith.llm.common import EMIT_ROWS, Memo, map_batches, materialise, ship, text_or_empty
 
 #: Odd multipliers of the polynomial hashes of word sequences (fixed values).
 BASE_A = np.uint64(0x9E3779B97F4A7C15)
@@ -266,8 +266,7 @@ def _fragments_of(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     columns = [to_signed(name), to_signed(content), ids, start.astype(np.int32), count.astype(np.int32), again]
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    ship(docs.sparkSession)
-    return docs.mapInArrow(run, FRAGMENT)
+    return map_batches(docs, run, FRAGMENT)
 
 
 def _fragment_words(texts: DataFrame, window: int, split: bool) -> DataFrame:
@@ -303,7 +302,7 @@ def _fragment_words(texts: DataFrame, window: int, split: bool) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return texts.mapInArrow(run, "shard long, name long, hash long, place int, weight long, words binary")
+    return map_batches(texts, run, "shard long, name long, hash long, place int, weight long, words binary")
 
 
 def _search(words: DataFrame, window: int, block_words: int) -> DataFrame:
@@ -335,7 +334,7 @@ def _search(words: DataFrame, window: int, block_words: int) -> DataFrame:
             yield from work(held)
 
     dealt = words.repartition("shard").sortWithinPartitions("shard", "name", "hash", "place")
-    return dealt.mapInArrow(run, "name long, hash long, place int, starts array<int>")
+    return map_batches(dealt, run, "name long, hash long, place int, starts array<int>")
 
 
 def _once_per_task(texts: DataFrame) -> DataFrame:
@@ -351,7 +350,7 @@ def _once_per_task(texts: DataFrame) -> DataFrame:
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int32())) if len(keep) < batch.num_rows else batch
 
-    return texts.select("text_id", "text").mapInArrow(run, "text_id binary, text string")
+    return map_batches(texts.select("text_id", "text"), run, "text_id binary, text string")
 
 
 def _kept(texts: DataFrame, window: int) -> DataFrame:
@@ -379,7 +378,7 @@ def _kept(texts: DataFrame, window: int) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return texts.mapInArrow(run, "text_id binary, n_words long, n_removed long, kept_sha256 string, removed array<array<int>>")
+    return map_batches(texts, run, "text_id binary, n_words long, n_removed long, kept_sha256 string, removed array<array<int>>")
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 8, block_words: int = 300_000, hot: int = 2000) -> DataFrame:

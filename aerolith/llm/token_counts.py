@@ -61,6 +61,10 @@ class WordCounter:
             return word
         return "".join([self.bytes[b] for b in word.encode("utf-8", "surrogatepass")])
 
+    def forget(self) -> None:
+        self.memo.forget()
+        self.table.forget()
+
     @staticmethod
     def normal(text: str) -> str:
         """NFC, then lower case letter by letter (no word-final sigma)."""
@@ -121,7 +125,7 @@ _COUNTERS: dict[str, WordCounter] = {}
 
 
 def counter_for(spec: str) -> WordCounter:
-    """One counter per vocabulary and worker process; its memos serve later tasks too."""
+    """One counter per vocabulary and worker process; tasks empty its memos when they end."""
     key = str(hash(spec))
     if key not in _COUNTERS:
         _COUNTERS[key] = WordCounter(spec)
@@ -157,6 +161,7 @@ def token_counts(docs: DataFrame, vocabulary: str, budget: int = 2048, prefixes:
                     marks.append(line)
             return {"doc_id": cols["doc_id"], "n_bytes": cols["n_bytes"], "n_tokens": n, "n_fitting": fit, "prefix_tokens": marks}
 
+        step.release = counter.forget
         return step
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_fitting", pa.int64())]
