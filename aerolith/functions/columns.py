@@ -38,6 +38,14 @@ def one_pole_gain(cutoff_hz: Column, dt: Column, order: int) -> Column:
     return omega / (omega + 1.0)
 
 
+def biquad_columns(hz: Column, dt: Column, q: Column, kind: str) -> tuple[Column, ...]:
+    """b0, b1, b2, a1, a2 of a second-order low-pass or notch, normalised by 1 + alpha."""
+    w = F.lit(2 * math.pi) * hz * dt
+    c, alpha = F.cos(w), F.sin(w) / (q * 2.0)
+    b = ((F.lit(1.0) - c) / 2.0, F.lit(1.0) - c, (F.lit(1.0) - c) / 2.0) if kind == "lowpass" else (F.lit(1.0), c * -2.0, F.lit(1.0))
+    return tuple(v / (alpha + 1.0) for v in (*b, c * -2.0, F.lit(1.0) - alpha))
+
+
 def hyperbolic(x: Column, thr0: Column, thr100: Column, stall: Column, expo: Column) -> Column:
     """Gain curve over throttle: ``thr0`` up to the stall throttle, from there a hyperbola that reaches ``thr100`` at 1.
 

@@ -123,7 +123,7 @@ def servo_asymmetry(frames: DataFrame, corrs: DataFrame, fs: float, window_ms: f
     The lag search is a self-join on the frame index; products are centred on 1500 and divided by n and both deviations.
     """
     lead = corrs.where(F.abs("dominant_r") >= least).select("log_id", "servo", F.col("dominant_axis").alias("axis"), "dominant_r")
-    w = Window.partitionBy("log_id", "axis").orderBy(F.desc(F.abs("dominant_r")), "servo")
+    w = Window.partitionBy("log_id", "axis").orderBy(F.desc(F.round(F.abs("dominant_r"), 9)), "servo")  # mirrored servos tie
     lead = lead.withColumns({"reference": F.first("servo").over(w), "sign": F.when(F.col("dominant_r") >= 0, 1.0).otherwise(-1.0)})
     rows = pwm_long(frames, servos).join(lead, ["log_id", "servo"]).withColumn("x", F.col("sign") * (F.col("pwm") - CENTRE))
     sd = rows.groupBy("log_id", "axis", "servo", "reference").agg(F.stddev_pop("x").alias("sd"), F.count(F.lit(1)).alias("n"))

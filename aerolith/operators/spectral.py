@@ -199,7 +199,7 @@ def low_frequency_modes(rows: DataFrame, value: str, fs: float, least_db: float
         x = np.nan_to_num(s[value].astype(float))
         factor = max(1, int(math.floor(fs / 20 + 0.5)))
         x = x[: len(x) // factor * factor].reshape(-1, factor).mean(1)
-        none = {"freq": [], "prominence_db": [], "mode": []}
+        none = {"freq": [], "prominence_db": [], "mode_id": []}
         if len(x) < 64:
             return none
         used = x[:65536]
@@ -224,20 +224,20 @@ def low_frequency_modes(rows: DataFrame, value: str, fs: float, least_db: float
                 left, right = smooth[max(0, i - reach) : i].min(), smooth[i + 1 : i + 1 + reach].min()
                 rise = smooth[i] - max(left, right)
                 if rise >= least_db:
-                    name = next((m for m, axes, lo, hi in MODES if axis in axes and lo <= hz[i] <= hi), "unclassified")
+                    name = next((k for k, (_, axes, lo, hi) in enumerate(MODES) if axis in axes and lo <= hz[i] <= hi), -1)
                     found.append((rise, hz[i], name))
         found.sort(key=lambda p: (-p[0], p[1]))
         seen, out = set(), []
         for rise, f, name in found:
-            if name in seen or (name == "unclassified" and (rise < 12 or any(abs(f - o[1]) < 0.05 for o in out))):
+            if name in seen or (name < 0 and (rise < 12 or any(abs(f - o[1]) < 0.05 for o in out))):
                 continue
             seen.add(name)
             out.append((rise, f, name))
-        return {"freq": [o[1] for o in out[:8]], "prominence_db": [o[0] for o in out[:8]], "mode": [o[2] for o in out[:8]]}
+        return {"freq": [o[1] for o in out[:8]], "prominence_db": [o[0] for o in out[:8]], "mode_id": [o[2] for o in out[:8]]}
 
     rows = rows.withColumn("__axis", F.col("axis"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", freq double, prominence_db double, mode string"
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", freq double, prominence_db double, mode_id long"
 
     def run(key, pdf):
         pdf = pdf.sort_values("frame_idx")
@@ -246,7 +246,9 @@ def low_frequency_modes(rows: DataFrame, value: str, fs: float, least_db: float
             out.insert(i, k, v)
         return out
 
-    return rows.select(*keys, "__axis", "frame_idx", value).groupBy(*keys).applyInPandas(run, schema)
+    found = rows.select(*keys, "__axis", "frame_idx", value).groupBy(*keys).applyInPandas(run, schema)
+    mode = F.when(F.col("mode_id") < 0, "unclassified").otherwise(F.element_at(F.array(*(F.lit(m[0]) for m in MODES)), (F.col("mode_id") + 1).cast("int")))
+    return found.select(*keys, "freq", "prominence_db", mode.alias("mode"))
 
 
 def db(psd: DataFrame) -> DataFrame:

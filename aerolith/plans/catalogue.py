@@ -1,4 +1,9 @@
 """Named queries over the driver's tables and their SQL twins."""
 
+from aerolith.plans import basics, dynamics, spectra
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _part in (basics, dynamics, spectra):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
