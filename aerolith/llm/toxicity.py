@@ -305,7 +305,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_terms:
 
     schema = pa.schema([("x", pa.list_(pa.float64())), ("toxic", pa.int32())])
     data = map_rows(sample, counts, "x array<double>, toxic int", schema).collect()
-    model["weights"] = fit_logistic(np.array([r.x for r in data]), np.array([r.toxic for r in data], float)).tolist()
+    x = np.array([r.x for r in data], float).reshape(-1, len(PRIOR))
+    model["weights"] = fit_logistic(x, np.array([r.toxic for r in data], float)).tolist()
     return model
 
 
