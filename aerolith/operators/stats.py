@@ -28,8 +28,8 @@ def term_shares(rows: DataFrame, keys=("log_id", "axis")) -> DataFrame:
 
 def pearson(x: Column, y: Column) -> Column:
     """Population Pearson; 0 where a side does not vary or there are no samples."""
-    r = F.corr(x, y)
-    return F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.coalesce(F.when(spread > 0, F.covar_pop(x, y) / spread), F.lit(0.0))
 
 
 def axis_correlations(frames: DataFrame, servos=(0, 1, 2, 3), least: float = 0.25) -> DataFrame:

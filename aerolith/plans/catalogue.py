@@ -1,9 +1,9 @@
 """Named queries over the driver's tables and their SQL twins."""
 
-from aerolith.plans import basics, dynamics, spectra
+from aerolith.plans import basics, dynamics, spectra, streams
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (basics, dynamics, spectra):
+for _part in (basics, dynamics, spectra, streams):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
