@@ -32,6 +32,18 @@ def merge_symbols(symbols: list[str], rank: Callable[[str, str], int | None]) ->
     return symbols
 
 
+def sizes_by_end(tokens) -> dict[str, tuple[int, ...]]:
+    """Lengths of the tokens (of two letters or more) that end with each pair of letters, longest first, then 1."""
+    found: dict[str, set[int]] = {}
+    for t in tokens:
+        if len(t) > 1:
+            found.setdefault(t[-2:], set()).add(len(t))
+    return {end: (*sorted(sizes, reverse=True), 1) for end, sizes in found.items()}
+
+
+ONE = (1,)
+
+
 class PrefixTable:
     """Back-pointers ``prefix -> (last token, sum of units so far)`` of words, kept across words that share prefixes.
 
@@ -49,6 +61,8 @@ class PrefixTable:
         self.unit = unit or (lambda token: 1)
         self.longest = max(map(len, tokens), default=1)
         self.longest_final = max(map(len, final), default=1) if final is not None else 0
+        self.sizes = sizes_by_end(tokens)
+        self.final_sizes = sizes_by_end(final) if final is not None else {}
         self.table: dict[str, tuple[str, int]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.ends: dict[tuple[str, str], bool] = {}
@@ -80,7 +94,9 @@ class PrefixTable:
         if found is not None:
             return found
         n, tokens, pairs = len(prefix), self.tokens, self.pairs
-        for size in range(min(self.longest, n), 0, -1):
+        for size in self.sizes.get(prefix[-2:], ONE):
+            if size > n:
+                continue
             token = prefix[n - size :]
             if size > 1 and token not in tokens:
                 continue
@@ -106,7 +122,9 @@ class PrefixTable:
         if self.final is None:
             return self.last(prefix)
         n = len(prefix)
-        for size in range(min(self.longest_final, n), 0, -1):
+        for size in self.final_sizes.get(prefix[-2:], ONE):
+            if size > n:
+                continue
             token = prefix[n - size :]
             if size > 1 and token not in self.final:
                 continue
