@@ -232,7 +232,7 @@ def nearest(
     dim = sizes[0]["dim"]
     rows = rows.where(F.size("vector") == dim)
     ids = rows.select("digest", "vec_id").distinct()
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(64))
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(1024))
     small = ids.withColumn("n", F.row_number().over(Window.partitionBy("digest", salt).orderBy("vec_id"))).where(F.col("n") <= k + 1)
     small = small.withColumn("n", F.row_number().over(Window.partitionBy("digest").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     members = small.groupBy("digest").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))

@@ -230,7 +230,8 @@ def simhash_groups(
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 128) -> DataFrame:
     """``docs`` with one row for each group of near copies: the row with the group's smallest doc_id.
 
-    Rows with a null doc_id cannot be told apart by id and stay. All columns are kept.
+    Rows with a null doc_id cannot be told apart by id and stay; rows that share a doc_id stay or go together. All columns
+    are kept.
     """
     groups = simhash_groups(docs, words, bits=bits, similarity=similarity)
     lost = materialise(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "lost")

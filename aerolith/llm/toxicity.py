@@ -38,8 +38,10 @@ REPORTING = frozenset(
     "sagte schrieb wort dit mot écrit dijo palabra escribió".split()
 )
 WINDOW = 6
-#: Prior weights of: bias, any plain hit, plain hits, misspelt hits, stem-only hits, quoted hits, strongest plain hit.
-PRIOR = np.array([-3.0, 3.0, 0.7, 3.5, 0.3, 0.3, 1.0])
+#: Prior weights of: bias, any plain hit, plain hits, misspelt hits, stem-only hits, quoted hits, strongest plain hit, and
+#: how far that hit's log odds pass 5.5, the evidence of a term that hardly ever occurs in clean texts.
+PRIOR = np.array([-3.0, 3.0, 0.7, 3.5, 0.3, 0.3, 1.0, 2.0])
+SURE = 5.5
 
 
 def clean(token: str) -> str:
@@ -191,7 +193,7 @@ class Scorer:
                 best = max(best, weight)
             else:
                 misspelt += 1
-        return [1.0, float(plain > 0), min(plain, 5), min(misspelt, 3), min(stem, 5), min(quoted, 5), min(best, 8.0) / 8.0]
+        return [1.0, float(plain > 0), min(plain, 5), min(misspelt, 3), min(stem, 5), min(quoted, 5), min(best, 8.0) / 8.0, max(0.0, best - SURE) / 2]
 
     def score(self, text: str) -> float:
         z = float(np.dot(self.weights, self.features(text)))
