@@ -166,3 +166,22 @@ def feedforward(axis_windows: DataFrame, under: float = 0.5, noise_flag: float =
     g = g.withColumn("mean_coverage", F.when(F.col("e") > 0, F.col("c") / F.col("e")).otherwise(0.0))
     verdict = F.when(F.col("n_overshoot") / F.col("n_windows") > 0.5, "overgained").when(F.col("mean_coverage") < under, "undergained").otherwise("healthy")
     return g.select("log_id", "axis", "mean_coverage", "n_windows", "n_overshoot", "mean_noise", (F.col("mean_noise") > noise_flag).alias("noisy"), verdict.alias("verdict"))
+
+
+def region_plan(frames: DataFrame, windows: DataFrame, size: int = 1024, pad_sec: float = 1.0, segments: int = 4) -> DataFrame:
+    """log_id, axis, start_idx, end_idx, mode: where a spectrum of each axis should look.
+
+    Windows of the axis or mixed, padded by ``pad_sec``, merged where they overlap, of ``size`` samples or more; an axis
+    whose regions hold fewer than ``segments`` segments in all gets the whole flight.
+    """
+    info = with_dt(frames).groupBy("log_id").agg(F.first("n").alias("n"), F.first("dt").alias("dt"))
+    axes = frames.sparkSession.createDataFrame([(a,) for a in AXES], "axis int")
+    every = info.join(F.broadcast(axes), F.lit(True))
+    pad = half_up(F.lit(pad_sec) / F.col("dt"))
+    own = windows.join(every, "log_id").where("kind = 'mixed' or dominant_axis = axis")
+    own = own.select("log_id", "axis", F.greatest(F.col("start_idx") - pad, F.lit(0)).alias("start_idx"), F.least(F.col("end_idx") + pad, F.col("n")).alias("end_idx"))
+    regions = merge_gaps(own, F.lit(0), ("log_id", "axis")).where(F.col("end_idx") - F.col("start_idx") >= size)
+    covered = F.sum(F.col("end_idx") - F.col("start_idx")).over(Window.partitionBy("log_id", "axis"))
+    enough = regions.withColumn("covered", covered).where(F.col("covered") >= segments * size).select("log_id", "axis", "start_idx", "end_idx", F.lit("manoeuvres").alias("mode"))
+    rest = every.join(enough.select("log_id", "axis").distinct(), ["log_id", "axis"], "left_anti")
+    return enough.unionByName(rest.select("log_id", "axis", F.lit(0).cast("long").alias("start_idx"), F.col("n").alias("end_idx"), F.lit("whole flight").alias("mode")))

@@ -137,3 +137,24 @@ def field_table(caps: DataFrame) -> DataFrame:
     f = caps.select("log_id", F.explode("fields").alias("field"), "checks")
     zero = F.coalesce(F.try_element_at(F.col("checks"), F.col("field"))["all_zero"], F.lit(False))
     return f.select("log_id", "field", F.when(zero, "all-zero").otherwise("ok").alias("status"))
+
+
+def step_caveat(caps: DataFrame, limit: float = 1.0) -> DataFrame:
+    """log_id, axis, term of feed-forward and S terms that were at work, from the sampled ranges alone: a step response
+    of the axis then shows more than the feedback loop."""
+    rows = None
+    for a in range(3):
+        for t in "FS":
+            c = F.try_element_at(F.col("checks"), F.lit(f"axis{t}[{a}]"))
+            part = caps.where(F.greatest(F.abs(c["value_min"]), F.abs(c["value_max"])) > limit).select("log_id", F.lit(a).alias("axis"), F.lit(t).alias("term"))
+            rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def profile_hint(styles: DataFrame, chosen: DataFrame) -> DataFrame:
+    """log_id, suggested, active, hint_key where the flown style suggests another profile than the active one.
+
+    ``styles``: log_id, profile; ``chosen``: log_id, profile (null: sport).
+    """
+    j = styles.select("log_id", F.col("profile").alias("suggested")).join(chosen.select("log_id", F.coalesce("profile", F.lit("sport")).alias("active")), "log_id")
+    return j.where("suggested is not null and suggested <> active").withColumn("hint_key", F.concat_ws(":", "log_id", "suggested", "active"))

@@ -52,6 +52,13 @@ def boxcar(x: Column, width: int, w: WindowSpec) -> Column:
     return F.avg(finite(x)).over(w.rowsBetween(-half, half))
 
 
+def strict_boxcar(x: Column, width: int, w: WindowSpec) -> Column:
+    """As :func:`boxcar`, but a NaN or null sample makes every mean it takes part in null."""
+    half = (width | 1) // 2
+    near = w.rowsBetween(-half, half)
+    return F.when(F.count(finite(x)).over(near) == F.count(F.lit(1)).over(near), F.avg(x).over(near))
+
+
 def hold_last(x: Column, w: WindowSpec) -> Column:
     """Forward fill of NaN and null; leading gaps stay null."""
     return F.last(finite(x), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))

@@ -113,6 +113,23 @@ def q_recommend(spark, d):
     return recs.select("log_id", "rec_id", "domain", F.coalesce("axis", F.lit("")).alias("axis"), "severity", "confidence", F.array_join("cli", "; ").alias("cli"))
 
 
+def q_regions(spark, d):
+    f, _, w = parts(spark, d)
+    return rounded(M.region_plan(f, w, 12, 0.02, 2))
+
+
+def q_caveat(spark, d):
+    return G.step_caveat(caps(spark)).select("log_id", F.col("axis").cast("long"), "term")
+
+
+def q_hint(spark, d):
+    """Profile hints for a style by the median stick size of each log."""
+    f = flight_frames(spark, d)
+    style = f.groupBy("log_id").agg(S.percentile_linear(F.abs("rcCommand_0"), 0.5).alias("m")).select("log_id", F.when(F.col("m") < 40, "cruise").when(F.col("m") < 45, "sport").otherwise("3d").alias("profile"))
+    chosen = f.select("log_id").distinct().select("log_id", F.when(F.col("log_id") % 2 == 0, "cruise").alias("profile"))
+    return G.profile_hint(style, chosen)
+
+
 # --- literal tables: headers and capabilities -------------------------------------------------------------------
 
 #: Synthetic headers: log, parameter, value.
@@ -228,6 +245,7 @@ QUERIES = {
     "ff_verdict": q_ff_verdict, "gate_stats": q_gate_stats, "gate_events": q_gate_events, "attenuation": q_attenuation, "trim_bias": q_trim, "saturation_runs": q_saturation, "servo_pairs": q_asymmetry,
     "axis_servo_sum": q_axis_servo, "probe_strided": q_probe, "recommendations": q_recommend, "header_filters": q_filter_config, "delay_budget": q_delay, "filter_params": q_params, "smix_roles": q_smix,
     "servo_params": q_servo_params, "header_search": q_search, "signal_resolution": q_resolution, "module_report": q_modules, "field_table": q_fields, "confidence": q_confidence, "hyperbolic_eval": q_hyperbolic,
+    "region_plan": q_regions, "step_caveat": q_caveat, "profile_hint": q_hint,
 }
 
 WIN = "WINDOW w AS (PARTITION BY log_id ORDER BY frame_idx)"
@@ -397,4 +415,13 @@ ORACLE_SQL = {
     "confidence": f"""WITH {FRAMES_SQL}, {_shares} SELECT log_id, axis, CASE WHEN ps > 0.1 AND i_s < 0.45 AND ds > 0.2 THEN 'green' WHEN NOT ps > 0.1 OR CAST(NOT i_s < 0.45 AS INT) + CAST(NOT ds > 0.2 AS INT) > 1 THEN 'red' ELSE 'yellow' END AS confidence,
         array_to_string([x for x in [CASE WHEN NOT ds > 0.2 THEN 'd' END, CASE WHEN NOT i_s < 0.45 THEN 'i' END, CASE WHEN NOT ps > 0.1 THEN 'p' END] if x IS NOT NULL], ',') AS failed FROM sh""",
     "hyperbolic_eval": "WITH t AS (SELECT i / CAST(100 AS DOUBLE) AS x FROM (SELECT unnest(generate_series(0, 100)) AS i)) SELECT x, " + ", ".join(r(_curve(*p), n) for n, p in CURVES.items()) + " FROM t",
+    "region_plan": f"""WITH {MAN_SQL}, nd AS (SELECT DISTINCT log_id, n, dt FROM m1), ax AS (SELECT log_id, n, dt, axis FROM nd, (VALUES (0), (1), (2)) AS v(axis)),
+        o AS (SELECT ax.log_id, axis, greatest(start_idx - {half_up("0.02 / ax.dt")}, 0) AS s, least(end_idx + {half_up("0.02 / ax.dt")}, ax.n) AS e FROM man JOIN ax ON ax.log_id = man.log_id AND (kind = 'mixed' OR dominant_axis = axis)),
+        p AS (SELECT *, max(e) OVER (PARTITION BY log_id, axis ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM o), g AS (SELECT *, sum(CASE WHEN s - m <= 0 THEN 0 ELSE 1 END) OVER (PARTITION BY log_id, axis ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM p),
+        rg AS (SELECT log_id, axis, min(s) AS s, max(e) AS e FROM g GROUP BY log_id, axis, g HAVING max(e) - min(s) >= 12), c AS (SELECT *, sum(e - s) OVER (PARTITION BY log_id, axis) AS cov FROM rg)
+        SELECT log_id, axis, s AS start_idx, e AS end_idx, 'manoeuvres' AS mode FROM c WHERE cov >= 24
+        UNION ALL SELECT log_id, axis, 0, n, 'whole flight' FROM ax WHERE NOT EXISTS (SELECT 1 FROM c WHERE cov >= 24 AND c.log_id = ax.log_id AND c.axis = ax.axis)""",
+    "step_caveat": f"WITH {CAPS_SQL} SELECT log_id, CAST(substr(field, 7, 1) AS BIGINT) AS axis, substr(field, 5, 1) AS term FROM ck WHERE regexp_full_match(field, 'axis[FS].[0-2].') AND greatest(abs(lo), abs(hi)) > 1",
+    "profile_hint": f"""WITH {FRAMES_SQL}, s AS (SELECT log_id, CASE WHEN quantile_cont(abs(rcCommand_0), 0.5) < 40 THEN 'cruise' WHEN quantile_cont(abs(rcCommand_0), 0.5) < 45 THEN 'sport' ELSE '3d' END AS suggested, CASE WHEN log_id % 2 = 0 THEN 'cruise' ELSE 'sport' END AS active FROM frames GROUP BY log_id)
+        SELECT log_id, suggested, active, log_id || ':' || suggested || ':' || active AS hint_key FROM s WHERE suggested <> active""",
 }
