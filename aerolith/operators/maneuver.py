@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions.columns import half_up
@@ -128,20 +128,26 @@ def feedforward_windows(
     keys = ["log_id", "axis", "start_idx", "end_idx"]
     inside = Window.partitionBy(*keys)
     half = F.floor(F.greatest(half_up(F.lit(smooth_sec) / F.col("dt")), F.lit(3)) / 2)
-    # the boxcar is clipped to the window: running sums make its width a column
+    # the boxcar is clipped to the window, and its width is a column: differences of running sums, window by window
     rows = rows.withColumn("acc", F.sum("f").over(inside.orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumns({"lo": F.greatest(F.col("frame_idx") - half, F.col("start_idx")), "hi": F.least(F.col("frame_idx") + half, F.col("end_idx") - 1)})
-    ends = rows.select(*keys, F.col("frame_idx").alias("j"), F.col("acc").alias("a"))
-    rows = rows.join(ends.withColumnsRenamed({"j": "hi", "a": "acc_hi"}), [*keys, "hi"])
-    rows = rows.join(ends.withColumn("lo", F.col("j") + 1).drop("j").withColumnRenamed("a", "acc_lo"), [*keys, "lo"], "left")
-    smooth = (F.col("acc_hi") - F.coalesce("acc_lo", F.lit(0.0))) / (F.col("hi") - F.col("lo") + 1)
-    rows = rows.withColumn("smooth", smooth)
     move = F.abs("vel") >= moving
-    stats = rows.groupBy(*keys).agg(
+    stats = rows.withColumn("half", half).groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(move, F.abs("f"))), F.lit(0.0)).alias("sum_f"), F.coalesce(F.sum(F.when(move, F.abs("p"))), F.lit(0.0)).alias("sum_p"),
         F.max_by(F.struct("frame_idx", "vel"), F.struct(F.abs("vel"), -F.col("frame_idx"))).alias("top"), F.max(F.abs("sp")).alias("sp_peak"),
-        F.avg(F.pow(F.col("f") - F.col("smooth"), 2)).alias("res"), F.avg(F.col("smooth") * F.col("smooth")).alias("env"), F.first("dt").alias("dt"), F.first("n").alias("n"),
+        F.sort_array(F.collect_list(F.struct("frame_idx", "f", "acc"))).alias("trace"), F.first("half").cast("int").alias("half"), F.first("dt").alias("dt"), F.first("n").alias("n"),
     )
+    last, width = F.size("trace") - 1, F.col("half")
+
+    def add(sums: Column, i: Column) -> Column:
+        hi, lo = F.least(i + width, last), F.greatest(i - width, F.lit(0))
+        before = F.when(lo > 0, F.get("trace", lo - 1)["acc"]).otherwise(0.0)
+        smooth = (F.get("trace", hi)["acc"] - before) / (hi - lo + 1)
+        rest = F.get("trace", i)["f"] - smooth
+        return F.struct((sums["res"] + rest * rest).alias("res"), (sums["env"] + smooth * smooth).alias("env"))
+
+    zero = F.struct(F.lit(0.0).alias("res"), F.lit(0.0).alias("env"))
+    stats = stats.withColumn("sums", F.aggregate(F.sequence(F.lit(0), last), zero, add))
+    stats = stats.withColumns({"res": F.col("sums.res") / F.size("trace"), "env": F.col("sums.env") / F.size("trace")}).drop("sums", "trace")
     after = stats.select(
         "log_id", "axis", F.col("start_idx").alias("s"), F.col("end_idx").alias("e"), F.col("top.frame_idx").alias("start_idx"),
         F.least(F.col("n"), F.col("top.frame_idx") + F.greatest(half_up(F.lit(over_ms / 1000.0) / F.col("dt")), F.lit(1))).alias("end_idx"),

@@ -42,6 +42,14 @@ def rec(rows: DataFrame, order: int, rec_id, domain: str, severity, title, axis=
     )
 
 
+def rec_each(rows: DataFrame, order: int, domain: str, axis: Column, cases: list[tuple]) -> DataFrame:
+    """Recommendations of several rules over the same rows in one pass; ``cases``: condition, rec_id, severity, title, confidence."""
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+    structs = [F.when(c, F.struct(lit(i).alias("rec_id"), lit(s).alias("severity"), lit(t).alias("title"), lit(k).alias("confidence"))) for c, i, s, t, k in cases]
+    found = rows.select("*", F.explode(F.filter(F.array(*structs), lambda x: x.isNotNull())).alias("__r"))
+    return rec(found, order, F.col("__r.rec_id"), domain, F.col("__r.severity"), F.col("__r.title"), axis, confidence=F.col("__r.confidence"))
+
+
 def debug_mode(modules: DataFrame, caps: DataFrame) -> DataFrame:
     """Suggests a debug mode whose analyses are blocked, unless the log has it already."""
     blocked = lambda m, n: F.count(F.when((F.col("module") == m) & (F.col("state") == "blocked"), 1)) >= n
@@ -63,11 +71,11 @@ def share_rules(shares: DataFrame, logged: DataFrame | None = None) -> DataFrame
     a = short(F.col("axis"))
     tag = lambda s: F.concat(F.lit(s), F.lower(a))
     level = F.when(F.col("i_share") > 0.70, "high").when(F.col("i_share") > 0.55, "medium").otherwise("low")
-    return reduce(DataFrame.unionByName, [
-        rec(rows.where("has_d and p_share > 0.45 and d_share < 0.08"), 2, tag("pidfs-high-p-low-d-"), "PID", "low", "Strong P with little D", a),
-        rec(rows.where("i_share > 0.40"), 2, tag("pidfs-i-dominance-"), "PID", level, "I carries much of the output", a),
-        rec(rows.where("has_f and f_share > 0.40"), 2, tag("pidfs-f-excessive-"), "PID", "low", "Large feed-forward share", a),
-        rec(rows.where("has_s and s_share < 0.02"), 2, tag("pidfs-s-barely-"), "PID", "info", "S hardly takes part", a),
+    return rec_each(rows, 2, "PID", a, [
+        (F.expr("has_d and p_share > 0.45 and d_share < 0.08"), tag("pidfs-high-p-low-d-"), "low", "Strong P with little D", "yellow"),
+        (F.expr("i_share > 0.40"), tag("pidfs-i-dominance-"), level, "I carries much of the output", "yellow"),
+        (F.expr("has_f and f_share > 0.40"), tag("pidfs-f-excessive-"), "low", "Large feed-forward share", "yellow"),
+        (F.expr("has_s and s_share < 0.02"), tag("pidfs-s-barely-"), "info", "S hardly takes part", "yellow"),
     ])
 
 
@@ -114,8 +122,10 @@ def gate_rule(stats: DataFrame, events: DataFrame) -> DataFrame:
     rows = stats.join(n, ["log_id", "axis"], "left").withColumn("n", F.coalesce("n", F.lit(0))).where("active_pct >= 1 or n > 0")
     name = F.element_at(F.array(F.lit("roll"), F.lit("pitch"), F.lit("yaw")), F.col("axis") + 1)
     a = short(F.col("axis"))
-    clean = rec(rows.where("n = 0"), 5, F.concat(F.lit("spa-clean-"), name), "SPA", "info", "Gate holds the I term cleanly", a, confidence="green")
-    return clean.unionByName(rec(rows.where("n > 0"), 5, F.concat(F.lit("spa-events-"), name), "SPA", F.when(F.col("n") >= 5, "medium").otherwise("low"), "Wind-up or bounce-back around the gate", a))
+    return rec_each(rows, 5, "SPA", a, [
+        (F.col("n") == 0, F.concat(F.lit("spa-clean-"), name), "info", "Gate holds the I term cleanly", "green"),
+        (F.col("n") > 0, F.concat(F.lit("spa-events-"), name), F.when(F.col("n") >= 5, "medium").otherwise("low"), "Wind-up or bounce-back around the gate", "yellow"),
+    ])
 
 
 def curve_rule(fitted: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -153,10 +163,10 @@ def asymmetry_rule(pairs: DataFrame) -> DataFrame:
 def feedforward_rule(ff: DataFrame) -> DataFrame:
     a = short(F.col("axis"))
     tag = lambda s: F.concat(F.lit(s), axis_name(F.col("axis")))
-    return reduce(DataFrame.unionByName, [
-        rec(ff.where("noisy and n_windows > 0"), 9, tag("ff-noisy-"), "PID", "low", "Feed-forward is noisy", a),
-        rec(ff.where("verdict = 'undergained'"), 9, tag("ff-undergained-"), "PID", "low", "Feed-forward does less than half of the work", a),
-        rec(ff.where("verdict = 'overgained'"), 9, tag("ff-overgained-"), "PID", "low", "Feed-forward overshoots in most manoeuvres", a),
+    return rec_each(ff, 9, "PID", a, [
+        (F.expr("noisy and n_windows > 0"), tag("ff-noisy-"), "low", "Feed-forward is noisy", "yellow"),
+        (F.expr("verdict = 'undergained'"), tag("ff-undergained-"), "low", "Feed-forward does less than half of the work", "yellow"),
+        (F.expr("verdict = 'overgained'"), tag("ff-overgained-"), "low", "Feed-forward overshoots in most manoeuvres", "yellow"),
     ])
 
 

@@ -21,8 +21,9 @@ LEVELS = {"enter": 12000.0, "leave": 6000.0, "gap_ms": 20.0, "least_ms": 20.0, "
 
 
 def parts(spark, d):
-    f = flight_frames(spark, d)
-    return f, axis_frames(f), M.detect_maneuvers(f, **LEVELS)
+    """Frames, axis rows and manoeuvres, the shared inputs of several analyses: computed once, kept for reuse."""
+    f = flight_frames(spark, d).persist()
+    return f, axis_frames(f), M.detect_maneuvers(f, **LEVELS).persist()
 
 
 def q_maneuvers(spark, d):
@@ -103,8 +104,7 @@ def q_probe(spark, d):
 
 def q_recommend(spark, d):
     """Share, feed-forward, coupling and servo rules over all logs, with severity order."""
-    f = flight_frames(spark, d).persist()  # every rule reads it
-    a, w = axis_frames(f), M.detect_maneuvers(f, **LEVELS).persist()
+    f, a, w = parts(spark, d)
     style = f.select("log_id").distinct().select("log_id", F.element_at(F.array(F.lit("cruise"), F.lit("sport"), F.lit("3d"), F.lit("other")), (F.col("log_id") % 4 + 1).cast("int")).alias("profile"))
     recs = R.gather(
         R.share_rules(S.term_shares(a)), R.feedforward_rule(M.feedforward(M.feedforward_windows(a, w))), R.coupling_rule(M.axis_coupling(f, w), style, least=1),
