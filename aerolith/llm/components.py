@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from aerolith.llm.common import materialise
 
 
+#: A vertex' pairs are dealt to so many places, with a copy of its least neighbour at each.
+SALTS = 8
+
+
 def _star(pairs: DataFrame) -> DataFrame:
     """Pairs (u, v) joined to the least vertex of u's neighbourhood, itself included, as u, v, m."""
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return pairs.join(least, "u")
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(least, ["u", "salt"]).drop("salt")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

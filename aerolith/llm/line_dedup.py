@@ -137,10 +137,11 @@ def line_dedup(docs: DataFrame, min_chars: int = 24, rare: int = 32) -> DataFram
     holds = one.select(F.struct("doc_id", "key").alias("doc"), F.explode(F.array_distinct(seeds)).alias("line"))
     holds = materialise(holds, "holds")
     shared = holds.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).where("n > 1")
-    met = holds.join(shared, "line")
+    # a written side, and a fresh exchange before the window: the join's large partitions can be split
+    met = holds.join(materialise(shared, "shared"), "line")
     star = met.where("doc <> first").select(F.col("doc.key").alias("later"), F.col("first.key").alias("earlier"))
     before = F.lag("doc").over(Window.partitionBy("line").orderBy("doc"))
-    chain = met.where(F.col("n") <= rare).select(F.col("doc.key").alias("later"), before.alias("b")).where("b is not null").select("later", F.col("b.key").alias("earlier"))
+    chain = met.where(F.col("n") <= rare).repartition("line").select(F.col("doc.key").alias("later"), before.alias("b")).where("b is not null").select("later", F.col("b.key").alias("earlier"))
     pairs = materialise(star.unionByName(chain).distinct(), "pairs")
     a = one.select(F.col("key").alias("later"), F.col("hashes").alias("a"), "sizes")
     b = one.select(F.col("key").alias("earlier"), F.col("hashes").alias("b"))
