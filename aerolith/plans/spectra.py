@@ -199,6 +199,13 @@ ft AS (SELECT log_id, axis, seg, bin, sum((sp - ms) * {HANN} * cos(2 * pi() * j
   sum((gyro - mg) * {HANN} * cos(2 * pi() * j * bin / {L})) AS br, -sum((gyro - mg) * {HANN} * sin(2 * pi() * j * bin / {L})) AS bi FROM sx JOIN mm USING (log_id, axis, seg) CROSS JOIN bb GROUP BY 1, 2, 3, 4),
 cs AS (SELECT log_id, axis, bin, sum(ar * ar + ai * ai) AS sxx, sum(br * br + bi * bi) AS syy, sum(ar * br + ai * bi) AS re, sum(ar * bi - ai * br) AS im, count(*) AS n FROM ft GROUP BY 1, 2, 3)"""
 
+#: Inputs of the airspeed model, unrounded.
+AIR_SQL = f"""{FRAMES_SQL}, g AS (SELECT log_id, time_sec AS t, gps_speed AS v FROM frames WHERE frame_idx % 5 = 0), e AS (SELECT log_id, min(t) AS g0, max(t) AS g1 FROM g GROUP BY log_id),
+xa AS (SELECT f.* FROM frames f JOIN e ON e.log_id = f.log_id WHERE f.time_sec BETWEEN g0 AND g1), ia AS (SELECT log_id, floor(least(greatest(max(vbatLatest) * 100, 420), 8400) + 0.5) / 100.0 AS volts FROM xa GROUP BY log_id HAVING count(*) >= 10),
+ac AS (SELECT xa.log_id, frame_idx, time_sec - lag(time_sec) OVER (PARTITION BY xa.log_id ORDER BY frame_idx) AS dt,
+  4 * CAST(9.81 AS DOUBLE) * greatest(least(greatest(least((rcCommand_3 - 1000) / 1000.0, 1), 0) * vbatLatest / volts, 1), 0) - CAST(9.81 AS DOUBLE) * sin(radians(-attitude_1 / 10.0)) AS push,
+  atanh(CAST(0.5 AS DOUBLE)) * atanh(CAST(0.5 AS DOUBLE)) / (4 * CAST(9.81 AS DOUBLE)) AS drag FROM xa JOIN ia ON ia.log_id = xa.log_id)"""
+
 ORACLE_SQL = {
     "welch_psd": f"WITH {FRAMES_SQL}, {PSD_SQL} SELECT log_id, axis, bin, {r('freq', 'freq')}, {r('psd', 'psd')}, n_segments, {r('CASE WHEN psd <= 1e-12 THEN -120.0 ELSE 10 * log10(psd) END', 'db')} FROM psd",
     "psd_peaks": f"""WITH {FRAMES_SQL}, {PSD_SQL}, k AS (SELECT *, lag(psd) OVER w AS l, lead(psd) OVER w AS g, (sum(psd) FILTER (WHERE psd > 0) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) - CASE WHEN psd > 0 THEN psd ELSE 0 END) / nullif(count(*) FILTER (WHERE psd > 0) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) - CASE WHEN psd > 0 THEN 1 ELSE 0 END, 0) AS m
@@ -233,4 +240,15 @@ ORACLE_SQL = {
         i AS (SELECT log_id, max(vbatLatest) AS peak FROM x GROUP BY log_id HAVING count(*) >= 10)
         SELECT x.log_id, frame_idx, {r('time_sec', 'time_sec')}, {r('greatest(least((rcCommand_3 - 1000) / 1000.0, 1), 0)', 'throttle')}, {r('vbatLatest', 'vbat')}, {r('radians(-attitude_1 / 10.0)', 'pitch')}, {r('CASE WHEN ta <= tb THEN b.v ELSE b.v + (a.v - b.v) * (x.time_sec - tb) / (ta - tb) END', 'gps_speed')},
           {r('floor(least(greatest(peak * 100, 420), 8400) + 0.5) / 100.0', 'full_volts')}, FALSE AS pitch_missing FROM x JOIN i ON i.log_id = x.log_id JOIN g a ON a.log_id = x.log_id AND a.t = ta JOIN g b ON b.log_id = x.log_id AND b.t = tb""",
+    "airspeed_euler": f"""WITH RECURSIVE {AIR_SQL}, y(log_id, frame_idx, v) AS (SELECT log_id, frame_idx, CAST(0 AS DOUBLE) FROM ac WHERE frame_idx = 0
+        UNION ALL SELECT ac.log_id, ac.frame_idx, greatest(y.v + (push - drag * y.v * y.v) * dt, 0) FROM y JOIN ac ON ac.log_id = y.log_id AND ac.frame_idx = y.frame_idx + 1 WHERE ac.frame_idx < 60)
+        SELECT log_id, frame_idx, {r("v", "airspeed")} FROM y""",
+    "xcorr_align": f"""WITH {FRAMES_SQL}, z AS (SELECT log_id, frame_idx, sqrt(gyroADC_0 * gyroADC_0 + gyroADC_1 * gyroADC_1 + gyroADC_2 * gyroADC_2) AS g FROM frames), p AS (SELECT z.log_id, z.frame_idx, r0.g AS a0, z.g AS b0 FROM z JOIN (SELECT * FROM z WHERE log_id = 0) r0 USING (frame_idx)),
+        x AS (SELECT log_id, frame_idx, a0 - avg(a0) OVER (PARTITION BY log_id) AS a, b0 - avg(b0) OVER (PARTITION BY log_id) AS b FROM p), nn AS (SELECT log_id, sqrt(sum(a * a) * sum(b * b)) AS norm FROM x GROUP BY log_id), lg AS (SELECT unnest(generate_series(-12, 12)) AS lag),
+        cc AS (SELECT nn.log_id, lag, coalesce(sum(x.a * y.b), 0) / min(norm) AS r FROM nn CROSS JOIN lg JOIN x ON x.log_id = nn.log_id LEFT JOIN x y ON y.log_id = x.log_id AND y.frame_idx = x.frame_idx + lag GROUP BY 1, 2),
+        top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY r DESC, lag) AS k FROM cc) WHERE k = 1), far AS (SELECT cc.log_id, max(cc.r) AS rival FROM cc JOIN top ON top.log_id = cc.log_id AND abs(cc.lag - top.lag) > 2 GROUP BY 1),
+        al AS (SELECT top.log_id, -top.lag / {FS} AS offset_sec, top.r AS ncc, CASE WHEN rival > 0 THEN top.r / rival END AS ratio FROM top LEFT JOIN far ON far.log_id = top.log_id),
+        c0 AS (SELECT log_id, frame_idx, time_sec, rcCommand_3 AS c, lag(rcCommand_3) OVER w AS b FROM frames {WIN}), c1_ AS (SELECT log_id, CASE WHEN max(CASE WHEN frame_idx = 0 AND c >= 1400 THEN 1 ELSE 0 END) = 0 THEN min(CASE WHEN b < 1400 AND c >= 1400 THEN time_sec END) END AS t FROM c0 GROUP BY log_id)
+        SELECT al.log_id, {r("offset_sec", "offset_sec")}, {r("ncc", "ncc")}, {r("ratio", "peak_ratio")}, {r("CASE WHEN ncc >= 0.4 AND coalesce(ratio, 1e308) >= 1.5 THEN offset_sec WHEN t IS NOT NULL THEN 0.25 - t ELSE offset_sec END", "chosen_sec")},
+          CASE WHEN ncc >= 0.4 AND coalesce(ratio, 1e308) >= 1.5 THEN 'correlation' WHEN t IS NOT NULL THEN 'first-throttle' ELSE 'low-confidence' END AS method FROM al LEFT JOIN c1_ ON c1_.log_id = al.log_id""",
 }
