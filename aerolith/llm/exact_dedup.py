@@ -57,9 +57,11 @@ def chunk_store(recipe_rows: DataFrame) -> DataFrame:
 def identified(recipe_rows: DataFrame) -> DataFrame:
     """``recipe_rows`` with ``ids``, the ordered list of verified identifiers, and ``new_bytes``."""
     uses = recipe_rows.select("row_uid", F.posexplode("recipe").alias("pos", "c")).select("row_uid", "pos", F.col("c.id").alias("chunk"))
+    # dealt anew before the join, so that the uses of a hot chunk can be split there
+    store = chunk_store(recipe_rows).repartition(int(recipe_rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     new = (F.col("first_row") == F.col("row_uid")) & (F.col("first_pos") == F.col("pos"))
     lists = (
-        uses.join(materialise(chunk_store(recipe_rows), "store"), "chunk")  # a written side: the uses of a hot chunk can be split
+        uses.join(store, "chunk")
         .groupBy("row_uid")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "first_row", "first_pos"))).alias("ids"), F.sum(F.when(new, F.col("n_bytes"))).alias("new_bytes"))
         .withColumn("ids", F.transform("ids", lambda c: F.struct(c["first_row"], c["first_pos"])))
