@@ -131,8 +131,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 24, rare: int = 32) -> DataFram
     texts = texts.withColumn("key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.col("text")))))
     lines = F.split("text", "\n", -1)
     base = texts.select("key", "doc_id", F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"), F.transform(lines, lambda x: F.length(x)).alias("sizes"))
-    base = materialise(base, "lines")
-    one = base.dropDuplicates(["key"])
+    one = materialise(base.dropDuplicates(["key"]), "lines")
     seeds = F.filter(F.arrays_zip("hashes", "sizes"), lambda x: x["sizes"] >= min_chars)["hashes"]
     holds = one.select(F.struct("doc_id", "key").alias("doc"), F.explode(F.array_distinct(seeds)).alias("line"))
     holds = materialise(holds, "holds")
