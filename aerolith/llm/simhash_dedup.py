@@ -8,9 +8,9 @@ shard is searched, then inserted. A broadcast of shard trees would first gather
 tree is built in the task that owns the shard and serves all searches of that shard there.
 
 Masks for radius r on 64 bits: the bits are cut into r + 2 bands and a mask is any 2 of them, so two fingerprints
-within r bits agree on some mask and no link is lost. For a wide radius (``similarity``), masks are random sets of bits,
-their size and number set by a rule from the number of fingerprints so that a pair at the threshold is met with
-probability ``recall``.
+within r bits agree on some mask and no link is lost. For a threshold on the similarity of the shingle sets
+(``near_groups``), fingerprints only propose: masks are random sets of bits, the radius and the number of masks set by a
+rule so that a pair at the threshold is met with probability ``recall``, and links are verified on the sets.
 
 From a shard only links that join two of its groups so far are emitted (at most one less than its fingerprints), which
 keeps every component and never lists the pairs of a large group.
@@ -18,6 +18,7 @@ keeps every component and never lists the pairs of a large group.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 import random
@@ -88,12 +89,23 @@ def pigeonhole_masks(bits: int, radius: int) -> list[int]:
     return [x | y for x, y in itertools.combinations(bands, 2)]
 
 
-def sampled_masks(bits: int, radius: int, n: int, recall: float, shard: int = 32) -> list[int]:
-    """Random masks: shards of about ``shard`` fingerprints, as many masks as ``recall`` at the radius asks for."""
+def sampled_masks(bits: int, similarity: float, n: int, recall: float, shard: int = 32) -> tuple[list[int], int]:
+    """Random masks and a search radius for pairs of shingle sets at ``similarity`` among ``n`` fingerprints.
+
+    The distance of such a pair is binomial; the radius lies four standard deviations over its mean. Shards hold about
+    ``shard`` fingerprints. Masks are as many as make the chance that the pair is within the radius and meets under some
+    mask at least ``recall``; a mask meets a pair at distance d with the hypergeometric chance of missing all d bits.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = min(bits, math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p))))
     size = max(8, math.ceil(math.log2(max(n, 2) / shard)))
-    meet = (1 - radius / bits) ** size
+    chance = [math.comb(bits, d) * p**d * (1 - p) ** (bits - d) for d in range(radius + 1)]
+    apart = [1 - math.comb(bits - d, size) / math.comb(bits, size) for d in range(radius + 1)]
+    count = 1
+    while sum(c * (1 - a**count) for c, a in zip(chance, apart)) < recall:
+        count += 1
     rng = random.Random(SEED)
-    return [sum(1 << b for b in rng.sample(range(bits), size)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - meet)))]
+    return [sum(1 << b for b in rng.sample(range(bits), size)) for _ in range(count)], radius
 
 
 class BKTree:
@@ -154,6 +166,61 @@ def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     return links
 
 
+def shard_candidates(values: list[int], radius: int, most: int = 3) -> list[tuple[int, int]]:
+    """(position, earlier position) of each value's nearest ``most`` within the radius; each value that has any is in some pair."""
+    tree, met, pairs = BKTree(), [], []
+    for i, value in enumerate(values):
+        near = sorted(tree.search(value, radius), key=lambda j: (values[j] ^ value).bit_count())
+        tree.insert(value)
+        met.append(bool(near))
+        for k, j in enumerate(near):
+            if k < most or not met[j]:
+                pairs.append((i, j))
+                met[j] = True
+    return pairs
+
+
+def shard_pairs(values: list[int], labels: list, radius: int) -> list[tuple[int, int]]:
+    """All pairs (position, earlier position) within the radius whose labels differ."""
+    if len(set(labels)) == 1:
+        return []
+    tree, pairs = BKTree(), []
+    for i, value in enumerate(values):
+        pairs += [(i, j) for j in tree.search(value, radius) if labels[i] != labels[j]]
+        tree.insert(value)
+    return pairs
+
+
+def shard_search(nodes: DataFrame, masks: list[int], bits: int, close) -> DataFrame:
+    """(a, b): keys of the pairs that ``close(numbers, labels)`` finds in each shard of ``nodes`` (fp, key, label)."""
+    size = bits // 8
+    held_schema = pa.schema([("mask", pa.int32()), *((n, pa.binary()) for n in ("shard", "fp", "key", "label"))])
+
+    def spread(batches):
+        for batch in batches:
+            numbers = [int.from_bytes(f, "big") for f in batch.column(0).to_pylist()]
+            for k, mask in enumerate(masks):
+                shard = pa.array([(x & mask).to_bytes(size, "big") for x in numbers], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(numbers), pa.int32()), shard, *batch.columns], schema=held_schema)
+
+    def search(batches):
+        def pairs():
+            rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+            for _, group in itertools.groupby(rows, key=lambda r: r[:2]):
+                group = list(group)
+                if len(group) > 1:
+                    for i, j in close([int.from_bytes(r[2], "big") for r in group], [r[4] for r in group]):
+                        yield max(group[i][3], group[j][3]), min(group[i][3], group[j][3])
+
+        found = pairs()
+        while part := list(itertools.islice(found, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in part], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    keyed = map_batches(nodes.select("fp", "key", "label"), spread, "mask int, shard binary, fp binary, key binary, label binary")
+    dealt = keyed.repartition("mask", "shard").sortWithinPartitions("mask", "shard", "fp", "key")
+    return map_batches(dealt, search, "a binary, b binary").where("a <> b").distinct()
+
+
 def fingerprint_links(distinct: DataFrame, masks: list[int], radius: int, bits: int) -> DataFrame:
     """(a, b): enough links between fingerprints (column fp) to connect all that are linked within ``radius`` bits."""
     size = bits // 8
@@ -197,13 +264,10 @@ def fingerprint_links(distinct: DataFrame, masks: list[int], radius: int, bits:
     return map_batches(dealt, search, "a binary, b binary")
 
 
-def simhash_groups(
-    docs: DataFrame, words: int = 3, radius: int = 3, bits: int = 64, similarity: float | None = None, recall: float = 0.98
-) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3, bits: int = 64) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable by links) of each row of ``docs``.
 
-    Links join fingerprints at ``radius`` or fewer differing bits; with ``similarity``, the radius is the distance at
-    which the estimated Jaccard similarity of the shingle sets falls below it.
+    Links join fingerprints at ``radius`` or fewer differing bits.
 
     Defined results: null and word-less texts have fingerprint zero and are linked like any other; rows with a null
     doc_id keep it and never name a component unless it has no other row; repeated rows are answered row by row; an
@@ -211,12 +275,7 @@ def simhash_groups(
     """
     rows = materialise(fingerprints(docs, words, bits), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    if similarity is None:
-        masks = pigeonhole_masks(bits, radius)
-    else:
-        cosine = 2 * similarity / (1 + similarity)
-        radius = int(math.acos(cosine) / math.pi * bits)
-        masks = sampled_masks(bits, radius, distinct.count(), recall)
+    masks = pigeonhole_masks(bits, radius)
     linked = connected_components(fingerprint_links(distinct, masks, radius, bits))
     nodes = distinct.join(linked, distinct["fp"] == linked["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
@@ -227,13 +286,92 @@ def simhash_groups(
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_sets(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """doc_id, fp (SimHash of the text's distinct shingles), shingles (their sorted 64-bit hashes) and key (MD5 of these)."""
+
+    def kernel():
+        from aerolith.llm.simhash_dedup import SEED, fold, shingle_hashes
+
+        def step(cols):
+            fps, sets, keys = [], [], []
+            for text in cols["text"].to_pylist():
+                parts = [np.unique(shingle_hashes(text, words, SEED + k)) for k in range(bits // 64)]
+                fps.append(b"".join(fold(p).to_bytes(8, "big") for p in parts))
+                sets.append(parts[0].astype("<u8").tobytes())
+                keys.append(hashlib.md5(sets[-1]).digest())
+            return {"doc_id": cols["doc_id"], "fp": fps, "shingles": sets, "key": keys}
+
+        return step
+
+    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    names = ("fp", "shingles", "key")
+    return map_rows(
+        rows, kernel, "doc_id long, fp binary, shingles binary, key binary", pa.schema([("doc_id", pa.int64()), *((n, pa.binary()) for n in names)])
+    )
+
+
+def alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two shingle sets is ``similarity`` or more."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose shingle sets (key, shingles) are at ``similarity`` or more."""
+
+    def run(batches):
+        from aerolith.llm.simhash_dedup import alike
+
+        for batch in batches:
+            keep = [alike(x.as_py(), y.as_py(), similarity) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    x, y = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"{k}_set")) for k in ("a", "b"))
+    return map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "a_set", "b_set"), run, "a binary, b binary")
+
+
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 128, recall: float = 0.99) -> DataFrame:
+    """doc_id and component_id (smallest doc_id reachable by links) of each row of ``docs``.
+
+    Links join texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Shards propose, by
+    fingerprints of the sets, and every link is verified on the sets themselves. First each set's nearest few are
+    verified, which joins the large groups; then all pairs met that are still in different components, so that every
+    pair met is either joined or found to be less alike, and the pairs of a large group are not listed.
+    """
+    rows = materialise(shingle_sets(docs, words, bits), "sets")
+    nodes = materialise(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")), "nodes")
+    masks, radius = sampled_masks(bits, similarity, nodes.count(), recall)
+
+    first = materialise(shard_search(nodes.withColumn("label", F.col("key")), masks, bits, lambda v, _: shard_candidates(v, radius)), "candidates")
+    some = materialise(first.select(F.col("a").alias("key")).union(first.select("b")).distinct(), "candidate-keys")
+    sets = rows.select("key", "shingles").join(small_side(some, 32), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = materialise(sets, "candidate-sets")
+    links = materialise(verified(first, sets, similarity), "links")
+    found = connected_components(links)
+
+    labelled = nodes.join(small_side(some, 32), "key", "left_semi").join(found, F.col("key") == F.col("node"), "left")
+    labelled = materialise(labelled.select("fp", "key", F.coalesce("component", "key").alias("label")), "labelled")
+    second = shard_search(labelled, masks, bits, lambda v, names: shard_pairs(v, names, radius)).join(first, ["a", "b"], "left_anti")
+    more = materialise(verified(materialise(second, "candidates"), sets, similarity), "links")
+    if not more.isEmpty():
+        found = connected_components(links.unionByName(more))
+
+    named = nodes.join(found, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("component", "key").alias("component"))
+    named = materialise(named, "named")
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "key").join(named.join(names, "component").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 128) -> DataFrame:
     """``docs`` with one row for each group of near copies: the row with the group's smallest doc_id.
 
     Rows with a null doc_id cannot be told apart by id and stay; rows that share a doc_id stay or go together. All columns
     are kept.
     """
-    groups = simhash_groups(docs, words, bits=bits, similarity=similarity)
+    groups = near_groups(docs, words, similarity, bits)
     lost = materialise(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "lost")
     lost = small_side(lost, 32)
     return docs.join(lost, docs["doc_id"] == lost["__id"], "left_anti")

@@ -165,3 +165,29 @@ def test_line_dedup(spark):
     assert got[1].n_removed == 0 and got[2].removed == [1, 2] and got[2].kept == "other beginning\nend two"
     assert got[6].n_removed == 2 and got[6].kept == "" and got[3].n_removed == got[4].n_removed == 0 and got[4].n_lines == 1
     assert line_dedup(empty(spark)).count() == 0 and line_dedup(awkward(spark)).count() == 10
+
+
+def test_near_copies_equal_exact_jaccard(spark):
+    rng, rows = random.Random(11), []
+    for f in range(40):  # a base text, and one whose words are changed in a few places: similarities on both sides of 0.8
+        base = [f"b{f}x{rng.randrange(5000)}" for _ in range(120)]
+        near = list(base)
+        for at in rng.sample(range(5, 115), 1 + f % 6):
+            near[at] = f"new{f}x{at}"
+        rows += [(2 * f, " ".join(base)), (2 * f + 1, " ".join(near))]
+    body = prose(77, 60)
+    rows += [(200, " ".join(body + prose(78, 3) * 60)), (201, " ".join(body + prose(78, 3)))]  # repeats are one shingle each
+    rows += [(202, " ".join(prose(79, 60) + ["a b c d e"] * 400)), (203, " ".join(prose(80, 60) + ["a b c d e"] * 400))]
+
+    def shingles(t):
+        w = t.split()
+        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = {d: shingles(t) for d, t in rows}
+    lost, group = set(), {d: d for d in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            group[b] = group[a]
+    lost = {d for d, g in group.items() if g != d}
+    assert 10 < len(lost) < 35
+    assert {r.doc_id for r in drop_near_copies(docs(spark, rows)).collect()} == set(sets) - lost
