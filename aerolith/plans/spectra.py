@@ -92,7 +92,7 @@ def q_low_modes(spark, d):
 
 
 def q_pt1(spark, d):
-    f = flight_frames(spark, d).where("frame_idx < 60")
+    f = flight_frames(spark, d)
     return rounded(T.low_pass(f, "v", 8.0, FS))
 
 
@@ -151,7 +151,7 @@ def q_airspeed_inputs(spark, d):
 
 
 def q_airspeed_euler(spark, d):
-    f = airspeed_inputs(spark, d).where("frame_idx < 60")
+    f = airspeed_inputs(spark, d)
     fixed = f.select("log_id").distinct().select("log_id", F.lit(1000.0).alias("delay_ms"), F.lit(50.0).alias("gravity_pct"))
     return rounded(T.whole_log_airspeed(f, fixed))
 
