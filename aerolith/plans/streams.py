@@ -13,11 +13,11 @@ from aerolith.streaming.run import replay
 
 
 def frames(spark, d):
-    return flight_frames(spark, d).where("log_id < 40").select("log_id", "frame_idx", "v", "event_type")
+    return flight_frames(spark, d).select("log_id", "frame_idx", "v", "event_type")
 
 
 def q_low_pass(spark, d):
-    return rounded(replay(frames(spark, d).where("frame_idx < 60"), lambda s: T.low_pass(s, "v", 8.0, 100.0)))
+    return rounded(replay(frames(spark, d), lambda s: T.low_pass(s, "v", 8.0, 100.0)))
 
 
 def q_hold_last(spark, d):
