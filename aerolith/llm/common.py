@@ -70,7 +70,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/aerolith-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._aerolith_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`materialise` that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._aerolith_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -90,15 +98,52 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def join_by_size(rows: DataFrame, keyed: DataFrame, on: str, size: str, width: Column | int = 64, share: int = 1000, floor: int = 250) -> DataFrame:
+    """``rows`` joined with ``keyed``, both tables just written, where a key may hold a large part of the rows.
+
+    ``keyed`` has one row for each key ``on``; its column ``size`` says how many of the rows have the key. A key with more
+    than 1 / ``share`` of all rows would gather them in one task; fewer than ``share`` keys can be so large, and these
+    are met by broadcast (``width``: bytes of such a row; 16 MB in all at most), the others by a shuffled join.
+    """
+    total, most = keyed.agg(F.sum(size), F.max(size)).first()
+    if not total or most <= max(floor, total // share):
+        return rows.join(keyed, on)
+    often = F.col(size) > max(floor, total // share)
+    if keyed.where(often).agg(F.sum(F.lit(width) if isinstance(width, int) else width)).first()[0] > BROADCAST_BYTES:
+        return rows.join(keyed, on)  # Spark splits the large partitions of a join that nothing else depends on
+    met = rows.join(F.broadcast(keyed.where(often)), on)
+    rest = rows.join(F.broadcast(keyed.where(often).select(on)), on, "left_anti")
+    return met.unionByName(rest.join(keyed.where(~often), on))
+
+
+def without(docs: DataFrame, lost: DataFrame, again: DataFrame, digest: Column) -> DataFrame:
+    """``docs`` without the rows that ``lost`` names, and with one of each row that ``again`` names; all columns kept.
+
+    Rows are known by doc_id (null or not) and the ``digest`` of their text: columns __id and __digest of the two tables.
+    """
+    own = docs.withColumns({"__own_id": F.col("doc_id").cast("long"), "__own_digest": digest})
+
+    def met(side):
+        return own["__own_id"].eqNullSafe(side["__id"]) & (own["__own_digest"] == side["__digest"])
+
+    lost, again = small_side(lost, 128), small_side(again, 128)
+    kept = own.join(lost, met(lost), "left_anti").join(again, met(again), "left_anti")
+    # only the texts of rows repeated with doc_id and text are shuffled
+    one = own.join(again, met(again), "left_semi").dropDuplicates(["__own_id", "__own_digest"])
+    return kept.unionByName(one).drop("__own_id", "__own_digest")
+
+
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Set up a session for kernels over texts: Arrow batches of 1,000 rows unless the session says otherwise, and send this package's source to the executors once per application, so that kernels import it there.
+    """Set up a session for kernels over texts: Arrow batches of 1,000 rows unless the session's own settings name a number
+    (Spark's default is meant for narrow rows), and send this package's source to the executors once per application, so
+    that kernels import it there.
 
     Imported modules outlive a task, and with them the kernels' bounded memos.
     """
-    if spark.conf.get(BATCH_SETTING, None) == "10000":  # Spark's default is meant for narrow rows
+    if not spark.conf._jconf.contains(BATCH_SETTING):
         spark.conf.set(BATCH_SETTING, "1000")
     sc = spark.sparkContext
     if getattr(sc, "_aerolith_shipped", False):

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import materialise, small_side, text_or_empty
+from aerolith.llm.common import join_by_size, materialise, text_or_empty, without
 
 
 def chunks_of(text: Column, min_chars: int, max_chars: int) -> Column:
@@ -76,15 +76,18 @@ def exact_groups(docs: DataFrame, min_chars: int = 768, max_chars: int = 8192) -
     """
     rows = identified(materialise(recipes(docs, min_chars, max_chars), "recipes"))
     rows = materialise(rows.withColumn("ids", F.coalesce("ids", F.array().cast("array<struct<first_row:bigint,first_pos:int>>"))), "identified")
-    groups = groups_of(rows)
-    return rows.join(groups, "text_sha256").select(
+    groups = materialise(groups_of(rows), "groups")
+    return join_by_size(rows, groups, "ids", "group_size", F.size("ids") * 16 + 64).select(
         "doc_id", "keep_id", "group_size", (F.col("row_uid") == F.col("keep_uid")).alias("kept"), "text_sha256",
         "n_bytes", F.size("ids").cast("long").alias("n_chunks"), F.coalesce("new_bytes", F.lit(0)).cast("long").alias("new_bytes"),
     )
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
-    """text_sha256, keep_id, keep_uid, group_size of each set of rows with the same ordered identifiers."""
+    """ids, keep_id, keep_uid, group_size of each set of rows with the same ordered identifiers.
+
+    Fails if one list of identifiers ever stood for two texts.
+    """
     return (
         rows.groupBy("ids")
         .agg(
@@ -94,8 +97,8 @@ def groups_of(rows: DataFrame) -> DataFrame:
             F.max("text_sha256").alias("high"),
         )
         .select(
-            F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.raise_error(F.lit("one recipe, two texts"))).alias("text_sha256"),
-            F.col("best.doc_id").alias("keep_id"),
+            "ids",
+            F.when(F.col("low") == F.col("high"), F.col("best.doc_id")).otherwise(F.raise_error(F.lit("one recipe, two texts")).cast("long")).alias("keep_id"),
             F.col("best.row_uid").alias("keep_uid"),
             "group_size",
         )
@@ -104,17 +107,8 @@ def groups_of(rows: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, min_chars: int = 768, max_chars: int = 8192) -> DataFrame:
     """``docs`` without exact copies: of equal texts one row stays, the one with the largest doc_id; all columns kept."""
-    groups = exact_groups(docs, min_chars, max_chars).select("doc_id", "keep_id", "kept", F.col("text_sha256").alias("__sha"))
-    rows = materialise(groups.groupBy("doc_id", "keep_id", "__sha").agg(F.count(F.lit(1)).alias("n")), "copies")
-    lost = rows.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__id"), "__sha")
-    again = rows.where("n > 1").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__id"), "__sha")
-    own = docs.withColumns({"__own_id": F.col("doc_id").cast("long"), "__own_sha": F.sha2(text_or_empty(), 256)})
-
-    def met(side):
-        return own["__own_id"].eqNullSafe(side["__id"]) & (own["__own_sha"] == side["__sha"])
-
-    lost, again = small_side(lost, 128), small_side(again, 128)
-    kept = own.join(lost, met(lost), "left_anti").join(again, met(again), "left_anti")
-    # rows repeated with doc_id and text are one document; only their texts are shuffled
-    one = own.join(again, met(again), "left_semi").dropDuplicates(["__own_id", "__own_sha"])
-    return kept.unionByName(one).drop("__own_id", "__own_sha")
+    groups = exact_groups(docs, min_chars, max_chars).select(F.col("doc_id").alias("__id"), "keep_id", F.col("text_sha256").alias("__digest"))
+    stays = F.col("__id").eqNullSafe(F.col("keep_id"))
+    rows = materialise(groups.groupBy("__id", "keep_id", "__digest").agg(F.count(F.lit(1)).alias("n")), "copies")
+    names = ("__id", "__digest")
+    return without(docs, rows.where(~stays).select(*names), rows.where(stays & (F.col("n") > 1)).select(*names), F.sha2(text_or_empty(), 256))

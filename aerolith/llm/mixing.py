@@ -2,16 +2,20 @@
 
 Each source's share of all tokens is raised to an exponent and renormalised: 1 keeps the natural shares, 0 makes all
 sources equal. The exponent is found by bisection so that the weights meet a target entropy, or so that no source is
-repeated more often than a limit; each step is one aggregation over the table of source totals. Weights times the
-budget give each source's tokens, realised as permutations of its blocks: a source's rows are dealt by hash into blocks
-of about ``block_rows``; each full epoch takes all blocks, and the last, partial epoch takes blocks in the order of a
-hash of seed, epoch and block until the budget is used up, cutting the block at its edge at a row, in the order of a
-hash of the row. Running sums are over blocks and within a block, so a source that holds a third of all rows is not
-summed row by row in one task.
+repeated more often than a limit; one aggregation over the table of source totals tries all exponents that the next six
+halvings can ask for. Weights times the budget give each source's tokens, realised as permutations of its blocks: a
+source's rows are dealt by hash into blocks of about ``block_rows``; each full epoch takes all blocks, and the last,
+partial epoch takes blocks in the order of a hash of seed, epoch and block until the budget is used up, cutting the block
+at its edge at a row, in the order of a hash of the row. Running sums are over shelves of blocks, over the blocks of a
+shelf and within a block, so a source that holds a third of all rows is summed in no single task.
+
+Rows are shuffled once, by source and block, with all columns that are asked for; nothing is joined back by id.
 
 Defined results: a null source is the source named by the empty string; rows without tokens (null and empty texts) take
 part with 0 tokens and are repeated as often as their source's full epochs; a source without any tokens gets weight 0
-and one copy of each row; repeated rows are rows of their own; columns with clashing names are kept as they are.
+and one copy of each row; rows that share a doc_id, null or not, and repeated rows are rows of their own, ordered by a
+hash of the text where their ids tie; an empty table gives no rows; columns with clashing names are kept as they are by
+:func:`mix` and ignored by :func:`mixture`.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from aerolith.llm.common import materialise, text_or_empty
+from aerolith.llm.common import materialise, small_side, text_or_empty
 
-STEPS = 40
+#: Halvings in all, and as many as one aggregation looks ahead.
+STEPS, AT_ONCE = 40, 6
 
 
 def words(text: Column) -> Column:
@@ -52,34 +57,36 @@ def fit_exponent(totals: DataFrame, entropy: float | None = None, max_epochs: fl
     total = used.agg(F.sum("tokens"), F.count(F.lit(1))).first()
     if not total[1]:
         return 1.0
+    share = F.col("tokens") / F.lit(float(total[0]))
+    power = F.pow(share, F.col("a"))
 
-    def good(a: float) -> bool:
-        share = F.col("tokens") / F.lit(float(total[0]))
-        power = F.pow(share, F.lit(a))
-        got = used.agg(
-            F.sum(power).alias("z"), F.sum(power * F.log(share)).alias("zl"), F.max(power / share).alias("most"), F.min(power / share).alias("least")
-        ).first()
+    def good(got) -> bool:
         if entropy is not None:
             # weights q = power / z, so H = log z - a * sum(q log share)
-            h = math.log(got.z) - a * got.zl / got.z
+            h = math.log(got.z) - got.a * got.zl / got.z
             return h >= entropy * math.log(total[1]) - 1e-12
         epochs = got.most / got.least if budget is None else got.most / got.z * budget / total[0]
         return epochs <= max_epochs
 
+    def tried(exponents: list[float]) -> dict[float, bool]:
+        rows = used.withColumn("a", F.explode(F.array(*map(F.lit, exponents)))).groupBy("a")
+        rows = rows.agg(F.sum(power).alias("z"), F.sum(power * F.log(share)).alias("zl"), F.max(power / share).alias("most"), F.min(power / share).alias("least"))
+        return {r.a: good(r) for r in rows.collect()}
+
+    ends = tried([0.0, 1.0])
+    if entropy is not None and ends[1.0]:
+        return 1.0
+    if entropy is None and ends[0.0]:
+        return 0.0
     lo, hi = 0.0, 1.0
-    if entropy is not None:  # entropy falls as the exponent grows
-        if good(1.0):
-            return 1.0
-        for _ in range(STEPS):
+    for done in range(0, STEPS, AT_ONCE):
+        parts = 1 << min(AT_ONCE, STEPS - done)
+        found = tried([lo + (hi - lo) * i / parts for i in range(1, parts)])
+        for _ in range(min(AT_ONCE, STEPS - done)):
             mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if good(mid) else (lo, mid)
-        return lo
-    if good(0.0):
-        return 0.0
-    for _ in range(STEPS):  # repetition falls as the exponent grows
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if good(mid) else (mid, hi)
-    return hi
+            # entropy falls as the exponent grows, and so does repetition
+            lo, hi = (mid, hi) if found[mid] == (entropy is not None) else (lo, mid)
+    return lo if entropy is not None else hi
 
 
 def source_weights(totals: DataFrame, exponent: float, budget: int | None = None) -> DataFrame:
@@ -96,15 +103,17 @@ def source_weights(totals: DataFrame, exponent: float, budget: int | None = None
     )
 
 
-def mixture(
-    docs: DataFrame, entropy: float | None = None, max_epochs: float | None = 2.0, budget: int | None = None, seed: int = 0, block_rows: int = 1024
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, n_tokens, weight, epochs, copies (how often the mixture holds it)."""
-    rows = docs.select(
-        F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), words(text_or_empty()).alias("n_tokens")
-    )
-    rows = materialise(rows.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "mix-rows")
-    totals = materialise(source_totals(rows), "mix-totals")
+def asked() -> dict[str, Column]:
+    """What the mixture asks of a row: its id, source, tokens, and a hash of its text to settle ties."""
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    return {"__id": F.col("doc_id").cast("long"), "__source": source, "__n_tokens": words(text_or_empty()), "__tie": F.xxhash64(text_or_empty())}
+
+
+def with_copies(docs: DataFrame, small: DataFrame, entropy: float | None, max_epochs: float | None, budget: int | None, seed: int, block_rows: int) -> DataFrame:
+    """``docs`` (with the columns of :func:`asked`) with __weight, __epochs and __copies; ``small``: its __id, __source and __n_tokens, written once."""
+    key, tag = F.coalesce(F.col("__id").cast("string"), F.lit("")), F.lit(str(seed))
+    small = small.select(F.col("__source").alias("source"), F.col("__n_tokens").alias("n_tokens"), key.alias("key"))
+    totals = materialise(source_totals(small), "mix-totals")
     weights = source_weights(totals, fit_exponent(totals, entropy, max_epochs, budget), budget)
     weights = weights.withColumn("full", F.floor("epochs")).withColumns(
         {
@@ -112,29 +121,45 @@ def mixture(
             "blocks": F.ceil(F.col("n_rows") / F.lit(block_rows)),
         }
     )
-    tag = F.lit(str(seed))
-    rows = rows.join(weights.drop("n_rows", "tokens"), "source")
-    number = F.conv(F.substring(hash_order(tag, F.lit("block"), F.col("key")), 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("block", number % F.col("blocks"))
-    place = hash_order(tag, F.col("full").cast("string"), F.col("block").cast("string"))
-    blocks = rows.groupBy("source", "block", "full").agg(F.sum("n_tokens").alias("in_block")).withColumn("place", place)
-    before = Window.partitionBy("source").orderBy("place", "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("source", "block", F.coalesce(F.sum("in_block").over(before), F.lit(0)).alias("done"))
-    inside = Window.partitionBy("source", "block").orderBy(hash_order(tag, F.col("full").cast("string"), F.lit("row"), F.col("key")), "key", "n_tokens")
-    upto = F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(blocks, ["source", "block"]).select(
-        "doc_id", "source", "n_tokens", "weight", "epochs",
-        (F.col("full") + F.when((F.col("n_tokens") > 0) & (F.col("done") + upto <= F.col("left")), 1).otherwise(0)).cast("long").alias("copies"),
-    )
+    weights = materialise(weights.select(F.col("source").alias("__source"), *(F.col(c).alias(f"__{c}") for c in ("weight", "epochs", "full", "left", "blocks"))), "mix-weights")
+    weights = small_side(weights, 128)
+
+    def block(key: Column) -> Column:
+        return F.conv(F.substring(hash_order(tag, F.lit("block"), key), 1, 8), 16, 10).cast("long") % F.col("__blocks")
+
+    by_block = small.withColumnRenamed("source", "__source").join(weights, "__source").withColumn("__block", block(F.col("key")))
+    place = hash_order(tag, F.col("__full").cast("string"), F.col("__block").cast("string"))
+    by_block = by_block.groupBy("__source", "__block", "__full").agg(F.sum("n_tokens").alias("in_block")).withColumn("place", place)
+    by_block = materialise(by_block.withColumn("shelf", F.substring("place", 1, 2)), "mix-blocks")
+    # blocks stand on shelves by the first letters of their place: sums over shelves, then over the blocks of each
+    shelf = by_block.groupBy("__source", "shelf").agg(F.sum("in_block").alias("in_shelf"))
+    before = Window.partitionBy("__source").orderBy("shelf").rowsBetween(Window.unboundedPreceding, -1)
+    shelf = shelf.select("__source", "shelf", F.coalesce(F.sum("in_shelf").over(before), F.lit(0)).alias("before"))
+    before = Window.partitionBy("__source", "shelf").orderBy("place", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    done = (F.col("before") + F.coalesce(F.sum("in_block").over(before), F.lit(0))).alias("__done")
+    by_block = materialise(by_block.join(shelf, ["__source", "shelf"]).select("__source", "__block", done), "mix-places")
+
+    rows = docs.join(weights, "__source").withColumn("__block", block(key)).join(small_side(by_block, 64), ["__source", "__block"])
+    inside = Window.partitionBy("__source", "__block").orderBy(hash_order(tag, F.col("__full").cast("string"), F.lit("row"), key), key, "__n_tokens", "__tie")
+    upto = F.sum("__n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    once = F.when((F.col("__n_tokens") > 0) & (F.col("__done") + upto <= F.col("__left")), 1).otherwise(0)
+    return rows.withColumn("__copies", (F.col("__full") + once).cast("long"))
+
 
+def mixture(
+    docs: DataFrame, entropy: float | None = None, max_epochs: float | None = 2.0, budget: int | None = None, seed: int = 0, block_rows: int = 1024
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, n_tokens, weight, epochs, copies (how often the mixture holds it)."""
+    rows = materialise(docs.select(*(c.alias(n) for n, c in asked().items())), "mix-rows")
+    rows = with_copies(rows, rows, entropy, max_epochs, budget, seed, block_rows)
+    return rows.select(F.col("__id").alias("doc_id"), *(F.col(f"__{c}").alias(c) for c in ("source", "n_tokens", "weight", "epochs", "copies")))
 
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each row as often as the mixture holds it; all columns kept.
 
-    Rows with a null doc_id cannot be told apart by id and are held once each.
-    """
-    counts = mixture(docs, **how).where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    counts = counts.withColumnRenamed("doc_id", "__id")
-    held = docs.join(counts, docs["doc_id"].cast("long") == counts["__id"], "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
-    again = F.explode(F.sequence(F.lit(1), F.col("__copies")))
-    return held.where("__copies > 0").withColumn("__copy", again).drop("__copies", "__copy", "__id")
+def mix(
+    docs: DataFrame, entropy: float | None = None, max_epochs: float | None = 2.0, budget: int | None = None, seed: int = 0, block_rows: int = 1024
+) -> DataFrame:
+    """``docs`` with each row as often as the mixture holds it; all columns kept."""
+    rows = docs.withColumns(asked())
+    small = materialise(rows.select("__id", "__source", "__n_tokens"), "mix-rows")
+    held = with_copies(rows, small, entropy, max_epochs, budget, seed, block_rows).where("__copies > 0")
+    return held.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(docs[c] for c in docs.columns))

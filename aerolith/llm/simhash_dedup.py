@@ -2,15 +2,19 @@
 
 Fingerprints of word shingles are made in one pass over the texts; equal fingerprints collapse to one row. Each
 distinct fingerprint is sent to shards, one per key mask: a shard is the set of fingerprints that agree on a mask's
-bits. In a shard a BK-tree holds the fingerprints seen so far (children keyed by their Hamming distance to the parent),
-and a search follows only edges whose distance differs from the query's by at most the radius. Each fingerprint of the
-shard is searched, then inserted. A broadcast of shard trees would first gather all fingerprints at the driver, so the
-tree is built in the task that owns the shard and serves all searches of that shard there.
-
-Masks for radius r on 64 bits: the bits are cut into r + 2 bands and a mask is any 2 of them, so two fingerprints
-within r bits agree on some mask and no link is lost. For a threshold on the similarity of the shingle sets
-(``near_groups``), fingerprints only propose: masks are random sets of bits, the radius and the number of masks set by a
-rule so that a pair at the threshold is met with probability ``recall``, and links are verified on the sets.
+bits. A shard's BK-tree (children keyed by their Hamming distance to the parent) is searched for each of its
+fingerprints: from a node at distance d only the edges from d - radius to d + radius are followed. Trees and searches
+are arrays: a tree is built level by level, and a block of searches walks down it in step. A broadcast of shard trees
+would first gather all fingerprints at the driver, so the tree is built in the task that owns the shard and serves all
+searches of that shard there.
+
+Masks for radius r on 64 bits: the bits are cut into m > r bands and a mask takes bits of any m - r of them, so two
+fingerprints within r bits agree on some mask and no link is lost. m and the bits taken follow from the number of
+fingerprints, so that a shard of evenly spread ones holds about ``shard``, whatever the corpus holds. A shard with more
+than ``block`` (of much alike texts) is dealt into blocks, and each pair of blocks is a search of its own, so that no
+task gathers an unbounded shard. For a threshold on the similarity of the shingle sets (``near_groups``), fingerprints
+only propose: masks are random sets of bits, the radius and the number of masks set by a rule so that a pair at the
+threshold is met with probability ``recall``, and links are verified on the sets.
 
 From a shard only links that join two of its groups so far are emitted (at most one less than its fingerprints), which
 keeps every component and never lists the pairs of a large group.
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import map_batches, map_rows, materialise, small_side, text_or_empty
+from aerolith.llm.common import join_by_size, map_batches, map_rows, materialise, small_side, text_or_empty, without
 from aerolith.llm.components import connected_components
 
 SEED = 42
@@ -81,15 +85,24 @@ def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64) -> DataFrame:
     return map_rows(rows, kernel, "doc_id long, fp binary", pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())]))
 
 
-def pigeonhole_masks(bits: int, radius: int) -> list[int]:
-    """Masks of which any two fingerprints within ``radius`` agree on at least one."""
-    count = radius + 2
+def pigeonhole_masks(bits: int, radius: int, n: int = 0, shard: int = 2048) -> list[int]:
+    """Masks of which any two fingerprints within ``radius`` agree on at least one.
+
+    Their keys have as many bits as deal ``n`` evenly spread fingerprints into shards of about ``shard``.
+    """
+    want = math.ceil(math.log2(max(n, 1) / shard)) if n > shard else 0
+    if not want:
+        return [0]
+    count = radius + 1
+    while bits * (count - radius) // count < want and count < bits:
+        count += 1
     edges = [round(i * bits / count) for i in range(count + 1)]
-    bands = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    return [x | y for x, y in itertools.combinations(bands, 2)]
+    each = -(-want // (count - radius))
+    bands = [((1 << min(each, b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+    return [sum(c) for c in itertools.combinations(bands, count - radius)]
 
 
-def sampled_masks(bits: int, similarity: float, n: int, recall: float, shard: int = 32) -> tuple[list[int], int]:
+def sampled_masks(bits: int, similarity: float, n: int, recall: float, shard: int = 128) -> tuple[list[int], int]:
     """Random masks and a search radius for pairs of shingle sets at ``similarity`` among ``n`` fingerprints.
 
     The distance of such a pair is binomial; the radius lies four standard deviations over its mean. Shards hold about
@@ -108,160 +121,183 @@ def sampled_masks(bits: int, similarity: float, n: int, recall: float, shard: in
     return [sum(1 << b for b in rng.sample(range(bits), size)) for _ in range(count)], radius
 
 
+def as_words(fps: list[bytes]) -> np.ndarray:
+    """Fingerprints as rows of 64-bit words, most significant first."""
+    return np.frombuffer(b"".join(fps), ">u8").reshape(len(fps), len(fps[0]) // 8 if fps else 1).astype(np.uint64)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def as_words(fps: list[bytes]) -> np.ndarray:
+    """Fingerprints as rows of 64-bit words, most significant first."""
+    return np.frombuffer(b"".join(fps), ">u8").reshape(len(fps), len(fps[0]) // 8 if fps else 1).astype(np.uint64)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
 class BKTree:
-    """Distances are integers; a node is a value and a map from distance to child."""
-
-    def __init__(self):
-        self.values: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def search(self, value: int, radius: int) -> list[int]:
-        """Positions of all values within ``radius`` of ``value``."""
-        found, stack = [], [0] if self.values else []
-        values, children = self.values, self.children
-        while stack:
-            at = stack.pop()
-            d = (values[at] ^ value).bit_count()
-            if d <= radius:
-                found.append(at)
-            below = children[at]
-            if below:
-                lo, hi = d - radius, d + radius
-                stack += [c for k, c in below.items() if lo <= k <= hi]
-        return found
-
-    def insert(self, value: int) -> int:
-        self.values.append(value)
-        self.children.append({})
-        at, new = 0, len(self.values) - 1
-        while new:
-            d = (self.values[at] ^ value).bit_count()
-            below = self.children[at]
-            if d not in below:
-                below[d] = new
-                break
-            at = below[d]
-        return new
-
-
-def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links within one shard that join groups not joined yet: (position, earlier position)."""
-    tree, group, links = BKTree(), [], []
-
-    def root(i):
-        while group[i] != i:
-            group[i] = group[group[i]]
-            i = group[i]
+    """Distances are integers; an edge is keyed by the child's distance to its parent.
+
+    ``values``: rows of 64-bit words. Nodes are the distinct values, each one inserted in order of its first place.
+    """
+
+    def __init__(self, values: np.ndarray):
+        _, first, which = np.unique(values, axis=0, return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.values, self.span = values[first[order]], 64 * values.shape[1] + 1
+        by = place[which.ravel()]
+        self.members = np.argsort(by, kind="stable")  # places in ``values`` of each node's copies
+        self.first_member = np.searchsorted(by[self.members], np.arange(len(order) + 1))
+        n = len(self.values)
+        at, waiting, keys, children = np.zeros(n, np.int64), np.arange(1, n), [], []
+        while len(waiting):  # all values go down one level; the first to take an edge becomes its child
+            key = at[waiting] * self.span + distances(self.values[waiting], self.values[at[waiting]])
+            edge, new, taken = np.unique(key, return_index=True, return_inverse=True)
+            keys.append(edge)
+            children.append(waiting[new])
+            at[waiting] = waiting[new][taken]
+            waiting = np.delete(waiting, new)
+        keys, children = (np.concatenate([np.empty(0, np.int64), *x]) for x in (keys, children))
+        order = np.argsort(keys)
+        self.keys, self.children = keys[order], children[order]
+
+    def search(self, queries: np.ndarray, radius: int):
+        """(query, place in the tree's values, distance) of all values within ``radius``."""
+        q = np.arange(len(queries)) if len(self.values) else np.empty(0, np.int64)
+        node, out = np.zeros(len(q), np.int64), []
+        while len(q):
+            d = distances(self.values[node], queries[q])
+            near = np.flatnonzero(d <= radius)
+            out.append((q[near], node[near], d[near]))
+            lo = np.searchsorted(self.keys, node * self.span + np.maximum(d - radius, 0))
+            count = np.searchsorted(self.keys, node * self.span + np.minimum(d + radius, self.span - 1), side="right") - lo
+            q, below = np.repeat(q, count), np.repeat(lo - np.cumsum(count) + count, count)
+            node = self.children[below + np.arange(len(below))]
+        q, node, d = (np.concatenate([np.empty(0, np.int64), *(o[i] for o in out)]) for i in range(3))
+        count = self.first_member[node + 1] - self.first_member[node]
+        at = np.repeat(self.first_member[node] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.repeat(q, count), self.members[at], np.repeat(d, count)
+
+
+def searches(values: np.ndarray, radius: int, own: int):
+    """(position, other position, distance) of pairs within the radius, in blocks of searches.
+
+    The first ``own`` values form the tree. If these are all, each pair is given once, the later position first; else the
+    others are searched for.
+    """
+    tree, alone = BKTree(values[:own]), own == len(values)
+    step = max(1, 1_000_000 // max(own, 1))
+    for lo in range(0 if alone else own, len(values), step):
+        q, at, d = tree.search(values[lo : lo + step], radius)
+        q = q + lo
+        yield (q[q > at], at[q > at], d[q > at]) if alone else (q, at, d)
+
+
+def shard_links(values: np.ndarray, labels: list, radius: int, own: int):
+    """Links (position, other position) that join groups not joined yet."""
+    root = np.arange(len(values))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
         return i
 
-    for i, value in enumerate(values):
-        near = tree.search(value, radius)
-        tree.insert(value)
-        group.append(i)
-        for j in near:
-            a, b = root(i), root(j)
-            if a != b:
-                group[max(a, b)] = min(a, b)
-                links.append((i, j))
-    return links
-
-
-def shard_candidates(values: list[int], radius: int, most: int = 3) -> list[tuple[int, int]]:
-    """(position, earlier position) of each value's nearest ``most`` within the radius; each value that has any is in some pair."""
-    tree, met, pairs = BKTree(), [], []
-    for i, value in enumerate(values):
-        near = sorted(tree.search(value, radius), key=lambda j: (values[j] ^ value).bit_count())
-        tree.insert(value)
-        met.append(bool(near))
-        for k, j in enumerate(near):
-            if k < most or not met[j]:
-                pairs.append((i, j))
-                met[j] = True
-    return pairs
-
-
-def shard_pairs(values: list[int], labels: list, radius: int) -> list[tuple[int, int]]:
-    """All pairs (position, earlier position) within the radius whose labels differ."""
-    if len(set(labels)) == 1:
-        return []
-    tree, pairs = BKTree(), []
-    for i, value in enumerate(values):
-        pairs += [(i, j) for j in tree.search(value, radius) if labels[i] != labels[j]]
-        tree.insert(value)
-    return pairs
-
-
-def shard_search(nodes: DataFrame, masks: list[int], bits: int, close) -> DataFrame:
-    """(a, b): keys of the pairs that ``close(numbers, labels)`` finds in each shard of ``nodes`` (fp, key, label)."""
-    size = bits // 8
-    held_schema = pa.schema([("mask", pa.int32()), *((n, pa.binary()) for n in ("shard", "fp", "key", "label"))])
+    for a, b, _ in searches(values, radius, own):
+        _, some = np.unique(root[a] * len(values) + root[b], return_index=True)
+        for i, j in zip(a[some].tolist(), b[some].tolist()):
+            x, y = find(i), find(j)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                yield i, j
+        while (root[root] != root).any():
+            root = root[root]
 
-    def spread(batches):
-        for batch in batches:
-            numbers = [int.from_bytes(f, "big") for f in batch.column(0).to_pylist()]
-            for k, mask in enumerate(masks):
-                shard = pa.array([(x & mask).to_bytes(size, "big") for x in numbers], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(numbers), pa.int32()), shard, *batch.columns], schema=held_schema)
 
-    def search(batches):
-        def pairs():
-            rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
-            for _, group in itertools.groupby(rows, key=lambda r: r[:2]):
-                group = list(group)
-                if len(group) > 1:
-                    for i, j in close([int.from_bytes(r[2], "big") for r in group], [r[4] for r in group]):
-                        yield max(group[i][3], group[j][3]), min(group[i][3], group[j][3])
+def shard_candidates(values: np.ndarray, labels: list, radius: int, own: int, most: int = 3):
+    """Pairs of each value with the nearest ``most`` within the radius; each value that has any is in some pair."""
+    a, b, d = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*searches(values, radius, own), ([], [], [])))
+    a, b, d = np.concatenate([a, b]).astype(np.int64), np.concatenate([b, a]).astype(np.int64), np.concatenate([d, d])
+    by = np.lexsort((b, d, a))
+    a, b = a[by], b[by]
+    rank = np.arange(len(a)) - np.searchsorted(a, a)
+    yield from zip(a[rank < most].tolist(), b[rank < most].tolist())
+
+
+def shard_pairs(values: np.ndarray, labels: list, radius: int, own: int):
+    """All pairs within the radius whose labels differ."""
+    names = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+    if len(names) > 1:
+        label = np.array([names[x] for x in labels])
+        for a, b, _ in searches(values, radius, own):
+            apart = label[a] != label[b]
+            yield from zip(a[apart].tolist(), b[apart].tolist())
+
+
+#: Odd multipliers that scramble a shard's masked words and the number of its mask into one name (fixed values).
+SCRAMBLE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+HELD = [("shard", pa.int64()), *((n, pa.binary()) for n in ("fp", "key", "label"))]
 
-        found = pairs()
-        while part := list(itertools.islice(found, 4096)):
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in part], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
-    keyed = map_batches(nodes.select("fp", "key", "label"), spread, "mask int, shard binary, fp binary, key binary, label binary")
-    dealt = keyed.repartition("mask", "shard").sortWithinPartitions("mask", "shard", "fp", "key")
-    return map_batches(dealt, search, "a binary, b binary").where("a <> b").distinct()
+def shard_names(values: np.ndarray, mask: np.ndarray, k: int) -> np.ndarray:
+    """64-bit names of the shards of ``values`` under mask number ``k``; two shards with one name would be searched as one."""
+    name = np.full(len(values), k + 1, np.uint64)
+    for word in (values & mask).T:
+        name = (name ^ word) * np.uint64(SCRAMBLE[0])
+        name = (name ^ (name >> np.uint64(32))) * np.uint64(SCRAMBLE[1])
+    return name.view(np.int64)
 
 
-def fingerprint_links(distinct: DataFrame, masks: list[int], radius: int, bits: int) -> DataFrame:
-    """(a, b): enough links between fingerprints (column fp) to connect all that are linked within ``radius`` bits."""
-    size = bits // 8
+def shard_search(nodes: DataFrame, masks: list[int], bits: int, close, radius: int, block: int = 65_536) -> DataFrame:
+    """(a, b): keys of the pairs that ``close`` finds in each shard of ``nodes`` (fp, key, label), the greater key first."""
+    words = [as_words([m.to_bytes(bits // 8, "big")]) for m in masks]
 
     def spread(batches):
+        from aerolith.llm.simhash_dedup import HELD, as_words, shard_names
+
         for batch in batches:
-            fps = batch.column(0).to_pylist()
-            numbers = [int.from_bytes(f, "big") for f in fps]
-            for k, mask in enumerate(masks):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k] * len(fps), pa.int32()), pa.array([(x & mask).to_bytes(size, "big") for x in numbers], pa.binary()), batch.column(0)],
-                    schema=pa.schema([("mask", pa.int32()), ("shard", pa.binary()), ("fp", pa.binary())]),
-                )
+            if batch.num_rows:
+                values = as_words(batch.column(0).to_pylist())
+                for k, mask in enumerate(words):
+                    yield pa.RecordBatch.from_arrays([pa.array(shard_names(values, mask, k)), *batch.columns], schema=pa.schema(HELD))
 
     def search(batches):
-        from aerolith.llm.simhash_dedup import shard_links
+        from aerolith.llm.simhash_dedup import as_words
 
-        def close(fps):
-            numbers = [int.from_bytes(f, "big") for f in fps]
-            pairs = shard_links(numbers, radius)
-            return [(fps[i], fps[j]) for i, j in pairs]
+        def pairs():
+            rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+            for (_, lo, hi), group in itertools.groupby(rows, key=lambda r: r[:3]):
+                group = list(group)
+                own = sum(r[3] == lo for r in group)
+                if len(group) > 1 and (lo == hi or 0 < own < len(group)):
+                    for i, j in close(as_words([r[4] for r in group]), [r[6] for r in group], radius, own):
+                        a, b = group[i][5], group[j][5]
+                        if a != b:
+                            yield max(a, b), min(a, b)
 
-        key, held, out = None, [], []
-        for batch in batches:
-            for k, s, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if (k, s) != key:
-                    if len(held) > 1:
-                        out += close(held)
-                    key, held = (k, s), []
-                held.append(f)
-            if len(out) > 4096:
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
-                out = []
-        if len(held) > 1:
-            out += close(held)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
-
-    keyed = map_batches(distinct.select("fp"), spread, "mask int, shard binary, fp binary")
-    dealt = keyed.repartition("mask", "shard").sortWithinPartitions("mask", "shard", "fp")
-    return map_batches(dealt, search, "a binary, b binary")
+        found = pairs()
+        while part := list(itertools.islice(found, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in part], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    keyed = map_batches(nodes.select("fp", "key", "label"), spread, "shard long, fp binary, key binary, label binary")
+    large = materialise(keyed.groupBy("shard").count().where(F.col("count") > block), "large-shards")
+    zero, held = F.lit(0), ("fp", "key", "label")
+    if large.isEmpty():
+        dealt = keyed.repartition("shard").sortWithinPartitions("shard", "fp", "key").select("shard", *(zero.alias(c) for c in ("lo", "hi", "part")), *held)
+    else:
+        large = large.select("shard", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+        dealt = keyed.join(small_side(large, 64), "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+        by = ("shard", "lo", "hi")
+        dealt = dealt.select(*by, "part", *held).repartition(*by).sortWithinPartitions(*by, "part", "fp", "key")
+    return map_batches(dealt, search, "a binary, b binary").distinct()
 
 
 def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3, bits: int = 64) -> DataFrame:
@@ -274,40 +310,40 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3, bits: int =
     empty table gives no rows; columns other than doc_id and text are ignored.
     """
     rows = materialise(fingerprints(docs, words, bits), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    masks = pigeonhole_masks(bits, radius)
-    linked = connected_components(fingerprint_links(distinct, masks, radius, bits))
-    nodes = distinct.join(linked, distinct["fp"] == linked["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
+    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    masks = pigeonhole_masks(bits, radius, distinct.count())
+    nodes = distinct.select("fp", F.col("fp").alias("key"), F.lit(b"").alias("label"))
+    linked = connected_components(shard_search(nodes, masks, bits, shard_links, radius))
+    nodes = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
     nodes = materialise(nodes, "nodes")
-    names = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = nodes.join(names, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    names = materialise(nodes.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")), "names")
+    named = materialise(join_by_size(nodes, names, "component", "size").select("fp", "component_id", "n"), "named")
+    return join_by_size(rows, named, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def shingle_sets(docs: DataFrame, words: int, bits: int) -> DataFrame:
-    """doc_id, fp (SimHash of the text's distinct shingles), shingles (their sorted 64-bit hashes) and key (MD5 of these)."""
+    """doc_id, digest (MD5 of the text), fp (SimHash of its distinct shingles), shingles (their sorted 64-bit hashes) and key
+    (MD5 of these)."""
 
     def kernel():
         from aerolith.llm.simhash_dedup import SEED, fold, shingle_hashes
 
         def step(cols):
-            fps, sets, keys = [], [], []
+            digests, fps, sets, keys = [], [], [], []
             for text in cols["text"].to_pylist():
+                digests.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest())
                 parts = [np.unique(shingle_hashes(text, words, SEED + k)) for k in range(bits // 64)]
                 fps.append(b"".join(fold(p).to_bytes(8, "big") for p in parts))
                 sets.append(parts[0].astype("<u8").tobytes())
                 keys.append(hashlib.md5(sets[-1]).digest())
-            return {"doc_id": cols["doc_id"], "fp": fps, "shingles": sets, "key": keys}
+            return {"doc_id": cols["doc_id"], "digest": digests, "fp": fps, "shingles": sets, "key": keys}
 
         return step
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    names = ("fp", "shingles", "key")
-    return map_rows(
-        rows, kernel, "doc_id long, fp binary, shingles binary, key binary", pa.schema([("doc_id", pa.int64()), *((n, pa.binary()) for n in names)])
-    )
+    names = ("digest", "fp", "shingles", "key")
+    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.binary()) for n in names)])
+    return map_rows(rows, kernel, "doc_id long, " + ", ".join(f"{n} binary" for n in names), schema)
 
 
 def alike(a: bytes, b: bytes, similarity: float) -> bool:
@@ -334,7 +370,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 128, recall: float = 0.99) -> DataFrame:
-    """doc_id and component_id (smallest doc_id reachable by links) of each row of ``docs``.
+    """doc_id, digest (MD5 of the text), component_id (smallest doc_id reachable by links; null if no row has any), first_id
+    and first_digest (the row that stands for the component) of each row of ``docs``.
 
     Links join texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Shards propose, by
     fingerprints of the sets, and every link is verified on the sets themselves. First each set's nearest few are
@@ -342,10 +379,11 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     pair met is either joined or found to be less alike, and the pairs of a large group are not listed.
     """
     rows = materialise(shingle_sets(docs, words, bits), "sets")
-    nodes = materialise(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")), "nodes")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("best")
+    nodes = materialise(rows.groupBy("key").agg(F.min("fp").alias("fp"), best, F.count(F.lit(1)).alias("n")), "nodes")
     masks, radius = sampled_masks(bits, similarity, nodes.count(), recall)
 
-    first = materialise(shard_search(nodes.withColumn("label", F.col("key")), masks, bits, lambda v, _: shard_candidates(v, radius)), "candidates")
+    first = materialise(shard_search(nodes.withColumn("label", F.col("key")), masks, bits, shard_candidates, radius), "candidates")
     some = materialise(first.select(F.col("a").alias("key")).union(first.select("b")).distinct(), "candidate-keys")
     sets = rows.select("key", "shingles").join(small_side(some, 32), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
     sets = materialise(sets, "candidate-sets")
@@ -354,24 +392,29 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
 
     labelled = nodes.join(small_side(some, 32), "key", "left_semi").join(found, F.col("key") == F.col("node"), "left")
     labelled = materialise(labelled.select("fp", "key", F.coalesce("component", "key").alias("label")), "labelled")
-    second = shard_search(labelled, masks, bits, lambda v, names: shard_pairs(v, names, radius)).join(first, ["a", "b"], "left_anti")
+    second = shard_search(labelled, masks, bits, shard_pairs, radius).join(first, ["a", "b"], "left_anti")
     more = materialise(verified(materialise(second, "candidates"), sets, similarity), "links")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
 
-    named = nodes.join(found, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("component", "key").alias("component"))
+    named = nodes.join(found, F.col("key") == F.col("node"), "left").select("key", "best", "n", F.coalesce("component", "key").alias("component"))
     named = materialise(named, "named")
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "key").join(named.join(names, "component").select("key", "component_id"), "key").select("doc_id", "component_id")
+    names = materialise(named.groupBy("component").agg(F.min("best").alias("first"), F.count(F.lit(1)).alias("size")), "names")
+    named = materialise(join_by_size(named, names, "component", "size", 96).select("key", "first", "n"), "named")
+    out = join_by_size(rows.select("doc_id", "digest", "key"), named, "key", "n", 96)
+    return out.select("doc_id", "digest", F.col("first.doc_id").alias("component_id"), F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 128) -> DataFrame:
-    """``docs`` with one row for each group of near copies: the row with the group's smallest doc_id.
+    """``docs`` with one row for each group of near copies: the one with the smallest doc_id, null last, and of different
+    texts with that doc_id the one with the smallest MD5. All columns are kept.
 
-    Rows with a null doc_id cannot be told apart by id and stay; rows that share a doc_id stay or go together. All columns
-    are kept.
+    Rows are judged by doc_id and text together, so a row that shares its doc_id with a near copy is not lost with it; of
+    rows equal in both one stays; texts without words are one group.
     """
-    groups = near_groups(docs, words, similarity, bits)
-    lost = materialise(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "lost")
-    lost = small_side(lost, 32)
-    return docs.join(lost, docs["doc_id"] == lost["__id"], "left_anti")
+    names = (F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest"))
+    groups = near_groups(docs, words, similarity, bits).select(*names, stays.alias("stays"))
+    rows = materialise(groups.groupBy("__id", "__digest").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "judged")
+    lost, again = rows.where("not stays"), rows.where("stays and n > 1")
+    return without(docs, lost.select("__id", "__digest"), again.select("__id", "__digest"), F.unhex(F.md5(text_or_empty())))

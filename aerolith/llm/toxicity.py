@@ -2,18 +2,24 @@
 
 Learning, on a bounded sample of labelled rows that are not held out:
 
-1. lexicon: words whose document frequency is far higher among toxic samples, seen in several different contexts
+1. lexicon: words whose document frequency is far higher among toxic samples, by more than chance brings about among as
+   many words (a likelihood-ratio test that expects less than one false term), seen in several different contexts
    (neighbouring words), so that copies of one toxic text do not make a term of each of its words;
-2. weights: a small logistic model over counts of hits, kept near prior weights where the sample says little.
+2. stems: beginnings shared by several terms, held to the same test on the documents that have any word with them;
+3. weights: a small logistic model over logarithms of hit counts, kept near prior weights where the sample says little.
+
+The sample's size (``per_class``) is the only bound; words, terms, stems and hits are taken whatever their length or number.
 
 Scoring, over every whole text: each distinct word runs through a deterministic automaton made lazily from the product
 of the lexicon's trie and a Levenshtein automaton (0 edits for terms under 5 letters, 1 from 5, 2 from 9). Its states
 are sets of (trie node, edits so far); most words reach the dead state within a few letters. Every hit is weighed by the
 words around it: quotation marks on both sides and reporting words make it a quotation, which counts far less.
 
-Defined results: null, empty and word-less texts get the score of a text without hits; repeated rows are scored row by
-row; a null doc_id is never a training row and is held out as crc32 of nothing is null; no usable labels: the lexicon is
-empty and every score is the prior's; columns other than doc_id and text are ignored.
+Defined results: null, empty and word-less texts get the score of a text without hits; repeated rows and rows that share
+a doc_id are scored row by row, each by its own text; equal texts get equal scores; a null doc_id is never a training row
+and is held out as crc32 of nothing is null; a label joins all rows with its doc_id; no usable labels: the lexicon is
+empty and every score is the prior's; an empty table gives no rows; columns other than doc_id and text, whatever their
+names, are ignored by :func:`toxicity` and kept by :func:`drop_toxic`.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import Memo, map_rows, materialise, small_side, text_or_empty
+from aerolith.llm.common import Memo, map_batches, map_rows, materialise, text_or_empty
 
 EDGE = re.compile(r"^\W+|\W+$")
 RUNS = re.compile(r"(.)\1{2,}")
@@ -38,10 +44,13 @@ REPORTING = frozenset(
     "sagte schrieb wort dit mot écrit dijo palabra escribió".split()
 )
 WINDOW = 6
-#: Prior weights of: bias, any plain hit, plain hits, misspelt hits, stem-only hits, quoted hits, strongest plain hit, and
-#: how far that hit's log odds pass 5.5, the evidence of a term that hardly ever occurs in clean texts.
-PRIOR = np.array([-3.0, 3.0, 0.7, 3.5, 0.3, 0.3, 1.0, 2.0])
+#: Prior weights of: bias, any plain hit, the logarithms (base 2, of 1 more) of plain, misspelt, stem-only and quoted hits,
+#: strongest plain hit in units of 8, and how far that hit's log odds pass 5.5, the evidence of a term that hardly ever
+#: occurs in clean texts.
+PRIOR = np.array([-3.0, 3.0, 1.0, 3.5, 3.0, 0.3, 1.0, 2.0])
 SURE = 5.5
+#: Log odds that a term or stem has at least.
+LEAST_ODDS = 2.5
 
 
 def clean(token: str) -> str:
@@ -193,7 +202,8 @@ class Scorer:
                 best = max(best, weight)
             else:
                 misspelt += 1
-        return [1.0, float(plain > 0), min(plain, 5), min(misspelt, 3), min(stem, 5), min(quoted, 5), min(best, 8.0) / 8.0, max(0.0, best - SURE) / 2]
+        logs = [math.log2(1 + n) for n in (plain, misspelt, stem, quoted)]
+        return [1.0, float(plain > 0), *logs, best / 8.0, max(0.0, best - SURE) / 2]
 
     def score(self, text: str) -> float:
         z = float(np.dot(self.weights, self.features(text)))
@@ -219,8 +229,25 @@ def held_out_rows(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(True))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_terms: int = 4000, min_contexts: int = 4) -> dict:
-    """Model from at most ``per_class`` labelled rows of each class, taken in the order of a hash of doc_id."""
+def telling(rows: DataFrame, n_pos: int, n_neg: int, tried: int) -> DataFrame:
+    """Rows (pos, neg: documents of each class) that tell toxic texts from clean ones, with ``llr``, their log odds.
+
+    The log odds are ``LEAST_ODDS`` or more, and a likelihood ratio so large is expected less than once by chance among
+    ``tried`` rows.
+    """
+    llr = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
+    share = F.lit(n_pos / max(1, n_pos + n_neg))
+    total = F.col("pos") + F.col("neg")
+    gain = F.col("pos") * F.log(F.col("pos") / (total * share))
+    gain = gain + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (total * (F.lit(1.0) - share)))).otherwise(0.0)
+    return rows.where("pos > 0").withColumn("llr", llr).where((F.col("llr") >= LEAST_ODDS) & (gain >= math.log(max(2, tried))))
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_contexts: int = 4) -> dict:
+    """Model from at most ``per_class`` labelled rows of each class, taken in the order of a hash of doc_id.
+
+    What comes back to the driver is a part of that bounded sample's words, and a row of counts for each sampled text.
+    """
     order = F.xxhash64(F.col("doc_id"))
     rows = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic is not null")
     rows = rows.where(~held_out_rows(F.col("doc_id")))
@@ -231,6 +258,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_terms:
     ids = F.broadcast(spark.createDataFrame([(r.doc_id, r.toxic) for r in picked], "__id long, toxic int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), text_or_empty().alias("text"))
     sample = materialise(texts.join(ids, "__id").select("toxic", "text"), "toxic-sample").repartition(8)
+    n_pos = sum(r.toxic == 1 for r in picked)
+    n_neg = len(picked) - n_pos
+    classes = [F.sum(F.when(F.col("toxic") == t, 1).otherwise(0)).alias(c) for c, t in (("pos", 1), ("neg", 0))]
 
     def words():
         from aerolith.llm.toxicity import clean
@@ -240,7 +270,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_terms:
             for text, label in zip(cols["text"].to_pylist(), cols["toxic"].to_pylist()):
                 seen, tokens = {}, [clean(t) for t in text.split()]
                 for i, w in enumerate(tokens):
-                    if w and w not in seen and len(w) <= 40:
+                    if w and w not in seen:
                         around = (tokens[i - 1] if i else "") + " " + (tokens[i + 1] if i + 1 < len(tokens) else "")
                         seen[w] = zlib.crc32(around.encode("utf-8", "surrogatepass"))
                 term += seen
@@ -251,26 +281,32 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_terms:
         return step
 
     schema = pa.schema([("term", pa.string()), ("toxic", pa.int32()), ("context", pa.int64())])
-    n_pos = sum(r.toxic == 1 for r in picked)
-    n_neg = len(picked) - n_pos
-    llr = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
-    found = (
-        map_rows(sample, words, "term string, toxic int, context long", schema)
-        .groupBy("term")
-        .agg(
-            F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("pos"),
-            F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("neg"),
-            F.size(F.collect_set(F.when(F.col("toxic") == 1, F.col("context")))).alias("contexts"),
-        )
-        .where(F.col("contexts") >= min_contexts)
-        .withColumn("llr", llr)
-        .where("llr >= 2.5")
-        .orderBy(F.desc("llr"), "term")
-        .limit(max_terms)
-        .collect()
-    )
-    model = {"terms": {r.term: float(r.llr) for r in found}}
-    model["stems"] = stems_of(model["terms"])
+    contexts = F.size(F.collect_set(F.when(F.col("toxic") == 1, F.col("context")))).alias("contexts")
+    counted = materialise(map_rows(sample, words, "term string, toxic int, context long", schema).groupBy("term").agg(*classes, contexts), "toxic-words")
+    tried = counted.count()
+    found = telling(counted.where(F.col("contexts") >= min_contexts), n_pos, n_neg, tried).select("term", "llr").collect()
+    model = {"terms": {r.term: float(r.llr) for r in sorted(found, key=lambda r: (-r.llr, r.term))}}
+    beginnings = stems_of(model["terms"])
+    if beginnings:
+
+        def begun():
+            from aerolith.llm.toxicity import clean
+
+            def step(cols):
+                stem, toxic = [], []
+                for text, label in zip(cols["text"].to_pylist(), cols["toxic"].to_pylist()):
+                    tokens = set(map(clean, text.split()))
+                    have = [b for b in beginnings if any(t.startswith(b) for t in tokens)]
+                    stem += have
+                    toxic += [label] * len(have)
+                return {"stem": stem, "toxic": toxic}
+
+            return step
+
+        schema = pa.schema([("stem", pa.string()), ("toxic", pa.int32())])
+        stems = map_rows(sample, begun, "stem string, toxic int", schema).groupBy("stem").agg(*classes)
+        beginnings = sorted(r.stem for r in telling(stems, n_pos, n_neg, tried).select("stem").collect())
+    model["stems"] = beginnings
 
     def fuzzy():
         from aerolith.llm.toxicity import Scorer
@@ -333,8 +369,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **sampl
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **sample) -> DataFrame:
-    """``docs`` without the rows whose text scores ``threshold`` or more; all columns kept, null ids too."""
-    scored = score_texts(docs, learn(docs, labels, **sample), threshold)
-    bad = materialise(scored.where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct(), "toxic")
-    bad = small_side(bad, 32)
-    return docs.join(bad, docs["doc_id"] == bad["__id"], "left_anti")
+    """``docs`` without the rows whose text scores ``threshold`` or more; all columns kept.
+
+    Each row is judged by its own text where it stands: rows with a null doc_id, or that share a doc_id, are no exception,
+    and nothing is joined or shuffled.
+    """
+    model, at = learn(docs, labels, **sample), docs.columns.index("text")
+
+    def run(batches):
+        from aerolith.llm.toxicity import Scorer
+
+        scorer = Scorer(model)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            yield batch.filter(pa.array([scorer.score("" if t is None else str(t)) < threshold for t in texts], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)

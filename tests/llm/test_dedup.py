@@ -1,14 +1,16 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 
 import xxhash
 
+from aerolith.llm import simhash_dedup
 from aerolith.llm.components import connected_components
 from aerolith.llm.exact_dedup import chunks_of, drop_exact_copies, exact_groups
 from aerolith.llm.line_dedup import common_blocks, increasing, line_dedup, patience
-from aerolith.llm.simhash_dedup import BKTree, drop_near_copies, pigeonhole_masks, shard_links, simhash_groups
+from aerolith.llm.simhash_dedup import BKTree, as_words, drop_near_copies, pigeonhole_masks, shard_candidates, shard_links, shard_pairs, shard_search, simhash_groups
 from aerolith.llm.substring_dedup import sequence_hashes, substring_dedup
 from tests.llm.helpers import LONG, awkward, docs, empty
 
@@ -78,24 +80,56 @@ def test_simhash_groups_equal_brute_force(spark):
 
 
 def test_masks_meet_all_pairs_within_the_radius():
-    masks, rng = pigeonhole_masks(64, 3), random.Random(0)
-    for _ in range(300):
-        x = rng.getrandbits(64)
-        y = x
-        for b in rng.sample(range(64), 3):
-            y ^= 1 << b
-        assert any(x & m == y & m for m in masks)
+    rng = random.Random(0)
+    for n in (10, 5000, 10**6, 10**9, 10**12):
+        masks = pigeonhole_masks(64, 3, n)
+        assert n <= 2048 or abs(sum(m.bit_count() for m in masks) / len(masks) - math.log2(n / 2048)) < 4
+        for _ in range(300):
+            x = rng.getrandbits(64)
+            y = x
+            for b in rng.sample(range(64), 3):
+                y ^= 1 << b
+            assert any(x & m == y & m for m in masks)
+
+
+def numbers(values, size=8):
+    return as_words([v.to_bytes(size, "big") for v in values])
 
 
 def test_bk_tree_finds_all_within_the_radius():
     rng = random.Random(1)
-    values = [rng.getrandbits(16) for _ in range(300)]
-    tree = BKTree()
-    for v in values:
-        tree.insert(v)
-    for q in values[:40]:
-        assert sorted(tree.search(q, 3)) == [i for i, v in enumerate(values) if (v ^ q).bit_count() <= 3]
-    assert len(shard_links([5] * 50, 3)) == 49
+    values = [rng.getrandbits(16) for _ in range(300)] + [5] * 4
+    tree = BKTree(numbers(values))
+    for q in [*values[:40], 5]:
+        _, at, d = tree.search(numbers([q]), 3)
+        assert sorted(zip(at.tolist(), d.tolist())) == [(i, (v ^ q).bit_count()) for i, v in enumerate(values) if (v ^ q).bit_count() <= 3]
+    assert len(list(shard_links(numbers([5] * 50), None, 3, 50))) == 49
+    assert not list(shard_links(numbers([]), None, 3, 0))
+
+
+def test_bk_tree_prunes():
+    """On evenly spread fingerprints far fewer nodes are met than there are."""
+    rng = random.Random(2)
+    tree, met = BKTree(numbers([rng.getrandbits(64) for _ in range(4000)])), []
+    seen = simhash_dedup.distances
+    simhash_dedup.distances = lambda a, b: (met.append(len(a)), seen(a, b))[1]
+    try:
+        tree.search(numbers([rng.getrandbits(64) for _ in range(100)]), 3)
+    finally:
+        simhash_dedup.distances = seen
+    assert sum(met) < 0.35 * 100 * 4000
+
+
+def test_shard_searches():
+    rng = random.Random(4)
+    values = [rng.getrandbits(128) & ~(3 << 60) for _ in range(60)]
+    values += [v ^ (1 << rng.randrange(128)) for v in values[:30]]
+    near = {(i, j) for i, j in itertools.combinations(range(90), 2) if (values[i] ^ values[j]).bit_count() <= 2}
+    sorted_pairs = lambda pairs: {(min(p), max(p)) for p in pairs}
+    v = numbers(values, 16)
+    assert sorted_pairs(shard_pairs(v, list(range(90)), 2, 90)) == near == sorted_pairs(shard_candidates(v, None, 2, 90))
+    assert sorted_pairs(shard_pairs(v, [i % 2 for i in range(90)], 2, 90)) == {(i, j) for i, j in near if (i - j) % 2}
+    assert sorted_pairs(shard_pairs(v, list(range(90)), 2, 60)) == {(i, j) for i, j in near if i < 60 <= j}
 
 
 def test_drop_near_copies(spark):
@@ -103,7 +137,26 @@ def test_drop_near_copies(spark):
     near = base[:200] + ["changed"] + base[201:]
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(prose(10, 400))), (4, None), (5, ""), (None, " ".join(base))]
     kept = {r.doc_id for r in drop_near_copies(docs(spark, rows)).collect()}
-    assert kept == {1, 3, 4, None}
+    assert kept == {1, 3, 4}
+
+
+def test_near_copies_are_dropped_row_by_row(spark):
+    base, other = prose(9, 400), " ".join(prose(10, 400))
+    near = " ".join(base[:200] + ["changed"] + base[201:])
+    rows = [(1, " ".join(base)), (2, near), (2, other), (None, other + " end"), (None, "a clean text of its own"), (3, "x"), (3, "x")]
+    kept = sorted((str(r.doc_id), r.text) for r in drop_near_copies(docs(spark, rows)).collect())
+    assert kept == sorted([("1", " ".join(base)), ("2", other), ("None", "a clean text of its own"), ("3", "x")])
+
+
+def test_large_shards_are_searched_in_blocks(spark):
+    rng = random.Random(5)
+    fps = sorted({(7 << 40) ^ (1 << rng.randrange(20)) ^ (1 << rng.randrange(20)) for _ in range(200)})
+    nodes = spark.createDataFrame([(bytearray(f.to_bytes(8, "big")),) * 2 + (bytearray(),) for f in fps], "fp binary, key binary, label binary")
+    want = connected_components(shard_search(nodes, [0], 64, shard_links, 2))
+    got = connected_components(shard_search(nodes, [0], 64, shard_links, 2, block=20))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == len(fps)
+    every = {tuple(r) for r in shard_search(nodes.withColumn("label", nodes["key"]), [0], 64, shard_pairs, 2, block=20).collect()}
+    assert len(every) == sum((a ^ b).bit_count() <= 2 for a, b in itertools.combinations(fps, 2))
 
 
 def test_components(spark):
