@@ -134,6 +134,24 @@ ORACLE_SQL: dict[str, str] = {
                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
         FROM r JOIN q USING (source, block)
     """,
+    # every shortest run of 24 characters, from each line and up to each line, and the first document that holds it
+    "op5_line_dedup": """
+        WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
+        k AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || t)) AS o FROM d),
+        u AS (SELECT o, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM k),
+        l AS (SELECT *, length(line) AS n, sum(length(line)) OVER (PARTITION BY o ORDER BY i) AS c FROM u),
+        w AS (
+          SELECT a.o, a.i AS s, min(b.i) AS e FROM l a JOIN l b ON b.o = a.o AND b.i >= a.i AND b.c - a.c + a.n >= 24 GROUP BY 1, 2
+          UNION SELECT b.o, max(a.i), b.i FROM l a JOIN l b ON b.o = a.o AND b.i >= a.i AND b.c - a.c + a.n >= 24 GROUP BY b.o, b.i),
+        r AS (SELECT w.o, s, e, string_agg(line, chr(10) ORDER BY i) AS run FROM w JOIN l ON l.o = w.o AND i BETWEEN s AND e GROUP BY 1, 2, 3),
+        f AS (SELECT run, min(o) AS first FROM r GROUP BY run),
+        g AS (SELECT DISTINCT l.o, l.i FROM r JOIN f ON f.run = r.run AND r.o > first JOIN l ON l.o = r.o AND l.i BETWEEN s AND e),
+        x AS (
+          SELECT l.o, count(*) AS n_lines, count(g.i) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '')) AS kept_sha256
+          FROM l LEFT JOIN g ON g.o = l.o AND g.i = l.i GROUP BY l.o)
+        SELECT p.doc_id, n_lines, n_removed, kept_sha256
+        FROM documents p JOIN k ON k.doc_id IS NOT DISTINCT FROM p.doc_id AND k.t = coalesce(p.text, '') JOIN x ON x.o = k.o
+    """,
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

@@ -4,12 +4,13 @@ import itertools
 import math
 import random
 
+import numpy as np
 import xxhash
 
 from aerolith.llm import simhash_dedup
 from aerolith.llm.components import connected_components
 from aerolith.llm.exact_dedup import chunks_of, drop_exact_copies, exact_groups
-from aerolith.llm.line_dedup import common_blocks, increasing, line_dedup, patience
+from aerolith.llm.line_dedup import common_blocks, increasing, line_dedup, patience, short_runs
 from aerolith.llm.simhash_dedup import BKTree, as_words, drop_near_copies, pigeonhole_masks, shard_candidates, shard_links, shard_pairs, shard_search, simhash_groups
 from aerolith.llm.substring_dedup import sequence_hashes, substring_dedup
 from tests.llm.helpers import LONG, awkward, docs, empty
@@ -208,7 +209,67 @@ def test_patience():
     a, b = [1, 2, 3, 4, 5, 9, 9, 6], [0, 2, 3, 7, 5, 9, 9, 8]
     assert patience(a, b) == [(1, 1), (2, 2), (4, 4), (5, 5), (6, 6)]
     assert [5, 1, 6, 2, 7][increasing([5, 1, 6, 2, 7])[0]] in (1, 5) and len(increasing([5, 1, 6, 2, 7])) == 3
-    assert common_blocks(a, b, [10] * 8, 20) == [1, 2, 4, 5, 6] and patience([], [1]) == []
+    assert patience([], [1]) == [] and patience([1, 5, 5, 2], [3, 5, 5, 4]) == [(1, 1), (2, 2)]
+
+
+def runs_in_common(a, b, least):
+    """Positions of the lines ``a`` in runs of ``least`` characters or more that ``b`` has as consecutive lines too."""
+    gone = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if a[i] == b[j] and (not i or not j or a[i - 1] != b[j - 1]):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                    k += 1
+                if sum(map(len, a[i : i + k])) >= least:
+                    gone.update(range(i, i + k))
+    return gone
+
+
+def hashed(lines):
+    return np.array([hash(x) % 2**60 for x in lines], np.uint64), np.array(list(map(len, lines)), np.int32)
+
+
+def test_blocks_of_a_pair_equal_brute_force():
+    rng = random.Random(6)
+    pool = ["", "x", "a short one", "twelve chars", "a line of just over twenty-four", "y" * 30, "another that is long enough by itself"]
+    for _ in range(400):
+        a, b = ([rng.choice(pool) for _ in range(rng.randint(1, 14))] for _ in "ab")
+        for least in (1, 24, 40):
+            assert common_blocks(*hashed(a), *hashed(b), least) == sorted(runs_in_common(a, b, least)), (a, b, least)
+    moved = ["p" * 30, "q" * 30, "r" * 30], ["r" * 30, "q" * 30, "p" * 30]
+    assert common_blocks(*hashed(moved[0]), *hashed(moved[1]), 24) == [0, 1, 2]
+    assert [x.tolist() for x in short_runs(*hashed(["ab", "c", "def"]), 3)[0][:2]] == [[0, 1, 2], [2, 3, 3]]
+
+
+def brute_lines(rows, least):
+    own = sorted({(d is not None, d or 0, hashlib.md5(f"{'' if d is None else d}|{t or ''}".encode()).digest(), t or "") for d, t in rows})
+    out = {}
+    for k, (some, d, _, t) in enumerate(own):
+        lines, gone = t.split("\n"), set()
+        for e in own[:k]:
+            gone |= runs_in_common(lines, e[3].split("\n"), least)
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        out[d if some else None, t] = len(lines), len(gone), hashlib.sha256(kept.encode()).hexdigest()
+    return sorted((out[d, t or ""] for d, t in rows), key=str)
+
+
+def line_rows():
+    rng = random.Random(8)
+    pool = [f"short {i}" for i in range(6)] + [f"a line that is long enough, number {i}" for i in range(30)] + ["", "the one that everybody has at the end"]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))) for i in range(70)]
+    rows += [(100 + i, "\n".join([f"text {i}", *pool[:6][:: 1 if i % 2 else -1], "the one that everybody has at the end"])) for i in range(50)]
+    rows += [(200, "\n".join(f"twenty characters {k:02}" for k in range(12))), (201, "\n".join(f"twenty characters {k:02}" for k in range(12)) + "\nend")]
+    return rows + [(None, rows[3][1]), (None, None), (300, None), (301, ""), (3, "another text of a known id\n" + rows[5][1]), rows[7], rows[7]]
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rows = line_rows()
+    want = brute_lines(rows, 24)
+    assert sum(r[1] > 0 for r in want) > 60
+    for rare in (2, 32):
+        got = line_dedup(docs(spark, rows), rare=rare).collect()
+        assert sorted(((r.n_lines, r.n_removed, r.kept_sha256) for r in got), key=str) == want
 
 
 def test_line_dedup(spark):
