@@ -8,18 +8,89 @@ A greedy (rank-ordered) BPE encoding has two properties used here:
 
 So the last token of the encoding of a prefix ending at ``i`` is the one token ``t`` that ends there and is
 compatible with the last token of the prefix ending where ``t`` begins. One such back-pointer per prefix gives the
-token count (and, by walking back, the ids) of each prefix. Merges are only ever run on a pair of tokens, to decide
-compatibility, and that decision is kept.
+token count (and, by walking back, the ids) of each prefix.
+
+Merges are only ever run on single tokens. They give a token's spines: the nodes of its merge tree that hold its first
+(last) letter, each with the rank of the merge that ends it. Two tokens are compatible if at no time two nodes that meet
+at their border would merge before either is merged into its own token; such decisions are kept.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 
-def merge_symbols(symbols: list[str], rank: Callable[[str, str], int | None]) -> list[str]:
-    """Plain rank-ordered BPE (lowest rank first, leftmost among equals); for short inputs."""
-    symbols = list(symbols)
+def spines(symbols: list[str], rank: Callable[[str, str], int | None]):
+    """Left and right spine of a token made by merging ``symbols``: (node, rank of the merge that ends it), innermost first.
+
+    None if the symbols do not merge into one.
+    """
+    symbols, left, right = list(symbols), [], []
+    while len(symbols) > 1:
+        best, at = None, -1
+        for i in range(len(symbols) - 1):
+            r = rank(symbols[i], symbols[i + 1])
+            if r is not None and (best is None or r < best):
+                best, at = r, i
+        if best is None:
+            return None
+        if at == 0:
+            left.append((symbols[0], best))
+        if at + 2 == len(symbols):
+            right.append((symbols[-1], best))
+        symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+    return [*left, (symbols[0], math.inf)], [*right, (symbols[0], math.inf)]
+
+
+def apart(right: list, left: list, rank: Callable[[str, str], int | None]) -> bool:
+    """Whether a token with this ``right`` spine stays apart from a next token with this ``left`` spine.
+
+    Of merges with one rank the leftmost comes first: at the border after those of the token before, ahead of the next's.
+    """
+    i = j = 0
+    while True:
+        (a, a_ends), (b, b_ends) = right[i], left[j]
+        r = rank(a, b)
+        if r is not None and r < a_ends and r <= b_ends:
+            return False
+        if a_ends == b_ends == math.inf:
+            return True
+        if a_ends <= b_ends:
+            i += 1
+        else:
+            j += 1
+
+
+ONE = (1,)
+
+
+class Sizes(dict):
+    """``sizes[end]``: lengths of the tokens that may end where a text ends with the letters ``end`` (three, if it has as many), longest first."""
+
+    def __init__(self, tokens):
+        super().__init__()
+        found: dict[str, set[int]] = {}
+        for t in tokens:
+            if len(t) > 1:
+                found.setdefault(t[-3:], set()).add(len(t))
+        self.two = {end for end in found if len(end) == 2}
+        for end, sizes in found.items():
+            self[end] = (*sorted(sizes | {2} if end[-2:] in self.two else sizes, reverse=True), 1)
+
+    def __missing__(self, end: str) -> tuple[int, ...]:
+        found = (2, 1) if end[-2:] in self.two else ONE
+        if len(self) < 200_000:
+            self[end] = found
+        return found
+
+
+def spines(symbols: list[str], rank: Callable[[str, str], int | None]):
+    """Left and right spine of a token made by merging ``symbols``: (node, rank of the merge that ends it), innermost first.
+
+    None if the symbols do not merge into one.
+    """
+    symbols, left, right = list(symbols), [], []
     while len(symbols) > 1:
         best, at = None, -1
         for i in range(len(symbols) - 1):
@@ -27,9 +98,32 @@ def merge_symbols(symbols: list[str], rank: Callable[[str, str], int | None]) ->
             if r is not None and (best is None or r < best):
                 best, at = r, i
         if best is None:
-            break
+            return None
+        if at == 0:
+            left.append((symbols[0], best))
+        if at + 2 == len(symbols):
+            right.append((symbols[-1], best))
         symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-    return symbols
+    return [*left, (symbols[0], math.inf)], [*right, (symbols[0], math.inf)]
+
+
+def apart(right: list, left: list, rank: Callable[[str, str], int | None]) -> bool:
+    """Whether a token with this ``right`` spine stays apart from a next token with this ``left`` spine.
+
+    Of merges with one rank the leftmost comes first: at the border after those of the token before, ahead of the next's.
+    """
+    i = j = 0
+    while True:
+        (a, a_ends), (b, b_ends) = right[i], left[j]
+        r = rank(a, b)
+        if r is not None and r < a_ends and r <= b_ends:
+            return False
+        if a_ends == b_ends == math.inf:
+            return True
+        if a_ends <= b_ends:
+            i += 1
+        else:
+            j += 1
 
 
 def sizes_by_end(tokens) -> dict[str, tuple[int, ...]]:
@@ -41,9 +135,6 @@ def sizes_by_end(tokens) -> dict[str, tuple[int, ...]]:
     return {end: (*sorted(sizes, reverse=True), 1) for end, sizes in found.items()}
 
 
-ONE = (1,)
-
-
 class PrefixTable:
     """Back-pointers ``prefix -> (last token, sum of units so far)`` of words, kept across words that share prefixes.
 
@@ -61,16 +152,29 @@ class PrefixTable:
         self.unit = unit or (lambda token: 1)
         self.longest = max(map(len, tokens), default=1)
         self.longest_final = max(map(len, final), default=1) if final is not None else 0
-        self.sizes = sizes_by_end(tokens)
-        self.final_sizes = sizes_by_end(final) if final is not None else {}
+        self.sizes = Sizes(tokens)
+        self.final_sizes = Sizes(final or ())
         self.table: dict[str, tuple[str, int]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.ends: dict[tuple[str, str], bool] = {}
+        self.trees: dict[tuple[str, bool], tuple | None] = {}
+        self.closed: dict[str, tuple[str, int]] = {}
 
     def forget(self) -> None:
         self.table.clear()
         self.pairs.clear()
         self.ends.clear()
+        self.trees.clear()
+        self.closed.clear()
+
+    def tree(self, token: str, final: bool = False) -> tuple | None:
+        """Spines of a token; None if it does not encode to itself."""
+        key = (token, final)
+        if key not in self.trees:
+            if len(self.trees) > self.limit:
+                self.trees.clear()
+            self.trees[key] = spines(self._symbols(token, final), self.rank)
+        return self.trees[key]
 
     def _symbols(self, token: str, final: bool) -> list[str]:
         return [*token[:-1], token[-1] + self.mark] if final else list(token)
@@ -83,9 +187,8 @@ class PrefixTable:
         if found is None:
             if len(known) > self.limit:
                 known.clear()
-            out = merge_symbols(list(before) + self._symbols(token, final), self.rank)
-            whole = token + self.mark if final else token
-            found = known[key] = out == ([before, whole] if before else [whole])
+            own = self.tree(token, final)
+            found = known[key] = own is not None and (not before or apart(self.tree(before)[1], own[0], self.rank))
         return found
 
     def last(self, prefix: str) -> tuple[str, int]:
@@ -94,7 +197,7 @@ class PrefixTable:
         if found is not None:
             return found
         n, tokens, pairs = len(prefix), self.tokens, self.pairs
-        for size in self.sizes.get(prefix[-2:], ONE):
+        for size in self.sizes[prefix[-3:]]:
             if size > n:
                 continue
             token = prefix[n - size :]
@@ -121,8 +224,16 @@ class PrefixTable:
         """Last token and sum of units of ``prefix`` read as a whole word."""
         if self.final is None:
             return self.last(prefix)
+        found = self.closed.get(prefix)
+        if found is None:
+            if len(self.closed) > self.limit:
+                self.closed.clear()
+            found = self.closed[prefix] = self._close(prefix)
+        return found
+
+    def _close(self, prefix: str) -> tuple[str, int]:
         n = len(prefix)
-        for size in self.final_sizes.get(prefix[-2:], ONE):
+        for size in self.final_sizes[prefix[-3:]]:
             if size > n:
                 continue
             token = prefix[n - size :]

@@ -1,31 +1,39 @@
 """Approximate nearest neighbours along shifted Hilbert curves (operator 3).
 
 Each ordering projects the vectors onto a few random orthonormal directions, shifts them by a random offset, and sorts
-them by their place on a Hilbert curve. Spark range-partitions all orderings at once by (ordering, key). In sorted order
-a query's candidates are the rows within ``window`` places; rows within ``window`` of a partition's ends are met again
-with those of the next partition, so windows run across partitions. Candidates of all orderings merge, the nearest by
-their 8-bit codes are kept, and these are ranked by exact distance on the original vectors.
+them by their place on a Hilbert curve. An ordering is cut into key ranges of equal numbers of rows, and Spark deals all
+rows of all orderings by (ordering, range). A query meets the rows of its own range and of the two beside it; what it
+finds in all orderings merges and is ranked by exact distance on the original vectors.
+
+How many ranges and how many orderings that takes is fitted to the data. For a bounded sample of rows (``probes``) the
+true neighbours are found by a scan of all rows; ranges come from quantiles of a bounded sample's keys (``sample``). Of all
+settings whose windows hold ``recall`` of the probes' neighbours the one is taken that compares a query with the fewest
+rows. Data without contrast need wide windows; where these would hold more rows than there are, two ranges hold all, and
+the search is exact. So recall does not fall as the table grows, but the work may rise. Every row is indexed.
+
+Distances in the windows are taken on 8-bit codes, whose error is known for each vector. A candidate is left out only if
+``k`` others are nearer for certain, so codes lose no neighbour. A range of more than ``chunk`` rows is dealt into chunks
+that each query meets, so no task holds a whole range, whatever its size.
 
 Equal vectors collapse to one entry that holds its ``k + 1`` smallest vec_ids (no larger one can be among k nearest), so
 a vector that fills a third of the table does not fill the windows.
 
-Every row is indexed; the projection's scale comes from the mean and deviation over all rows. Recall depends on how
-much nearer the neighbours are than the rest; README gives the measured figures and the rule for more orderings.
-
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither as
 queries nor as candidates; of vectors with different lengths those of the most frequent length take part (of equally
-frequent ones the longest); repeated vec_ids with one vector are one entry; fewer than k candidates are all returned; an
-empty table gives no rows.
+frequent ones the longest); rows that share a vec_id are candidates of their own where their vectors differ, and one
+where they are equal; neighbours at equal distance are taken in order of vec_id; fewer than k candidates are all
+returned; an empty table gives no rows; columns other than vec_id and embedding, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.taskcontext import TaskContext
 
 from aerolith.llm.common import map_batches, materialise, ship
 
@@ -60,163 +68,177 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def window_candidates(codes: np.ndarray, norms: np.ndarray, ids: np.ndarray, queries: np.ndarray, window: int, keep: int):
-    """For rows ``queries`` of a sorted run: (query id, candidate id, squared distance by codes) of the nearest in the window.
+class Orderings:
+    """Random frames of ``count`` orderings and the keys of vectors in them."""
+
+    def __init__(self, dim: int, center: float, spread: float, count: int, axes: int, bits: int, seed: int):
+        rng, use = np.random.default_rng(seed), min(axes, dim)
+        self.center, self.spread, self.bits = center, spread, bits
+        self.frames = [(np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, :use], rng.uniform(0, 1, use)) for _ in range(count)]
+
+    def keys(self, vectors: np.ndarray, ordering: int) -> np.ndarray:
+        axis, shift = self.frames[ordering]
+        y = ((vectors - self.center) @ axis / self.spread + 4 + shift) / 9
+        return hilbert_keys((np.clip(np.nan_to_num(y), 0, 1 - 1e-9) * (1 << self.bits)).astype(np.int64), self.bits)
 
-    Only rows of one ordering may be passed.
+
+def choose(sample: list[np.ndarray], probes: list[np.ndarray], near: list[np.ndarray], which: np.ndarray, recall: float) -> tuple[int, list[np.ndarray]]:
+    """(share of true pairs met, borders of the ranges of each ordering taken).
+
+    ``sample``, ``probes``, ``near``: keys by ordering; ``which[i]``: the probe that neighbour ``i`` belongs to.
     """
-    n, out = len(ids), []
-    for at in range(0, len(queries), 256):
-        q = queries[at : at + 256]
-        near = q[:, None] + np.arange(-window, window + 1)[None, :]
-        valid = (near >= 0) & (near < n) & (near != q[:, None])
-        near = np.clip(near, 0, n - 1)
-        dots = np.einsum("qwd,qd->qw", codes[near].astype(np.float32), codes[q].astype(np.float32))
-        scale = norms[:, 1]
-        d = norms[near, 0] + norms[q, 0][:, None] - 2 * dots * scale[near] * scale[q][:, None]
-        d = np.where(valid, d, np.inf)
-        m = min(keep, d.shape[1])
-        best = np.argpartition(d, m - 1, axis=1)[:, :m]
-        rows = np.arange(len(q))[:, None]
-        dist = d[rows, best]
-        ok = np.isfinite(dist)
-        out.append((np.broadcast_to(ids[q][:, None], best.shape)[ok], ids[near[rows, best]][ok], dist[ok]))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
-
-
-ROW = "place int, ordering int, entry long, is_query boolean, code binary, norm float, scale float, candidate long, d2 float"
-
-
-def _orderings(entries: DataFrame, dim: int, center: float, spread: float, orderings: int, axes: int, bits: int, seed: int) -> DataFrame:
-    """(ordering, key, entry, is_query, code, norm, scale) of each entry in each ordering."""
+    best, ranges = None, 2
+    while True:
+        borders = [np.quantile(s, np.arange(1, ranges) / ranges, method="nearest") for s in sample]
+        met = np.zeros(len(which), bool)
+        for count, (cut, p, n) in enumerate(zip(borders, probes, near), 1):
+            met |= np.abs(np.searchsorted(cut, p, side="right")[which] - np.searchsorted(cut, n, side="right")) <= 1
+            share, compared = met.mean() if len(met) else 1.0, count * min(1.0, 3 / ranges)
+            if share >= recall and (best is None or compared < best[0]):
+                best = compared, share, borders[:count]
+        ranges *= 2
+        if ranges * 16 > len(sample[0]):
+            return best[1], best[2]
+
+
+def _vectors(batch: pa.RecordBatch, column: int, dim: int) -> np.ndarray:
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _neighbours(entries: DataFrame, ids: list[int], vectors: np.ndarray, k: int) -> DataFrame:
+    """probe, entry: the true ``k`` nearest entries of each probe, by a scan of all entries."""
+    norms = (vectors**2).sum(1)
 
     def run(batches):
-        from aerolith.llm.hilbert_ann import hilbert_keys
+        from aerolith.llm.hilbert_ann import _vectors
 
-        rng = np.random.default_rng(seed)
-        use = min(axes, dim)
-        frames = [(np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, :use], rng.uniform(0, 1, use)) for _ in range(orderings)]
+        dist, found = np.full((len(ids), 0), np.inf), np.empty((len(ids), 0), np.int64)
         for batch in batches:
-            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            most = np.abs(flat).max(axis=1)
-            scale = np.where(most > 0, most / 127, 1.0)
-            codes = np.rint(flat / scale[:, None]).astype(np.int8)
-            norm = ((codes.astype(np.float32) ** 2).sum(1) * scale**2).astype(np.float32)
-            packed = pa.array([c.tobytes() for c in codes], pa.binary())
-            for k, (axis, shift) in enumerate(frames):
-                y = ((flat - center) @ axis / spread + 4 + shift) / 9
-                cells = (np.clip(np.nan_to_num(y), 0, 1 - 1e-9) * (1 << bits)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(flat), k, np.int32)), pa.array(hilbert_keys(cells, bits)), batch.column(0), batch.column(1), packed,
-                     pa.array(norm), pa.array(scale.astype(np.float32))],
-                    names=["ordering", "key", "entry", "is_query", "code", "norm", "scale"],
-                )
-
-    return map_batches(
-        entries.select("entry", "is_query", "vector"), run, "ordering int, key long, entry long, is_query boolean, code binary, norm float, scale float"
-    )
-
-
-def _arrays(table: pa.Table):
-    codes = np.frombuffer(b"".join(table["code"].to_pylist()), np.int8).reshape(table.num_rows, -1)
-    norms = np.stack([table["norm"].to_numpy(), table["scale"].to_numpy()], axis=1)
-    return codes, norms, table["entry"].to_numpy(), table["is_query"].to_numpy(zero_copy_only=False).astype(bool), table["ordering"].to_numpy()
-
-
-def _windows(sorted_rows: DataFrame, window: int, keep: int, block: int = 20_000) -> DataFrame:
-    """Candidates within each sorted partition (candidate set), and the rows at its ends (candidate null)."""
+            x, entry = _vectors(batch, 1, vectors.shape[1]), batch.column(0).to_numpy()
+            d = (x**2).sum(1)[None, :] - 2 * vectors @ x.T + norms[:, None]
+            d[np.array(ids)[:, None] == entry[None, :]] = np.inf
+            dist, found = np.hstack([dist, d]), np.hstack([found, np.broadcast_to(entry, d.shape)])
+            if dist.shape[1] > k:
+                keep = np.argpartition(dist, k - 1, axis=1)[:, :k]
+                dist, found = np.take_along_axis(dist, keep, 1), np.take_along_axis(found, keep, 1)
+        probe, at = np.nonzero(np.isfinite(dist))
+        yield pa.RecordBatch.from_arrays([pa.array(probe, pa.int64()), pa.array(found[probe, at]), pa.array(dist[probe, at])], names=["probe", "entry", "d2"])
+
+    rows = map_batches(entries.select("entry", "vector"), run, "probe long, entry long, d2 double")
+    order = Window.partitionBy("probe").orderBy("d2", "entry")
+    return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("probe", "entry")
+
+
+def packed(x: np.ndarray) -> list[bytes]:
+    """Scale, error bound (32-bit floats) and 8-bit codes of each vector."""
+    most = np.abs(x).max(axis=1)
+    scale = np.where(most > 0, most / 127, 1.0).astype(np.float32)
+    codes = np.clip(np.rint(x / scale[:, None].astype(np.float64)), -127, 127).astype(np.int8)
+    error = np.sqrt(((x - codes * scale[:, None].astype(np.float64)) ** 2).sum(1)) * (1 + 1e-6)
+    head = np.stack([scale, np.nextafter(error.astype(np.float32), np.float32(np.inf))], axis=1)
+    return [h.tobytes() + c.tobytes() for h, c in zip(head, codes)]
+
+
+def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, scales, error bounds and squared norms."""
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    head = np.ascontiguousarray(raw[:, :8]).view(np.float32).astype(np.float64)
+    codes = raw[:, 8:].view(np.int8).astype(np.float32)
+    return codes, head[:, 0], head[:, 1], (codes.astype(np.float64) ** 2).sum(1) * head[:, 0] ** 2
+
+
+def _dealt(entries: DataFrame, dim: int, orderings: Orderings, borders: list[np.ndarray], chunks: int) -> DataFrame:
+    """(place, role, vector) of each entry where it stands and of each query where it looks; role: twice the entry, and 1 for a query."""
+    ranges = len(borders[0]) + 1
 
     def run(batches):
-        from aerolith.llm.hilbert_ann import _arrays, window_candidates
-
-        place = TaskContext.get().partitionId()
-        names = ["place", "ordering", "entry", "is_query", "code", "norm", "scale", "candidate", "d2"]
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.float32(), pa.float32(), pa.int64(), pa.float32()]
-        schema = pa.schema(list(zip(names, types)))
-
-        def pad(n, **known):
-            arrays = [known[f.name] if f.name in known else pa.nulls(n, f.type) for f in schema]
-            return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, schema)], schema=schema)
-
-        def found(table, lo, hi):
-            """Searches queries at rows lo to hi - 1 of ``table``; neighbours may lie anywhere in it."""
-            codes, norms, ids, is_query, ordering = _arrays(table)
-            for k in np.unique(ordering[lo:hi]):
-                rows = np.flatnonzero(ordering == k)
-                a = rows[0]
-                q = np.flatnonzero(is_query[rows] & (rows >= lo) & (rows < hi))
-                if len(q):
-                    e, c, d = window_candidates(codes[rows], norms[rows], ids[rows], q, window, keep)
-                    yield pad(len(e), entry=e, candidate=c, d2=d.astype(np.float32))
-
-        def edge(table, side):
-            n = table.num_rows
-            known = {c: table[c].combine_chunks() for c in ("ordering", "entry", "is_query", "code", "norm", "scale")}
-            return pad(n, place=np.full(n, 2 * place + side, np.int32), d2=np.arange(n, dtype=np.float32), **known)
-
-        held, fresh, first, total = None, [], True, 0
-
-        def merge():
-            nonlocal held, fresh
-            table = pa.Table.from_batches(fresh).combine_chunks()
-            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            fresh = []
-            return table
-
-        waiting, begin = 0, 0  # rows of ``held`` whose queries were searched already
+        from aerolith.llm.hilbert_ann import _vectors, packed
+
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            fresh.append(batch)
-            waiting += batch.num_rows
-            if waiting < block:
+            x = _vectors(batch, 2, dim)
+            if not len(x):
                 continue
-            table = merge()
-            if first:
-                yield edge(table.slice(0, 2 * window), 0)
-                first = False
-            end = max(begin, table.num_rows - window)
-            yield from found(table, begin, end)
-            start = max(0, end - window)
-            held, begin, waiting = table.slice(start), end - start, 0
-        if fresh or held is not None:
-            table = merge() if fresh else held
-            if first:
-                yield edge(table.slice(0, 2 * window), 0)
-            yield from found(table, begin, table.num_rows)
-            yield edge(table.slice(max(0, table.num_rows - 2 * window)), 1)
-
-    return map_batches(sorted_rows, run, ROW)
-
-
-def _stitches(ends: DataFrame, window: int, keep: int) -> DataFrame:
-    """Candidates across the border of neighbouring partitions, from the rows at their ends."""
-
-    def run(table):
-        from aerolith.llm.hilbert_ann import _arrays, window_candidates
-
-        table = table.sort_by([("side", "ascending"), ("spot", "ascending")])
-        codes, norms, ids, is_query, ordering = _arrays(table)
-        out = []
-        for k in np.unique(ordering):
-            rows = np.flatnonzero(ordering == k)
-            q = np.flatnonzero(is_query[rows])
-            if len(q):
-                out.append(window_candidates(codes[rows], norms[rows], ids[rows], q, window, keep))
-        e, c, d = (np.concatenate([o[i] for o in out]) if out else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, np.float32)))
-        return pa.table({"entry": pa.array(e, pa.int64()), "candidate": pa.array(c, pa.int64()), "d2": pa.array(d.astype(np.float32))})
-
-    return ends.groupBy("border").applyInArrow(run, "entry long, candidate long, d2 float")
+            entry, shown = batch.column(0).to_numpy(), pa.array(packed(x), pa.binary())
+            chunk = (entry * 0x9E3779B1 >> 7) % chunks
+            asking = np.flatnonzero(batch.column(1).to_numpy(zero_copy_only=False).astype(bool))
+            for k, cut in enumerate(borders):
+                own = np.searchsorted(cut, orderings.keys(x, k), side="right")
+                at, rows, roles = [(k * ranges + own) * chunks + chunk], [np.arange(len(x))], [2 * entry]
+                for step in (-1, 0, 1):
+                    there = asking[(own[asking] + step >= 0) & (own[asking] + step < ranges)]
+                    for c in range(chunks):
+                        at.append((k * ranges + own[there] + step) * chunks + c)
+                        rows.append(there)
+                        roles.append(2 * entry[there] + 1)
+                columns = [pa.array(np.concatenate(at)), pa.array(np.concatenate(roles)), shown.take(pa.array(np.concatenate(rows)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["place", "role", "vector"])
+
+    return map_batches(entries.select("entry", "is_query", "vector"), run, "place long, role long, vector binary")
+
+
+def _met(dealt: DataFrame, k: int) -> DataFrame:
+    """(entry, candidate, low, high): candidates of each query in each place that may be among its ``k`` nearest there."""
+
+    def run(batches):
+        from aerolith.llm.hilbert_ann import unpacked
+
+        def arrays(vectors, roles):
+            return (*unpacked(vectors), roles >> 1)
+
+        place, parts, held = None, [], None
+        for batch in batches:
+            where, roles = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            asks = roles & 1
+            cuts = np.flatnonzero((where[1:] != where[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(where)] if len(where) else []):
+                if where[lo] != place:
+                    place, parts, held = where[lo], [], None
+                if not asks[lo]:
+                    parts.append((batch.column(2).slice(lo, hi - lo).to_pylist(), roles[lo:hi]))
+                    continue
+                if held is None and parts:
+                    held = arrays([v for p, _ in parts for v in p], np.concatenate([r for _, r in parts]))
+                for at in range(lo, hi, 256) if held else ():
+                    end = min(hi, at + 256)
+                    code, scale, error, norm, entry = arrays(batch.column(2).slice(at, end - at).to_pylist(), roles[at:end])
+                    d2 = norm[:, None] + held[3][None, :] - 2.0 * (scale[:, None] * held[1][None, :]) * (code @ held[0].T)
+                    dist, off = np.sqrt(np.maximum(d2, 0)), error[:, None] + held[2][None, :] + 1e-9
+                    high = dist + off
+                    high[entry[:, None] == held[4][None, :]] = np.inf
+                    low = dist - off
+                    limit = np.partition(high, k - 1, axis=1)[:, k - 1 : k] if high.shape[1] > k else np.full((len(entry), 1), np.inf)
+                    q, c = np.nonzero((low <= limit) & np.isfinite(high))
+                    yield pa.RecordBatch.from_arrays([pa.array(entry[q]), pa.array(held[4][c]), pa.array(low[q, c]), pa.array(high[q, c])], names=["entry", "candidate", "low", "high"])
+
+    by_place = dealt.repartition("place").withColumn("asks", F.col("role") % 2).sortWithinPartitions("place", "asks", "role").drop("asks")
+    return map_batches(by_place, run, "entry long, candidate long, low double, high double")
+
+
+def fit(entries: DataFrame, dim: int, n: int, k: int, recall: float, orderings: int, axes: int, bits: int, seed: int, probes: int, sample: int):
+    """Orderings, the borders of their ranges and the largest range's share of rows, fitted to a bounded sample of ``entries``."""
+    moments = entries.select(F.explode("vector").alias("x")).agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
+    turn = Orderings(dim, moments.m, moments.s or 1.0, orderings, axes, bits, seed)
+    size = max(probes, min(sample, 8_000_000 // dim))  # numbers, so the sample is bounded for long vectors too
+    some = entries.where(F.pmod(F.xxhash64("entry"), F.lit(1 << 20)) < max(1, math.ceil((1 << 20) * 1.2 * size / n)))
+    rows = some.orderBy(F.xxhash64("entry"), "entry").limit(size).select("entry", "vector").collect()
+    vectors, ids = np.array([r.vector for r in rows], float).reshape(-1, dim), [r.entry for r in rows]
+    asked = vectors[:probes]
+    pairs = _neighbours(entries, ids[:probes], asked, k)
+    found = entries.select("entry", "vector").join(F.broadcast(pairs), "entry").select("probe", "vector").collect()
+    near, which = np.array([r.vector for r in found], float).reshape(-1, dim), np.array([r.probe for r in found], int)
+    all_keys = [[turn.keys(x, o) for o in range(orderings)] for x in (vectors, asked, near)]
+    share, borders = choose(*all_keys, which, recall)
+    largest = max(np.bincount(np.searchsorted(cut, keys, side="right")).max() for cut, keys in zip(borders, all_keys[0])) / len(vectors)
+    return turn, borders, float(largest)
 
 
 def nearest(
-    vectors: DataFrame, is_query, k: int = 10, orderings: int = 128, window: int = 128, axes: int = 10, bits: int = 6, keep: int = 24, rerank: int = 64, seed: int = 7
+    vectors: DataFrame, is_query, k: int = 10, recall: float = 0.93, orderings: int = 20, axes: int = 10, bits: int = 6, seed: int = 7, probes: int = 128, sample: int = 16_384, chunk: int = 65_536
 ) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the k nearest found for each row with ``is_query``.
 
-    ``vectors``: vec_id and embedding; ``is_query``: Column over vec_id.
+    ``vectors``: vec_id and embedding; ``is_query``: Column over vec_id. ``recall`` is what the fitted windows hold of the
+    ``probes`` rows' true neighbours; ``orderings`` bounds how many orderings are tried, and with them the shuffle.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -224,11 +246,10 @@ def nearest(
     fine = F.forall(F.col("vector"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(F.col("vector"), lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), value.alias("vector")).where("vec_id is not null and vector is not null and size(vector) > 0").where(fine)
     rows = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))  # -0.0 becomes 0.0
-    rows = materialise(rows.withColumns({"is_query": is_query, "digest": F.md5(F.concat_ws(",", F.col("vector").cast("array<string>")))}), "vectors")
+    rows = materialise(rows.withColumns({"is_query": is_query, "digest": F.struct(F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(1), "vector").alias("b"))}), "vectors")
     sizes = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = sizes[0]["dim"]
     rows = rows.where(F.size("vector") == dim)
     ids = rows.select("digest", "vec_id").distinct()
@@ -236,29 +257,22 @@ def nearest(
     small = ids.withColumn("n", F.row_number().over(Window.partitionBy("digest", salt).orderBy("vec_id"))).where(F.col("n") <= k + 1)
     small = small.withColumn("n", F.row_number().over(Window.partitionBy("digest").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     members = small.groupBy("digest").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
-    entries = rows.groupBy("digest").agg(F.first("vector").alias("vector"), F.max("is_query").alias("is_query"), F.min("vec_id").alias("entry"))
-    entries = materialise(entries.join(members, "digest"), "entries")
-    moments = entries.select(F.explode("vector").alias("x")).agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
-    keyed = _orderings(entries, dim, moments.m, moments.s or 1.0, orderings, axes, bits, seed)
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = keyed.repartitionByRange(parts, "ordering", "key", "entry").sortWithinPartitions("ordering", "key", "entry")
-    met = materialise(_windows(keyed, window, keep), "windows")
-    inner = met.where("candidate is not null").select("entry", "candidate", "d2")
-    ends = met.where("candidate is null").withColumnRenamed("d2", "spot")
-    # an end row with place 2p+1 meets those with place 2p+2, the next partition's first rows
-    ends = ends.withColumns({"border": F.floor((F.col("place") + 1) / 2), "side": F.pmod(F.col("place") + 1, F.lit(2))})
-    across = _stitches(ends.select("border", "side", "spot", "ordering", "entry", "is_query", "code", "norm", "scale"), window, keep)
-    pairs = inner.unionByName(across).groupBy("entry", "candidate").agg(F.min("d2").alias("d2"))
-    pairs = pairs.withColumn("n", F.row_number().over(Window.partitionBy("entry").orderBy("d2", "candidate"))).where(F.col("n") <= rerank)
+    entries = rows.groupBy("digest").agg(F.first("vector").alias("vector"), F.max("is_query").alias("is_query"))
+    entries = materialise(entries.join(members, "digest").withColumn("entry", F.monotonically_increasing_id()), "entries")
+    n = entries.count()
+    turn, borders, largest = fit(entries, dim, n, k, recall, orderings, axes, bits, seed, probes, sample)
+    chunks = max(1, math.ceil(n * largest / chunk))
+    pairs = _met(_dealt(entries, dim, turn, borders, chunks), k).groupBy("entry", "candidate").agg(F.min("low").alias("low"), F.min("high").alias("high"))
+    own = Window.partitionBy("entry")
+    pairs = pairs.withColumn("n", F.row_number().over(own.orderBy("high", "candidate")))
+    pairs = pairs.withColumn("limit", F.max(F.when(F.col("n") == k, F.col("high"))).over(own)).where("limit is null or low <= limit")
     a = entries.select("entry", F.col("vector").alias("qv"))
     b = entries.select(F.col("entry").alias("candidate"), F.col("vector").alias("cv"), "members")
     gap = F.aggregate(F.zip_with("qv", "cv", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.select("entry", "candidate").join(a, "entry").join(b, "candidate").select("entry", F.sqrt(gap).alias("score"), "members")
-    own = entries.where("is_query").select("entry", F.lit(0.0).alias("score"), "members")
-    scored = scored.unionByName(own)
     # an entry's own copies are candidates of each other at distance 0
-    queries = rows.where("is_query").select("vec_id", "digest").distinct().join(entries.select("digest", "entry"), "digest")
-    found = queries.select(F.col("vec_id").alias("query_id"), "entry").join(scored, "entry")
-    found = found.select("query_id", "score", F.explode("members").alias("vec_id")).where("vec_id <> query_id")
+    scored = scored.unionByName(entries.where("is_query").select("entry", F.lit(0.0).alias("score"), "members"))
+    queries = rows.where("is_query").select(F.col("vec_id").alias("query_id"), "digest").distinct().join(entries.select("digest", "entry"), "digest")
+    found = queries.select("query_id", "entry").join(scored, "entry").select("query_id", "score", F.explode("members").alias("vec_id")).where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -7,12 +7,13 @@ No piece is longer than ``longest``, so only the last ``longest`` columns can be
 paths of all these columns run through one boundary, everything before it is final: its ids are committed and its
 columns dropped, so memory does not grow with the text.
 
-White space bounds pieces (no piece has the space mark after another character), so text is fed word by word; the
-columns of short words are kept in a bounded table, shared by words with a common beginning.
+White space bounds pieces (no piece has the space mark after another character), so text is fed word by word, every word
+through the same trellis; the ids of words of up to 64 characters are kept in a bounded memo for when they come again.
 
 Defined results: null and empty texts have no ids and decode to the empty string; characters outside the vocabulary
 become byte pieces; a text's own U+2581 reads as a space on decoding, as in the library, so ``round_trip`` is false for
-such texts; repeated rows are answered row by row; columns other than doc_id and text are ignored.
+such texts; repeated rows, rows that share a doc_id and rows with none are answered row by row; an empty table gives no
+rows; columns other than doc_id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -48,56 +49,79 @@ def read_model(path: str) -> dict:
 
 
 class Viterbi:
-    """Streaming encoder of one segment: feed characters, take committed tokens, then finish."""
+    """Streaming encoder of one segment: feed characters, take committed tokens, then finish.
+
+    Column ``n`` stands for the first ``n`` characters since the last committed boundary: ``last[n]`` is the token that
+    ends there on the best path, ``begin[n]`` the column where it begins.
+    """
 
     def __init__(self, table: PrefixTable):
         self.table, self.longest = table, table.longest
         self.tail = ""  # characters since the last committed boundary
-        self.columns: list[tuple[str, int]] = [("", 0)]  # (last token, index of the column it begins at), from that boundary
-        self.before = ""  # last committed token
+        self.last, self.begin = [""], [0]  # last[0]: the last committed token
 
     def feed(self, chars: str) -> Iterator[str]:
-        for c in chars:
-            self.tail += c
-            n = len(self.tail)
-            for size in range(1, min(self.longest, n) + 1):
-                token = self.tail[n - size :]
-                if size > 1 and token not in self.table.tokens:
+        step = 2 * self.longest
+        for at in range(0, len(chars), step):
+            self.extend(chars[at : at + step])
+            if len(self.tail) >= 2 * step:
+                yield from self.commit()
+
+    def extend(self, chars: str) -> None:
+        tail = self.tail = self.tail + chars
+        last, begin, table = self.last, self.begin, self.table
+        tokens, sizes, pairs, fits = table.tokens, table.sizes, table.pairs, table.fits
+        for n in range(len(last), len(tail) + 1):
+            for size in sizes[tail[max(0, n - 3) : n]]:
+                if size > n:
                     continue
-                last = self.columns[n - size][0] if n > size else self.before
-                if self.table.fits(last, token):
-                    self.columns.append((token, n - size))
+                token = tail[n - size : n]
+                if size > 1 and token not in tokens:
+                    continue
+                pair = (last[n - size], token)
+                ok = pairs.get(pair)
+                if fits(*pair) if ok is None else ok:
+                    last.append(token)
+                    begin.append(n - size)
                     break
-            if n >= 4 * self.longest:
-                yield from self.commit()
+
+    def rewind(self, chars: str) -> str:
+        """Keep the columns that the next segment, ``chars``, begins with, if nothing was committed; the rest of ``chars`` is left to feed."""
+        n, tail = 0, self.tail
+        if self.last[0] == "":
+            for a, b in zip(tail, chars):
+                if a != b:
+                    break
+                n += 1
+        self.tail = tail[:n]
+        del self.last[n + 1 :], self.begin[n + 1 :]
+        self.last[0] = ""
+        return chars[n:]
 
     def path(self, column: int) -> list[int]:
         """Boundaries of the path to ``column``, ends included."""
-        out = [column]
-        while out[-1]:
-            out.append(self.columns[out[-1]][1])
+        out, begin = [column], self.begin
+        while out[-1] > 0:
+            out.append(begin[out[-1]])
         return out[::-1]
 
     def commit(self) -> Iterator[str]:
         """Give out the tokens up to the last boundary that the paths of all live columns share."""
-        live = range(len(self.columns) - self.longest, len(self.columns))
+        live = range(len(self.last) - self.longest, len(self.last))
         shared = set(self.path(live[0]))
         for column in live[1:]:
             shared &= set(self.path(column))
         at = max(shared)
         if at:
             yield from self.tokens(at)
-            self.before = self.columns[at][0]
-            self.tail = self.tail[at:]
-            self.columns = [("", 0), *[(t, b - at) for t, b in self.columns[at + 1 :]]]
-            self.columns = [c if i == 0 or c[1] >= 0 else ("", -1) for i, c in enumerate(self.columns)]
+            # columns that begin before the boundary are out of reach: no piece is as long as their distance to the end
+            self.tail, self.last, self.begin = self.tail[at:], self.last[at:], [0, *[max(0, b - at) for b in self.begin[at + 1 :]]]
 
     def tokens(self, column: int) -> list[str]:
-        cuts = self.path(column)
-        return [self.tail[a:b] for a, b in zip(cuts, cuts[1:])]
+        return [self.last[c] for c in self.path(column)[1:]]
 
     def finish(self) -> list[str]:
-        return self.tokens(len(self.columns) - 1)
+        return self.tokens(len(self.last) - 1)
 
 
 class Codec:
@@ -113,7 +137,7 @@ class Codec:
             i = ids.get(a + b)
             return None if i is None else -scores[i]
 
-        self.table = PrefixTable(ids, rank, unit=self.pack)
+        self.table = PrefixTable(ids, rank)
         self.byte_ids = dict(zip(range(256), sorted(model["bytes"])))
         self.text = [p.replace(MARK, " ").encode() for p in model["pieces"]]
         for i in model["other"]:
@@ -123,6 +147,7 @@ class Codec:
         self.apart = re.compile("([" + "".join(re.escape(c) for c in "\n\t\r" if c not in ids) + "]+)")
         self.packed: dict[str, bytes] = {}
         self.memo = Memo(self.key, memo)
+        self.coder = Viterbi(self.table)
 
     def forget(self) -> None:
         self.memo.forget()
@@ -141,34 +166,36 @@ class Codec:
 
     def segment(self, segment: str) -> bytes:
         """Ids of a segment; parts without vocabulary characters between them cannot merge."""
-        out = []
+        out, coder = [], self.coder
         for part in self.apart.split(segment) if len(segment) > 1 else [segment]:
-            if not part:
-                continue
-            if len(part) <= self.table.long_word:
-                out.append(self.table.last(part)[1])
-            else:
-                coder = Viterbi(self.table)
-                out += map(self.pack, coder.feed(part))
+            if part:
+                out += map(self.pack, coder.feed(coder.rewind(part)))
                 out += map(self.pack, coder.finish())
         return b"".join(out)
 
-    def encode_packed(self, text: str) -> bytes:
-        """Ids of ``text`` as little-endian 32-bit integers."""
+    def keys(self, text: str) -> list[str]:
+        """Pieces of text between single spaces, or segments that show their own space marks."""
         if not text:
-            return b""
+            return []
         if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
-            keys: Iterable[str] = SEGMENT.findall(MARK + text.replace(" ", MARK))
-        else:
-            keys = text.split(" ")
-        return b"".join(map(self.memo.__getitem__, keys))
+            return SEGMENT.findall(MARK + text.replace(" ", MARK))
+        return text.split(" ")
 
     def key(self, key: str) -> bytes:
-        """Ids of a piece of text between single spaces, or of a segment that shows its own space marks."""
         return self.segment(key if key[0] == MARK else MARK + key)
 
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers.
+
+        Segments that are not in the memo go through the trellis in sorted order, so that it keeps the columns of a
+        common beginning.
+        """
+        keys = list(map(self.keys, texts))
+        ids = {k: self.memo[k] for k in sorted(set().union(*keys))}
+        return [b"".join([ids[k] for k in own]) for own in keys]
+
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_packed(text), "<i4").tolist()
+        return np.frombuffer(self.encode_packed([text])[0], "<i4").tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         text = self.text
@@ -197,7 +224,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         codec = codec_for(model)
 
         def step(cols):
-            packed = [codec.encode_packed(t) for t in cols["text"].to_pylist()]
+            packed = codec.encode_packed(cols["text"].to_pylist())
             sizes = np.array([len(p) // 4 for p in packed], np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32())
@@ -236,8 +263,8 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
 
         def step(cols):
             n, digest, back, same = [], [], [], []
-            for text in cols["text"].to_pylist():
-                packed = codec.encode_packed(text)
+            texts = cols["text"].to_pylist()
+            for text, packed in zip(texts, codec.encode_packed(texts)):
                 decoded = codec.decode(np.frombuffer(packed, "<i4").tolist())
                 n.append(len(packed) // 4)
                 digest.append(hashlib.sha256(packed).hexdigest())

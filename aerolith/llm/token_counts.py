@@ -3,10 +3,13 @@
 For the word-level BPE of ``word_bpe_49k.json``: text is composed (NFC), lower-cased, cut into words by the
 tokenizer's own pattern, and each word is byte-level BPE with an end mark. Words do not influence each other, so the
 count of any prefix of a text is the count of the whole words before it plus the count of the word prefix it ends in.
-Both come from back-pointers of :class:`PrefixTable`; nothing is encoded twice to answer a truncation question.
+Both come from back-pointers of :class:`PrefixTable`. A text's counts at every prefix, character by character, are one
+array: its last entry is the text's count, the last entry within a budget says where to cut for it, and any other
+truncation is looked up there (:func:`tokens_of_prefix`, :func:`longest_within`) without a tokenizer.
 
-Defined results: a null or empty text has 0 tokens; special strings in a text count as one token each (the library's
-default); repeated rows are answered row by row; other columns are ignored.
+Defined results: a null or empty text has 0 tokens and no prefixes; special strings in a text count as one token each (the
+library's default), their beginnings as plain text; repeated rows, rows that share a doc_id and rows with none are
+answered row by row; an empty table gives no rows; columns other than doc_id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -14,9 +17,10 @@ from __future__ import annotations
 import json
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.llm.bpe_prefix import PrefixTable
@@ -25,6 +29,8 @@ from aerolith.llm.common import Memo, map_rows, text_or_empty
 #: Whitespace of the tokenizer's pattern; str.split() also cuts at the four separators U+001C to U+001F.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 WHITE = regex.compile(r"\p{White_Space}+")
+#: Whether a code point is white space; all from the last entry on are not.
+IS_WHITE = np.array([WHITE.fullmatch(chr(i)) is not None for i in range(0x3002)])
 
 
 def byte_alphabet() -> list[str]:
@@ -54,7 +60,7 @@ class WordCounter:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.words = regex.compile(split)
         self.bytes = byte_alphabet()
-        self.memo = Memo(self.chunk, memo)
+        self.memo = Memo(self.marks, memo)
 
     def symbols(self, word: str) -> str:
         if word.isascii() and word.isprintable() and " " not in word:
@@ -72,53 +78,71 @@ class WordCounter:
             return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def chunk(self, chunk: str) -> int:
+    def count(self, chunk: str) -> int:
         """Tokens of a piece of text without white space."""
         return sum(self.table.count(self.symbols(w)) for w in self.words.findall(self.normal(chunk)))
 
+    def marks(self, chunk: str) -> bytes:
+        """Tokens of each prefix of a piece of text without white space, from length 1 on, as little-endian 32-bit integers."""
+        text = self.normal(chunk)
+        if len(text) != len(chunk) or not (chunk.isascii() or unicodedata.is_normalized("NFC", chunk)):
+            return np.array([self.count(chunk[:i]) for i in range(1, len(chunk) + 1)], "<i4").tobytes()
+        out, done, at = [], 0, 0
+        for m in self.words.finditer(text):
+            out += [done] * (m.start() - at)
+            word = m.group()
+            if word[0] == "'":  # a shorter prefix may match another branch of the pattern
+                own = [self.count(word[:i]) for i in range(1, len(word) + 1)]
+            elif len(word.encode("utf-8", "surrogatepass")) == len(word):
+                own = self.table.counts(self.symbols(word))
+            else:
+                own = [self.table.count(self.symbols(word[:i])) for i in range(1, len(word) + 1)]
+            out += [done + c for c in own]
+            done += own[-1]
+            at = m.end()
+        return np.array(out + [done] * (len(text) - at), "<i4").tobytes()
+
     def _chunks(self, text: str) -> list[str]:
         return text.split() if not ODD_SPACE.search(text) else [c for c in WHITE.split(text) if c]
 
-    def _plain(self, text: str) -> list[int]:
-        return list(map(self.memo.__getitem__, self._chunks(text)))
-
-    def chunk_counts(self, text: str) -> list[int]:
-        """Tokens of each white-space separated piece of ``text``, special strings as pieces of their own."""
+    def _plain(self, text: str) -> np.ndarray:
+        """Tokens of each prefix of a text without special strings."""
+        chunks = self._chunks(text)
+        if not chunks:
+            return np.zeros(len(text), np.int32)
+        inside = np.frombuffer(b"".join(map(self.memo.__getitem__, chunks)), "<i4")
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        whole = inside[np.cumsum(sizes) - 1]
+        counts = np.concatenate([[0], inside + np.repeat(np.cumsum(whole) - whole, sizes)])
+        if len(text) == sizes.sum():
+            return counts[1:].astype(np.int32)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        return counts[np.cumsum(~IS_WHITE[np.minimum(points, len(IS_WHITE) - 1)])].astype(np.int32)
+
+    def prefix_counts(self, text: str) -> np.ndarray:
+        """Exact token count of each prefix of ``text``, from length 1 on: entry i - 1 is what encoding ``text[:i]`` anew gives."""
         if "<|" not in text:
             return self._plain(text)
-        out: list[int] = []
+        out, base, before, last = [], 0, "", np.empty(0, np.int32)
         for i, part in enumerate(self.cut_special.split(text)):
-            out += [1] if i % 2 else self._plain(part)
-        return out
-
-    def prefix_counts(self, text: str) -> list[int]:
-        """Exact token count of each prefix (in characters) of the composed, lower-cased ``text``, from length 1 on.
+            if i % 2 == 0:
+                before, last = part, base + self._plain(part)
+                out.append(last)
+                continue
+            # until it is complete, a special string reads on from the piece before it
+            done = int(last[-1]) if before else base
+            tail = self._chunks(before)[-1] if before and not WHITE.fullmatch(before[-1]) else ""
+            start = int(last[-len(tail) - 1]) if len(before) > len(tail) else base
+            inside = start + np.frombuffer(self.marks(tail + part), "<i4")[len(tail) :]
+            base = done + 1
+            out.append(np.concatenate([inside[:-1], [base]]))
+        return np.concatenate(out).astype(np.int32)
 
-        Entry ``i - 1`` equals what encoding ``text[:i]`` anew would give. Special strings are read as plain text here.
-        """
-        text, out, done, at = self.normal(text), [], 0, 0
-        for m in self.words.finditer(text):
-            out += [done] * (m.start() - at)
-            word = m.group()
-            if word.isascii() or len(word.encode()) == len(word):
-                marks = self.table.counts(self.symbols(word))
-            else:
-                marks = [self.table.count(self.symbols(word[:i])) for i in range(1, len(word) + 1)]
-            if word[0] == "'":  # a shorter prefix may match another branch
-                marks = [self.chunk(word[:i]) for i in range(1, len(word) + 1)]
-            out += [done + c for c in marks]
-            done += marks[-1]
-            at = m.end()
-        return out + [done] * (len(text) - at)
-
-    def fit(self, counts: list[int], budget: int) -> int:
-        """Number of leading pieces whose tokens together stay within ``budget``."""
-        total = 0
-        for i, c in enumerate(counts):
-            total += c
-            if total > budget:
-                return i
-        return len(counts)
+    @staticmethod
+    def within(counts: np.ndarray, budget: int) -> int:
+        """Length of the longest prefix with at most ``budget`` tokens."""
+        fits = np.flatnonzero(counts <= budget)
+        return int(fits[-1]) + 1 if len(fits) else 0
 
 
 _COUNTERS: dict[str, WordCounter] = {}
@@ -133,11 +157,10 @@ def counter_for(spec: str) -> WordCounter:
 
 
 def token_counts(docs: DataFrame, vocabulary: str, budget: int = 2048, prefixes: bool = False) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit, and how much of the text fits ``budget`` tokens.
+    """Per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit, and how many characters fit ``budget`` tokens.
 
-    ``n_fitting`` counts the leading white-space separated pieces that fit. With ``prefixes``, ``prefix_tokens`` holds
-    the cumulative count after each piece, from which any other budget is answered without a tokenizer.
-    ``vocabulary`` is a tokenizer file on the driver; its content (about 2 MB) travels with the tasks.
+    With ``prefixes``, ``prefix_tokens`` holds the token count of every prefix, from one character on. ``vocabulary`` is a
+    tokenizer file on the driver; its content (about 2 MB) travels with the tasks.
     """
     spec = open(vocabulary, encoding="utf-8").read()
 
@@ -149,27 +172,35 @@ def token_counts(docs: DataFrame, vocabulary: str, budget: int = 2048, prefixes:
         def step(cols):
             n, fit, marks = [], [], []
             for text in cols["text"].to_pylist():
-                counts = counter.chunk_counts(text)
-                total = sum(counts)
+                counts = counter.prefix_counts(text)
+                total = int(counts[-1]) if len(counts) else 0
                 n.append(total)
-                fit.append(len(counts) if total <= budget else counter.fit(counts, budget))
+                fit.append(len(counts) if total <= budget else counter.within(counts, budget))
                 if prefixes:
-                    at, line = 0, []
-                    for c in counts:
-                        at += c
-                        line.append(at)
-                    marks.append(line)
-            return {"doc_id": cols["doc_id"], "n_bytes": cols["n_bytes"], "n_tokens": n, "n_fitting": fit, "prefix_tokens": marks}
+                    marks.append(counts)
+            return {"doc_id": cols["doc_id"], "n_bytes": cols["n_bytes"], "n_tokens": n, "fitting_chars": fit, "prefix_tokens": marks}
 
         step.release = counter.forget
         return step
 
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_fitting", pa.int64())]
-    schema = "doc_id long, n_bytes long, n_tokens long, n_fitting long"
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("fitting_chars", pa.int64())]
+    schema = "doc_id long, n_bytes long, n_tokens long, fitting_chars long"
     if prefixes:
-        fields.append(("prefix_tokens", pa.list_(pa.int64())))
-        schema += ", prefix_tokens array<long>"
+        fields.append(("prefix_tokens", pa.list_(pa.int32())))
+        schema += ", prefix_tokens array<int>"
     text = text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     out = map_rows(rows, kernel, schema, pa.schema(fields))
     return out.withColumn("over_limit", F.col("n_tokens") > budget)
+
+
+def tokens_of_prefix(prefix_tokens: Column, n_chars: Column | int) -> Column:
+    """Tokens of a text's first ``n_chars`` characters, from its stored counts; of the whole text if it has fewer."""
+    n = F.least(F.lit(n_chars) if isinstance(n_chars, int) else n_chars, F.size(prefix_tokens))
+    return F.when(n > 0, F.get(prefix_tokens, n - 1)).otherwise(0)
+
+
+def longest_within(prefix_tokens: Column, budget: Column | int) -> Column:
+    """Characters of the longest prefix with at most ``budget`` tokens, from a text's stored counts."""
+    fits = F.transform(prefix_tokens, lambda c, i: F.when(c <= budget, i + 1))
+    return F.coalesce(F.array_max(fits), F.lit(0))

@@ -49,7 +49,7 @@ def test_nearest_against_brute_force(spark):
     bad = [(600, None, 0), (610, [0.0] * 8, 0), (620, [float("nan")] + [1.0] * 7, 0), (630, [None] + [1.0] * 7, 0), (640, [], 0), (650, [1.0] * 7, 0), (None, [1.0] * 8, 0), (660, [float("inf")] + [1.0] * 7, 0)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, entry int")
     got = collections.defaultdict(list)
-    for r in nearest(df, F.col("vec_id") % 10 == 0, k=5, orderings=24, window=32).orderBy("query_id", "rank").collect():
+    for r in nearest(df, F.col("vec_id") % 10 == 0, k=5).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     want = brute(vectors, 5)
     assert set(got) == set(want)
