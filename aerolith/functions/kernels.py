@@ -142,10 +142,10 @@ def cross_correlation(a, b, most: int) -> np.ndarray:
     norm = math.sqrt((a * a).sum() * (b * b).sum())
     out = np.zeros(2 * most + 1)
     if norm > 0:
-        full = np.correlate(b, a, "full")  # entry n - 1 + lag
         lags = np.arange(-most, most + 1)
-        ok = np.abs(lags) < n
-        out[ok] = full[n - 1 + lags[ok]] / norm
+        size = 1 << (n + most).bit_length()  # room for all lags: none wraps around
+        products = np.fft.irfft(np.conj(np.fft.rfft(a, size)) * np.fft.rfft(b, size), size)
+        out = np.where(np.abs(lags) < n, products[lags % size] / norm, 0.0)
     return out
 
 
@@ -165,7 +165,7 @@ def window_lags(x, y, fs: float, win_sec: float = 2.0, step_sec: float = 1.0, mo
         spread = rows.std(1)
         with np.errstate(divide="ignore", invalid="ignore"):
             r = np.where(spread > 0, ((rows - rows.mean(1, keepdims=True)) @ (a - a.mean())) / (win * sd * np.where(spread > 0, spread, 1)), -1)
-        k = int(r.argmax())
+        k = int(np.round(r, 9).argmax())  # periodic series tie
         if r[k] >= least_r:
             out.append((k, float(r[k])))
     return out
@@ -229,63 +229,85 @@ def high_pass(x, fs: float, cutoff: float = 20.0) -> np.ndarray:
     return np.array(y)
 
 
+def notch_cascade(x, centres: np.ndarray, q: float, fs: float, weights: np.ndarray | None = None) -> np.ndarray:
+    """Notches in series; ``centres`` and ``weights`` have a row for each notch and a value for each sample."""
+    for k, hz in enumerate(centres):
+        x = run_biquad(x, biquad(hz, 1 / fs, q, "notch"), None if weights is None else weights[k])
+    return x
+
+
+def harmonics(erpm: np.ndarray, p: dict, fs: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and weight of the notch at each harmonic of each motor: arrays of (motor and harmonic, sample).
+
+    A motor's frequency is its electrical speed (in hundreds a minute) by pole pairs, smoothed. Centres stay between the
+    lower limit and 0.48 of the sampling rate; weights fade in over ``rpm_fade_hz`` above the lower limit.
+    """
+    order = np.arange(1, int(p["rpm_harmonics"]) + 1)
+    share = np.zeros(len(order))
+    given = np.asarray(p["rpm_weights"], float)[: len(order)]
+    share[: len(given)] = given
+    low, high = p["rpm_min_hz"], 0.48 * fs
+    base = np.stack([poles(e * (100 / 60 * 2 / p["motor_poles"]), p["rpm_lpf_hz"], 1 / fs) for e in erpm])
+    centre = np.minimum(np.maximum(order[None, :, None] * base[:, None, :], low), high)
+    fade = np.minimum((centre - low) / p["rpm_fade_hz"], 1) if p["rpm_fade_hz"] > 0 else np.ones_like(centre)
+    weight = np.clip(share[None, :, None] * fade, 0, 1)
+    used = np.broadcast_to(share > 0, centre.shape[:2]).ravel()
+    flat = lambda a: a.reshape(-1, a.shape[-1])[used]
+    return flat(centre), flat(weight)
+
+
 def rpm_notches(x, erpm: list, p: dict, fs: float) -> np.ndarray:
-    """Notches at each motor's harmonics; near the lower limit they fade out."""
+    """Notches at each motor's harmonics; near the lower limit they fade out. Motors with too short a record are left out."""
     x = np.asarray(x, float)
-    if p["rpm_harmonics"] < 1 or p["motor_poles"] < 2:
+    motors = [np.asarray(e[: len(x)], float) for e in erpm if e is not None and len(e) >= len(x)]
+    if not motors or p["rpm_harmonics"] < 1 or p["motor_poles"] < 2:
         return x
-    for speed in erpm:
-        if speed is None or len(speed) < len(x):
-            continue
-        hz = poles(np.asarray(speed[: len(x)], float) * 100 / 60 / (p["motor_poles"] / 2), p["rpm_lpf_hz"], 1 / fs)
-        for h in range(int(p["rpm_harmonics"])):
-            base = p["rpm_weights"][h] if h < len(p["rpm_weights"]) else 0.0
-            if base <= 0:
-                continue
-            f = np.clip((h + 1) * hz, p["rpm_min_hz"], max(p["rpm_min_hz"], 0.48 * fs))
-            f = np.minimum(f, 0.48 * fs)
-            fade = np.minimum((f - p["rpm_min_hz"]) / p["rpm_fade_hz"], 1) if p["rpm_fade_hz"] > 0 else 1.0
-            x = run_biquad(x, biquad(f, 1 / fs, p["rpm_q"], "notch"), np.clip(base * fade, 0, 1) * np.ones(len(x)))
-    return x
+    centres, weights = harmonics(np.stack(motors), p, fs)
+    return notch_cascade(x, centres, p["rpm_q"], fs, weights)
+
+
+def lowpass_cutoff(p: dict, throttle):
+    """Cutoff of the first gyro low-pass in Hz: one number, one for each sample where it follows throttle, or 0 (off).
+
+    With an exponent e the throttle curve is t + t (1 - t) e / 10 between the two limits; without, 1.5 t (1 - t^2 / 3) of
+    the upper limit, but never under the lower one.
+    """
+    low, high = p["lpf1_dyn_min_hz"], p["lpf1_dyn_max_hz"]
+    if low <= 0 or throttle is None:
+        return max(0.0, p["lpf1_static_hz"])
+    t, e = np.clip(np.asarray(throttle, float), 0, 1), p["lpf1_dyn_expo"]
+    return low + (high - low) * (t + t * (1 - t) * e / 10) if e > 0 else np.maximum(1.5 * t * (1 - t * t / 3) * high, low)
 
 
 def gyro_lowpass(x, p: dict, throttle, fs: float) -> np.ndarray:
-    """First gyro low-pass: static, or its cutoff follows throttle."""
-    order = {"PT1": 1, "PT2": 2, "PT3": 3}.get(p["lpf1_type"], 0)
-    if p["lpf1_dyn_min_hz"] > 0 and throttle is not None:
-        t = np.clip(np.asarray(throttle, float), 0, 1)
-        if p["lpf1_dyn_expo"] > 0:
-            curve = t + t * (1 - t) * p["lpf1_dyn_expo"] / 10
-            cutoff = p["lpf1_dyn_min_hz"] + (p["lpf1_dyn_max_hz"] - p["lpf1_dyn_min_hz"]) * curve
-        else:
-            cutoff = np.maximum(1.5 * t * (1 - t * t / 3) * p["lpf1_dyn_max_hz"], p["lpf1_dyn_min_hz"])
-    elif p["lpf1_static_hz"] > 0:
-        cutoff = p["lpf1_static_hz"]
-    else:
+    """First gyro low-pass: poles in series, or a second-order section."""
+    hz, order = lowpass_cutoff(p, throttle), {"PT1": 1, "PT2": 2, "PT3": 3}.get(p["lpf1_type"])
+    if np.ndim(hz) == 0 and hz == 0:
         return np.asarray(x, float)
-    return poles(x, cutoff, 1 / fs, order) if order else run_biquad(x, biquad(cutoff, 1 / fs, 1 / math.sqrt(2), "lowpass"))
+    return poles(x, hz, 1 / fs, order) if order else run_biquad(x, biquad(hz, 1 / fs, math.sqrt(0.5), "lowpass"))
 
 
 def notch_tracks(x, p: dict, fs: float, size: int = 256) -> np.ndarray:
-    """Centre frequencies of the dynamic notches, one row for each slot; unused slots stay at the upper limit."""
-    count, n, hop = max(0, min(int(p["notch_count"]), 7)), len(x), size // 4
-    tracks = np.full((count, n), float(p["notch_max_hz"]))
-    if not count or n < size:
-        return tracks
-    _, power = stft(x, fs, size, hop)
-    bin_hz = fs / size
-    lo, hi = max(1, math.floor(p["notch_min_hz"] / bin_hz + 0.5)), min(size // 2 - 1, math.floor(p["notch_max_hz"] / bin_hz + 0.5))
-    if hi <= lo:
-        return tracks
-    bins = np.arange(lo, hi + 1)
-    peak = (power[:, bins] > power[:, bins - 1]) & (power[:, bins] >= power[:, bins + 1])
-    height = np.where(peak, power[:, bins], -1)
+    """Centre frequencies of the dynamic notches, one row for each slot; unused slots stay at the upper limit.
+
+    Each column of a short-time spectrum lends its highest local maxima between the limits, in order of frequency, to the
+    samples nearest to its centre.
+    """
+    count, hop, rest = int(np.clip(p["notch_count"], 0, 7)), size // 4, float(p["notch_max_hz"])
+    limits = np.floor(np.array([p["notch_min_hz"], p["notch_max_hz"]]) * size / fs + 0.5).astype(int)
+    lo, hi = np.clip(limits, 1, size // 2 - 1)
+    if not count or len(x) < size or hi <= lo or limits[1] <= limits[0]:
+        return np.full((count, len(x)), rest)
+    power = stft(x, fs, size, hop)[1][:, lo - 1 : hi + 2]
+    here, before, after = power[:, 1:-1], power[:, :-2], power[:, 2:]
+    height = np.where((here > before) & (here >= after), here, -np.inf)
     best = np.argsort(-height, axis=1, kind="stable")[:, :count]
-    column = np.clip(np.floor((np.arange(n) - (size - 1) / 2) / hop + 0.5).astype(int), 0, len(power) - 1)
-    for c in range(len(power)):
-        found = np.sort(bins[best[c][height[c, best[c]] >= 0]] * bin_hz)
-        tracks[: len(found), column == c] = found[:, None]
-    return tracks
+    hz = np.where(np.isfinite(np.take_along_axis(height, best, 1)), (lo + best) * fs / size, np.inf)
+    hz = np.sort(hz, axis=1)
+    slots = np.full((len(power), count), rest)
+    slots[:, : hz.shape[1]] = np.where(np.isfinite(hz), hz, rest)
+    column = np.clip(np.floor((np.arange(len(x)) - (size - 1) / 2) / hop + 0.5).astype(int), 0, len(power) - 1)
+    return slots[column].T
 
 
 def filter_chain(x, p: dict, fs: float, erpm=(), throttle=None, stages=("rpm", "lpf1", "notch")) -> np.ndarray:
@@ -296,8 +318,7 @@ def filter_chain(x, p: dict, fs: float, erpm=(), throttle=None, stages=("rpm", "
     if "lpf1" in stages:
         y = gyro_lowpass(y, p, throttle, fs)
     if "notch" in stages:
-        for track in notch_tracks(y, p, fs):
-            y = run_biquad(y, biquad(track, 1 / fs, p["notch_q"], "notch"))
+        y = notch_cascade(y, notch_tracks(y, p, fs), p["notch_q"], fs)
     return y
 
 

@@ -27,10 +27,13 @@ def gate_events(rows: DataFrame, active: float = 0.95, floor: float = 0.10, leas
     found = found.join(gate_stats(rows, active).select(*AXIS, "i_range"), list(AXIS))
     g = F.abs(F.col("last.i") - F.col("first.i")) / F.col("i_range")
     wind = found.where((F.col("spa_min") <= floor) & (g >= growth)).select(*AXIS, F.lit("wind_up").alias("kind"), F.col("first.time_sec").alias("time_sec"), F.least(g, F.lit(1.0)).alias("severity"))
-    span = found.select(*AXIS, "end_idx", F.col("last.time_sec").alias("released"), "i_range")
-    f2, s = rows.alias("f"), span.alias("s")
-    met = f2.join(s, (F.col("f.log_id") == F.col("s.log_id")) & (F.col("f.axis") == F.col("s.axis")) & (F.col("f.frame_idx") >= F.col("s.end_idx")) & (F.col("f.time_sec") <= F.col("s.released") + after_sec))
-    top = met.groupBy(F.col("s.log_id").alias("log_id"), F.col("s.axis").alias("axis"), "released", "i_range").agg((F.max(F.abs("f.i")) / F.first("i_range")).alias("frac"))
+    span = found.select(*AXIS, F.col("end_idx").alias("from_idx"), F.col("last.time_sec").alias("released"), "i_range")
+    # time is cut into buckets of the length looked ahead; a release looks into its own and the next
+    bucket = lambda t: F.floor(t / after_sec).cast("long")
+    span = span.withColumn("__bucket", F.explode(F.array(bucket(F.col("released")), bucket(F.col("released")) + 1, bucket(F.col("released")) + 2)))
+    met = rows.select(*AXIS, "frame_idx", "time_sec", "i").withColumn("__bucket", bucket(F.col("time_sec"))).join(span, [*AXIS, "__bucket"])
+    met = met.where((F.col("frame_idx") >= F.col("from_idx")) & (F.col("time_sec") <= F.col("released") + after_sec))
+    top = met.groupBy(*AXIS, "released", "i_range").agg((F.max(F.abs("i")) / F.first("i_range")).alias("frac"))
     bounce = top.where(F.col("frac") >= peak).select(*AXIS, F.lit("bounce_back").alias("kind"), F.col("released").alias("time_sec"), F.least("frac", F.lit(1.0)).alias("severity"))
     return wind.unionByName(bounce)
 

@@ -63,17 +63,7 @@ def whole_log_airspeed(frames: DataFrame, fitted: DataFrame) -> DataFrame:
         return {"frame_idx": s["frame_idx"], "airspeed": v}
 
     signals = ["frame_idx", *SIGNALS[:4], "full_volts", "delay_ms", "gravity_pct"]
-    import pandas as pd
-
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def run(key, pdf):
-        pdf = pdf.sort_values("frame_idx")
-        out = pd.DataFrame(kernel({c: pdf[c].to_numpy() for c in signals}))
-        out.insert(0, "log_id", key[0])
-        return out
-
-    return rows.select("log_id", *signals).groupBy("log_id").applyInPandas(run, f"log_id {types['log_id']}, frame_idx long, airspeed double")
+    return per_series(rows, ("log_id",), signals, kernel, "frame_idx long, airspeed double")
 
 
 def tpa_inputs(frames: DataFrame, arg: str, factor: str, least: float = 0.05) -> DataFrame:
@@ -125,23 +115,15 @@ def simulate_chain(rows: DataFrame, params: DataFrame, fs: float, keys=("log_id"
 
     ``rows``: raw, ref, throttle and erpm_0..n; ``params``: as from headers.filter_params.
     """
-    import pandas as pd
-
     motors = sorted(c for c in rows.columns if c.startswith("erpm_"))
-    both = rows.join(F.broadcast(params), "log_id")
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
-    def run(key, pdf):
-        pdf = pdf.sort_values("frame_idx")
-        p = {c: pdf[c].iloc[0] for c in PARAMS}
-        sim = K.filter_chain(pdf["raw"].to_numpy(float), p, fs, [pdf[m].to_numpy(float) for m in motors], pdf["throttle"].to_numpy(float), stages)
-        out = pd.DataFrame({"frame_idx": pdf["frame_idx"].to_numpy(), "sim": sim, "ref": pdf["ref"].to_numpy(float)})
-        for i, (k, v) in enumerate(zip(keys, key)):
-            out.insert(i, k, v)
-        return out
+    def kernel(s):
+        p = {c: s[c][0] for c in PARAMS}
+        sim = K.filter_chain(s["raw"].astype(float), p, fs, [s[m].astype(float) for m in motors], s["throttle"].astype(float), stages)
+        return {"frame_idx": s["frame_idx"], "sim": sim, "ref": s["ref"].astype(float)}
 
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", frame_idx long, sim double, ref double"
-    return both.select(*keys, "frame_idx", "raw", "ref", "throttle", *motors, *PARAMS).groupBy(*keys).applyInPandas(run, schema)
+    both = rows.join(params, "log_id")
+    return per_series(both, keys, ["frame_idx", "raw", "ref", "throttle", *motors, *PARAMS], kernel, "frame_idx long, sim double, ref double")
 
 
 def low_pass(rows: DataFrame, value: str, cutoff: float, fs: float, order: int = 1, keys=("log_id",)) -> DataFrame:
@@ -150,15 +132,4 @@ def low_pass(rows: DataFrame, value: str, cutoff: float, fs: float, order: int =
     def kernel(s):
         return {"frame_idx": s["frame_idx"], "filtered": K.poles(np.nan_to_num(s[value].astype(float)), cutoff, 1 / fs, order)}
 
-    import pandas as pd
-
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def run(key, pdf):
-        pdf = pdf.sort_values("frame_idx")
-        out = pd.DataFrame(kernel({c: pdf[c].to_numpy() for c in ("frame_idx", value)}))
-        for i, (k, v) in enumerate(zip(keys, key)):
-            out.insert(i, k, v)
-        return out
-
-    return rows.select(*keys, "frame_idx", value).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", frame_idx long, filtered double")
+    return per_series(rows, keys, ["frame_idx", value], kernel, "frame_idx long, filtered double")

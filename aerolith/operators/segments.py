@@ -38,11 +38,17 @@ def in_bin_regions(frames: DataFrame, value: str, lo: float, hi: float, least: i
     return runs(frames.withColumn("__in", inside), "__in", keys).where("__in").where(F.col("end_idx") - F.col("start_idx") >= least).drop("__in")
 
 
+#: Frames of a bucket in which frames and windows meet.
+BUCKET = 512
+
+
 def frames_in(frames: DataFrame, windows: DataFrame, keys=KEYS) -> DataFrame:
-    """Frames inside each window (which may overlap): frame columns plus the window's."""
-    f, w = frames.alias("f"), windows.alias("w")
-    cond = [F.col(f"f.{k}") == F.col(f"w.{k}") for k in keys] + [F.col("f.frame_idx") >= F.col("w.start_idx"), F.col("f.frame_idx") < F.col("w.end_idx")]
-    out = f.join(w, cond)
-    for k in keys:
-        out = out.drop(F.col(f"w.{k}"))
-    return out
+    """Frames inside each window [start_idx, end_idx) (windows may overlap): frame columns plus the window's.
+
+    A window is dealt to the buckets of frames it reaches into, so that a frame meets the windows of its bucket, not all
+    of its log.
+    """
+    at = lambda c: F.floor(c / BUCKET).cast("long")
+    w = windows.where("end_idx > start_idx").withColumn("__bucket", F.explode(F.sequence(at(F.col("start_idx")), at(F.col("end_idx") - 1))))
+    met = frames.withColumn("__bucket", at(F.col("frame_idx"))).join(w, [*keys, "__bucket"])
+    return met.where((F.col("frame_idx") >= F.col("start_idx")) & (F.col("frame_idx") < F.col("end_idx"))).drop("__bucket")

@@ -120,24 +120,32 @@ def chain_tones(chain: DataFrame) -> DataFrame:
 def servo_asymmetry(frames: DataFrame, corrs: DataFrame, fs: float, window_ms: float = 30.0, least: float = 0.25, servos=(0, 1, 2, 3)) -> DataFrame:
     """log_id, axis, reference, servo, lag_ms, r, ratio, severity of each servo against its axis' strongest one.
 
-    The lag search is a self-join on the frame index; products are centred on 1500 and divided by n and both deviations.
+    Both series are centred on 1500 and turned by the sign of their correlation; a lag's product is divided by the frames
+    and both deviations. The least lag among the best (to nine places) counts.
     """
     lead = corrs.where(F.abs("dominant_r") >= least).select("log_id", "servo", F.col("dominant_axis").alias("axis"), "dominant_r")
     w = Window.partitionBy("log_id", "axis").orderBy(F.desc(F.round(F.abs("dominant_r"), 9)), "servo")  # mirrored servos tie
     lead = lead.withColumns({"reference": F.first("servo").over(w), "sign": F.when(F.col("dominant_r") >= 0, 1.0).otherwise(-1.0)})
+    lead = lead.withColumn("n_servos", F.count(F.lit(1)).over(Window.partitionBy("log_id", "axis"))).where("n_servos > 1")
     rows = pwm_long(frames, servos).join(lead, ["log_id", "servo"]).withColumn("x", F.col("sign") * (F.col("pwm") - CENTRE))
-    sd = rows.groupBy("log_id", "axis", "servo", "reference").agg(F.stddev_pop("x").alias("sd"), F.count(F.lit(1)).alias("n"))
-    ref = sd.where("servo = reference").select("log_id", "axis", F.col("sd").alias("ref_sd"))
-    pairs = sd.where("servo <> reference").join(ref, ["log_id", "axis"])
     most = int(round(window_ms / 1000 * fs))
-    a = rows.where("servo = reference").select("log_id", "axis", "frame_idx", F.col("x").alias("a"))
-    a = a.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("j", F.col("frame_idx") + F.col("lag"))
-    b = rows.where("servo <> reference").select("log_id", "axis", "servo", F.col("frame_idx").alias("j"), F.col("x").alias("b"))
-    prod = a.join(b, ["log_id", "axis", "j"]).groupBy("log_id", "axis", "servo", "lag").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    got = prod.join(pairs, ["log_id", "axis", "servo"]).withColumn("r", F.when((F.col("sd") > 0) & (F.col("ref_sd") > 0), F.col("dot") / (F.col("n") * F.col("sd") * F.col("ref_sd"))).otherwise(0.0))
-    best = F.max_by(F.struct("lag", "r"), F.struct(F.abs("r"), -F.col("lag"))).alias("m")
-    out = got.groupBy("log_id", "axis", "reference", "servo", "sd", "ref_sd").agg(best)
-    out = out.select("log_id", "axis", "reference", "servo", (F.col("m.lag") * 1000.0 / fs).alias("lag_ms"), F.col("m.r").alias("r"), F.when(F.col("ref_sd") > 0, F.col("sd") / F.col("ref_sd")).otherwise(0.0).alias("ratio"))
+
+    def kernel(s):
+        reference, out = int(s["reference"][0]), {c: [] for c in ("reference", "servo", "lag_ms", "r", "ratio")}
+        parts = {int(k): s["x"][s["servo"] == k].astype(float) for k in np.unique(s["servo"])}
+        a = parts.pop(reference)
+        spread = a.std()
+        for servo, b in parts.items():
+            n, sd = min(len(a), len(b)), b.std()
+            lags = np.arange(-min(most, n - 1), min(most, n - 1) + 1)
+            dots = np.array([a[max(0, -k) : n - max(0, k)] @ b[max(0, k) : n - max(0, -k)] for k in lags])
+            r = dots / (n * sd * spread) if sd > 0 and spread > 0 else np.zeros(len(lags))
+            k = int(np.round(np.abs(r), 9).argmax())
+            for c, v in zip(out, (reference, servo, lags[k] * 1000.0 / fs, r[k], sd / spread if spread > 0 else 0.0)):
+                out[c].append(v)
+        return out
+
+    out = per_series(rows, ("log_id", "axis"), ["servo", "reference", "x"], kernel, "reference int, servo int, lag_ms double, r double, ratio double")
     severity = F.when(F.col("r") < 0.5, "inconclusive").when((F.abs("lag_ms") <= 10) & F.col("ratio").between(0.7, 1.3), "ok").otherwise("warn")
     return out.withColumn("severity", severity)
 

@@ -14,25 +14,30 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import kernels as K
 from aerolith.functions.columns import finite, half_up, psd_to_db
-from aerolith.operators.segments import in_bin_regions
+from aerolith.operators.segments import frames_in, in_bin_regions
 from aerolith.operators.stats import percentile_nearest
 
 KEYS = ("log_id", "axis")
 
 
 def per_series(rows: DataFrame, keys, signals, kernel, schema: str) -> DataFrame:
-    """``kernel(dict of arrays in frame order) -> dict of columns`` for each group; keys are put in front."""
+    """``kernel(dict of arrays in frame order) -> dict of columns`` for each group; keys are put in front.
+
+    ``schema`` names the kernel's columns. ``frame_idx`` can be one of the signals.
+    """
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     full = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + schema
+    wanted = list(dict.fromkeys(["frame_idx", *signals]))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_idx")
         out = pd.DataFrame(kernel({s: pdf[s].to_numpy() for s in signals}))
         for i, (k, v) in enumerate(zip(keys, key)):
             out.insert(i, k, v)
         return out
 
-    return rows.select(*keys, "frame_idx", *signals).groupBy(*keys).applyInPandas(run, full)
+    run.__annotations__ = {"key": tuple, "pdf": pd.DataFrame, "return": pd.DataFrame}  # Spark reads types, not their names
+    return rows.select(*keys, *wanted).groupBy(*keys).applyInPandas(run, full)
 
 
 def welch_psd(rows: DataFrame, value: str, fs: float, size: int = 1024, overlap: float = 0.5, keys=KEYS) -> DataFrame:
@@ -97,16 +102,14 @@ def transfer_function(rows: DataFrame, x: str, y: str, fs: float, size: int = 20
 
 def bandwidth(tf: DataFrame, keys=KEYS, **how) -> DataFrame:
     """keys, hz (null if not crossed), plateau, coherence, trusted."""
-    types = {f.name: f.dataType.simpleString() for f in tf.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", hz double, plateau double, coherence double, trusted boolean"
+    rows = tf.withColumn("frame_idx", F.col("bin"))
 
-    def run(key, pdf):
-        pdf = pdf.sort_values("bin")
-        hz, level, coh, ok = K.bandwidth(pdf["freq"].to_numpy(), pdf["db"].to_numpy(), pdf["coherence"].to_numpy(), int(pdf["n_segments"].iloc[0]), **how)
+    def kernel(s):
+        hz, level, coh, ok = K.bandwidth(s["freq"], s["db"], s["coherence"], int(s["n_segments"][0]), **how)
         none = lambda v: None if math.isnan(v) else v
-        return pd.DataFrame([(*key, none(hz), none(level), coh, ok)], columns=[*keys, "hz", "plateau", "coherence", "trusted"])
+        return {"hz": [none(hz)], "plateau": [none(level)], "coherence": [coh], "trusted": [ok]}
 
-    return tf.groupBy(*keys).applyInPandas(run, schema)
+    return per_series(rows, keys, ["freq", "db", "coherence", "n_segments"], kernel, "hz double, plateau double, coherence double, trusted boolean")
 
 
 def step_response(rows: DataFrame, fs: float, size: int = 2048, keys=KEYS, **how) -> DataFrame:
@@ -131,9 +134,7 @@ def speed_step_response(rows: DataFrame, speed: DataFrame, fs: float, size: int
         scaled = f.select("log_id", "frame_idx", ((F.col("speed") - F.col("p_lo")) / width).alias("u"))
         part = in_bin_regions(scaled, "u", float(b), b + 1 + (1e-6 if b + 1 == bins else 0.0), size).withColumn("speed_bin", F.lit(b))
         regions = part if regions is None else regions.unionByName(part)
-    r = regions.alias("r")
-    inside = rows.alias("f").join(r, (F.col("f.log_id") == F.col("r.log_id")) & (F.col("f.frame_idx") >= F.col("r.start_idx")) & (F.col("f.frame_idx") < F.col("r.end_idx")))
-    inside = inside.select("f.log_id", "f.axis", F.col("r.speed_bin"), "f.frame_idx", "f.sp", "f.gyro")
+    inside = frames_in(rows.select(*keys, "frame_idx", "sp", "gyro"), regions)
 
     def kernel(s):
         at = s["frame_idx"]
@@ -142,19 +143,7 @@ def speed_step_response(rows: DataFrame, speed: DataFrame, fs: float, size: int
         res = K.step_response(s["sp"].astype(float), s["gyro"].astype(float), fs, size, regions=list(zip(edges, edges[1:])))
         return {"n_segments": [res[1]], "peak": [res[2]], "final": [res[5]]}
 
-    keys = (*keys, "speed_bin")
-    schema = "log_id long, axis int, speed_bin int, n_segments long, peak double, final double"
-    types = {f.name: f.dataType.simpleString() for f in inside.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", n_segments long, peak double, final double"
-
-    def run(key, pdf):
-        pdf = pdf.sort_values("frame_idx")
-        out = pd.DataFrame(kernel({c: pdf[c].to_numpy() for c in ("frame_idx", "sp", "gyro")}))
-        for i, (k, v) in enumerate(zip(keys, key)):
-            out.insert(i, k, v)
-        return out
-
-    return inside.groupBy(*keys).applyInPandas(run, schema)
+    return per_series(inside, (*keys, "speed_bin"), ["frame_idx", "sp", "gyro"], kernel, "n_segments long, peak double, final double")
 
 
 def cross_correlation(pairs: DataFrame, most: int, keys=("log_id",), a: str = "a", b: str = "b") -> DataFrame:
@@ -195,7 +184,7 @@ def low_frequency_modes(rows: DataFrame, value: str, fs: float, least_db: float
     """keys, freq, prominence_db, mode: slow airframe oscillations below 3 Hz from one long zero-padded spectrum."""
 
     def kernel(s):
-        axis = int(s["axis"][0])
+        axis = int(s["__axis"][0])
         x = np.nan_to_num(s[value].astype(float))
         factor = max(1, int(math.floor(fs / 20 + 0.5)))
         x = x[: len(x) // factor * factor].reshape(-1, factor).mean(1)
@@ -235,18 +224,7 @@ def low_frequency_modes(rows: DataFrame, value: str, fs: float, least_db: float
             out.append((rise, f, name))
         return {"freq": [o[1] for o in out[:8]], "prominence_db": [o[0] for o in out[:8]], "mode_id": [o[2] for o in out[:8]]}
 
-    rows = rows.withColumn("__axis", F.col("axis"))
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", freq double, prominence_db double, mode_id long"
-
-    def run(key, pdf):
-        pdf = pdf.sort_values("frame_idx")
-        out = pd.DataFrame(kernel({value: pdf[value].to_numpy(), "axis": pdf["__axis"].to_numpy()}))
-        for i, (k, v) in enumerate(zip(keys, key)):
-            out.insert(i, k, v)
-        return out
-
-    found = rows.select(*keys, "__axis", "frame_idx", value).groupBy(*keys).applyInPandas(run, schema)
+    found = per_series(rows.withColumn("__axis", F.col("axis")), keys, [value, "__axis"], kernel, "freq double, prominence_db double, mode_id long")
     mode = F.when(F.col("mode_id") < 0, "unclassified").otherwise(F.element_at(F.array(*(F.lit(m[0]) for m in MODES)), (F.col("mode_id") + 1).cast("int")))
     return found.select(*keys, "freq", "prominence_db", mode.alias("mode"))
 

@@ -85,14 +85,14 @@ def fractional_blocks(frames: DataFrame, value: str, ratio: float, keys=KEYS) ->
 def interpolate(src: DataFrame, dst: DataFrame, value: str, time: str = "time_sec", keys=KEYS) -> DataFrame:
     """Linear interpolation of ``src`` at the times of ``dst``, clamped to the end values; logs without source give 0.
 
-    The two series are merged in time order and each target takes the source samples before and after it, so one sort
-    serves all targets.
+    The two series are merged in time order and each target takes the source samples before and after it: running values
+    over the rows sorted forwards and backwards.
     """
     both = src.select(*keys, F.col(time).alias("t"), F.struct(F.col(time).alias("t"), F.col(value).alias("v")).alias("s"), F.lit(0).alias("target"), F.lit(None).cast("long").alias("frame_idx"))
     both = both.unionByName(dst.select(*keys, F.col(time).alias("t"), F.lit(None).cast(both.schema["s"].dataType).alias("s"), F.lit(1).alias("target"), F.col("frame_idx").cast("long")))
     w = Window.partitionBy(*keys)
     before = F.last("s", ignorenulls=True).over(w.orderBy("t", "target").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("s", ignorenulls=True).over(w.orderBy("t", F.desc("target")).rowsBetween(0, Window.unboundedFollowing))
+    after = F.last("s", ignorenulls=True).over(w.orderBy(F.desc("t"), "target").rowsBetween(Window.unboundedPreceding, 0))
     got = both.withColumns({"b": before, "a": after}).where("target = 1")
     b, a = F.col("b"), F.col("a")
     mix = b["v"] + (a["v"] - b["v"]) * (F.col("t") - b["t"]) / (a["t"] - b["t"])
@@ -106,7 +106,7 @@ def onto_reference(log: DataFrame, ref: DataFrame, value: str, time: str = "time
     ``offsets``: log_id, offset_sec. Times outside the log give null, as do logs without a positive time step.
     """
     span = log.groupBy("log_id").agg(F.min(time).alias("t0"), F.max(time).alias("t1"), F.count(F.lit(1)).alias("n"))
-    span = span.join(F.broadcast(offsets), "log_id", "left") if offsets is not None else span.withColumn("offset_sec", F.lit(0.0))
+    span = span.join(offsets, "log_id", "left") if offsets is not None else span.withColumn("offset_sec", F.lit(0.0))
     span = span.select("log_id", "t0", "n", F.coalesce("offset_sec", F.lit(0.0)).alias("offset_sec"), ((F.col("t1") - F.col("t0")) / (F.col("n") - 1)).alias("dt"))
     grid = ref.select("ref_idx", F.col(time).alias("ref_time"))
     idx = half_up((F.col("ref_time") - F.col("offset_sec") - F.col("t0")) / F.col("dt"))
@@ -116,9 +116,22 @@ def onto_reference(log: DataFrame, ref: DataFrame, value: str, time: str = "time
 
 
 def nearest_index(frames: DataFrame, at: DataFrame, time: str = "time_sec", keys=KEYS) -> DataFrame:
-    """frame_idx nearest to each (keys, at_sec); ties go to the lower index."""
-    gap = F.struct(F.abs(F.col(time) - F.col("at_sec")).alias("gap"), F.col("frame_idx"))
-    return frames.join(at, list(keys)).groupBy(*keys, "at_sec").agg(F.min(gap).alias("m")).select(*keys, "at_sec", F.col("m.frame_idx").alias("frame_idx"))
+    """frame_idx nearest to each (keys, at_sec); ties go to the lower index.
+
+    Frames and cursors are merged in time order, as in :func:`interpolate`; each cursor looks at one frame to each side.
+    """
+    cursors, none = at.select(*keys, "at_sec").distinct(), F.lit(None)
+    seen = frames.groupBy(*keys, F.col(time).alias("t")).agg(F.min("frame_idx").alias("i"))
+    both = seen.select(*keys, "t", F.struct("t", "i").alias("s"), F.lit(0).alias("target"))
+    both = both.unionByName(cursors.select(*keys, F.col("at_sec").alias("t"), none.cast(both.schema["s"].dataType).alias("s"), F.lit(1).alias("target")))
+    w = Window.partitionBy(*keys)
+    sides = {
+        "b": F.last("s", ignorenulls=True).over(w.orderBy("t", "target").rowsBetween(Window.unboundedPreceding, 0)),
+        "a": F.last("s", ignorenulls=True).over(w.orderBy(F.desc("t"), "target").rowsBetween(Window.unboundedPreceding, 0)),
+    }
+    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["t"] - F.col("t")).alias("gap"), F.col(c)["i"].alias("frame_idx")))
+    best = F.least(gap("b"), gap("a"))
+    return both.withColumns(sides).where("target = 1").withColumn("m", best).where("m is not null").select(*keys, F.col("t").alias("at_sec"), F.col("m.frame_idx").alias("frame_idx"))
 
 
 def magnitude(*axes: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from aerolith.flight import FlightSession
 from aerolith.operators import diagnostics as D
 from aerolith.operators import stats as S
 from aerolith.operators import timeaxis as T
@@ -82,9 +82,9 @@ def q_magnitude(spark, d):
 def q_align_times(spark, d):
     """Session times (time plus offset), and the longest log as the reference."""
     f = flight_frames(spark, d)
-    g = f.groupBy("log_id").agg(F.count(F.lit(1)).alias("n"), (F.min("time_sec") + F.col("log_id") * 0.5).alias("first"), (F.max("time_sec") + F.col("log_id") * 0.5).alias("last"))
-    best = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "log_id")) == 1
-    return rounded(g.withColumn("is_ref", best))
+    s = FlightSession(f, f.select("log_id").distinct().select("log_id", (F.col("log_id") * 0.5).alias("offset_sec")))
+    g = s.session_time().groupBy("log_id").agg(F.count(F.lit(1)).alias("n"), F.min("session_sec").alias("first"), F.max("session_sec").alias("last"))
+    return rounded(g.join(s.reference_log().withColumn("is_ref", F.lit(True)), "log_id", "left").withColumn("is_ref", F.coalesce("is_ref", F.lit(False))))
 
 
 def q_term_shares(spark, d):

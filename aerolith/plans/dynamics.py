@@ -14,16 +14,18 @@ from aerolith.operators import servo as V
 from aerolith.operators import stats as S
 from aerolith.operators.segments import frames_in
 from aerolith.plans.basics import r, rounded
+from aerolith.sources.logs import sample_checks
 from aerolith.sources.virtual_logs import FRAMES_SQL, axis_frames, flight_frames
+from aerolith.staging import staged
 
 #: Trigger levels that suit the virtual logs' steps.
 LEVELS = {"enter": 12000.0, "leave": 6000.0, "gap_ms": 20.0, "least_ms": 20.0, "pad_ms": 20.0}
 
 
 def parts(spark, d):
-    """Frames, axis rows and manoeuvres, the shared inputs of several analyses: computed once, kept for reuse."""
-    f = flight_frames(spark, d).persist()
-    return f, axis_frames(f), M.detect_maneuvers(f, **LEVELS).persist()
+    """Frames, axis rows and manoeuvres, the shared inputs of several analyses: computed once and written."""
+    f = staged(flight_frames(spark, d), "frames")
+    return f, axis_frames(f), staged(M.detect_maneuvers(f, **LEVELS), "maneuvers")
 
 
 def q_maneuvers(spark, d):
@@ -96,20 +98,22 @@ def q_axis_servo(spark, d):
 
 def q_probe(spark, d):
     """Activity of each signal on every 8th frame."""
-    f = flight_frames(spark, d).where((F.col("frame_idx") + 1) % 8 == 0)
-    names = ("v", "axisD_0", "servo_0", "wingSpa_1")
-    long = f.selectExpr("log_id", f"stack({len(names)}, " + ", ".join(f"'{n}', {n}" for n in names) + ") AS (field, x)")
-    return rounded(long.groupBy("log_id", "field").agg((F.max((F.col("x") != 0).cast("int")) == 0).alias("all_zero"), F.min("x").alias("value_min"), F.max("x").alias("value_max")))
+    got = sample_checks(flight_frames(spark, d), ["v", "axisD_0", "servo_0", "wingSpa_1"], 8)
+    return rounded(got.select("log_id", F.explode("checks").alias("field", "c")).select("log_id", "field", "c.*"))
 
 
-def q_recommend(spark, d):
+def recommended(spark, d):
     """Share, feed-forward, coupling and servo rules over all logs, with severity order."""
     f, a, w = parts(spark, d)
     style = f.select("log_id").distinct().select("log_id", F.element_at(F.array(F.lit("cruise"), F.lit("sport"), F.lit("3d"), F.lit("other")), (F.col("log_id") % 4 + 1).cast("int")).alias("profile"))
-    recs = R.gather(
+    return R.gather(
         R.share_rules(S.term_shares(a)), R.feedforward_rule(M.feedforward(M.feedforward_windows(a, w))), R.coupling_rule(M.axis_coupling(f, w), style, least=1),
         R.asymmetry_rule(V.servo_asymmetry(f, S.axis_correlations(f), 100.0)), R.gate_rule(D.gate_stats(a), D.gate_events(a)),
     )
+
+
+def q_recommend(spark, d):
+    recs = recommended(spark, d)
     return recs.select("log_id", "rec_id", "domain", F.coalesce("axis", F.lit("")).alias("axis"), "severity", "confidence", F.array_join("cli", "; ").alias("cli"))
 
 

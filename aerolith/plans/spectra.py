@@ -21,12 +21,6 @@ FS = 100.0
 L = 32
 
 
-def vectors(spark, d):
-    """Embeddings as 64-sample series: log_id (vec_id), axis 0, frame_idx, x."""
-    e = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 200")
-    return e.select(F.col("vec_id").alias("log_id"), F.lit(0).alias("axis"), F.posexplode(F.transform("embedding", lambda v: v.cast("double"))).alias("frame_idx", "x"))
-
-
 def q_welch(spark, d):
     return rounded(P.db(P.welch_psd(axis_frames(flight_frames(spark, d)), "gyro", FS, L)))
 
@@ -72,7 +66,7 @@ def align(spark, d):
     f = flight_frames(spark, d)
     g = f.select("log_id", "frame_idx", magnitude(*(F.col(f"gyroADC_{a}") for a in range(3))).alias("b"))
     ref = g.where("log_id = 0").select("frame_idx", F.col("b").alias("a"))
-    return f, P.align_logs(P.cross_correlation(g.join(F.broadcast(ref), "frame_idx"), 12), hz=FS, exclude_sec=0.02)
+    return f, P.align_logs(P.cross_correlation(g.join(ref, "frame_idx"), 12), hz=FS, exclude_sec=0.02)
 
 
 def q_align(spark, d):
@@ -157,7 +151,7 @@ def q_airspeed_euler(spark, d):
 
 
 def q_fit_airspeed(spark, d):
-    return rounded(T.fit_airspeed(airspeed_inputs(spark, d), 80), 4)
+    return rounded(T.fit_airspeed(airspeed_inputs(spark, d)), 4)
 
 
 def tpa_points(spark, d):
@@ -172,7 +166,7 @@ def q_tpa_coverage(spark, d):
 
 def q_fit_hyperbolic(spark, d):
     p = tpa_points(spark, d)
-    got = T.fit_hyperbolic(p, 300)
+    got = T.fit_hyperbolic(p)
     return rounded(got.join(T.trusted_fit(got, p, 30), "log_id").join(T.curve_cli(got).select("log_id", "stall_throttle"), "log_id"), 4)
 
 
@@ -219,7 +213,7 @@ ORACLE_SQL = {
         nn AS (SELECT log_id, sqrt(sum(a * a) * sum(b * b)) AS norm FROM x GROUP BY log_id), lg AS (SELECT unnest(generate_series(-8, 8)) AS lag)
         SELECT nn.log_id, lag, {r('coalesce(sum(x.a * y.b), 0) / min(norm)', 'r')} FROM nn CROSS JOIN lg JOIN x ON x.log_id = nn.log_id LEFT JOIN x y ON y.log_id = x.log_id AND y.frame_idx = x.frame_idx + lag GROUP BY 1, 2""",
     "pt1_filter": f"""WITH RECURSIVE {FRAMES_SQL}, k AS (SELECT 2 * pi() * 8.0 * 0.01 / (2 * pi() * 8.0 * 0.01 + 1) AS k), y(log_id, frame_idx, s) AS (
-        SELECT log_id, frame_idx, k * v FROM frames, k WHERE frame_idx = 0 UNION ALL SELECT f.log_id, f.frame_idx, y.s + k * (f.v - y.s) FROM y JOIN frames f ON f.log_id = y.log_id AND f.frame_idx = y.frame_idx + 1, k WHERE f.frame_idx < 60)
+        SELECT log_id, frame_idx, k * v FROM frames, k WHERE frame_idx = 0 UNION ALL SELECT f.log_id, f.frame_idx, y.s + k * (f.v - y.s) FROM y JOIN frames f ON f.log_id = y.log_id AND f.frame_idx = y.frame_idx + 1, k)
         SELECT log_id, frame_idx, {r('s', 'filtered')} FROM y""",
     "filter_gains": "WITH t AS (SELECT CAST(i AS DOUBLE) AS hz, 2 * pi() * i * CAST(0.01 AS DOUBLE) AS w FROM (SELECT unnest(generate_series(1, 45)) AS i)) SELECT hz, "
     + ", ".join(r(f"{c} * w / ({c} * w + 1)", f"pt{k}", 9) for k, c in ((1, 1.0), (2, 1.553773974), (3, 1.961459177))) + ", "
@@ -241,7 +235,7 @@ ORACLE_SQL = {
         SELECT x.log_id, frame_idx, {r('time_sec', 'time_sec')}, {r('greatest(least((rcCommand_3 - 1000) / 1000.0, 1), 0)', 'throttle')}, {r('vbatLatest', 'vbat')}, {r('radians(-attitude_1 / 10.0)', 'pitch')}, {r('CASE WHEN ta <= tb THEN b.v ELSE b.v + (a.v - b.v) * (x.time_sec - tb) / (ta - tb) END', 'gps_speed')},
           {r('floor(least(greatest(peak * 100, 420), 8400) + 0.5) / 100.0', 'full_volts')}, FALSE AS pitch_missing FROM x JOIN i ON i.log_id = x.log_id JOIN g a ON a.log_id = x.log_id AND a.t = ta JOIN g b ON b.log_id = x.log_id AND b.t = tb""",
     "airspeed_euler": f"""WITH RECURSIVE {AIR_SQL}, y(log_id, frame_idx, v) AS (SELECT log_id, frame_idx, CAST(0 AS DOUBLE) FROM ac WHERE frame_idx = 0
-        UNION ALL SELECT ac.log_id, ac.frame_idx, greatest(y.v + (push - drag * y.v * y.v) * dt, 0) FROM y JOIN ac ON ac.log_id = y.log_id AND ac.frame_idx = y.frame_idx + 1 WHERE ac.frame_idx < 60)
+        UNION ALL SELECT ac.log_id, ac.frame_idx, greatest(y.v + (push - drag * y.v * y.v) * dt, 0) FROM y JOIN ac ON ac.log_id = y.log_id AND ac.frame_idx = y.frame_idx + 1)
         SELECT log_id, frame_idx, {r("v", "airspeed")} FROM y""",
     "xcorr_align": f"""WITH {FRAMES_SQL}, z AS (SELECT log_id, frame_idx, sqrt(gyroADC_0 * gyroADC_0 + gyroADC_1 * gyroADC_1 + gyroADC_2 * gyroADC_2) AS g FROM frames), p AS (SELECT z.log_id, z.frame_idx, r0.g AS a0, z.g AS b0 FROM z JOIN (SELECT * FROM z WHERE log_id = 0) r0 USING (frame_idx)),
         x AS (SELECT log_id, frame_idx, a0 - avg(a0) OVER (PARTITION BY log_id) AS a, b0 - avg(b0) OVER (PARTITION BY log_id) AS b FROM p), nn AS (SELECT log_id, sqrt(sum(a * a) * sum(b * b)) AS norm FROM x GROUP BY log_id), lg AS (SELECT unnest(generate_series(-12, 12)) AS lag),

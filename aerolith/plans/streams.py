@@ -37,12 +37,12 @@ def q_windows(spark, d):
 QUERIES = {"stream_low_pass": q_low_pass, "stream_hold_last": q_hold_last, "stream_runs": q_runs, "stream_windows": q_windows}
 
 ORACLE_SQL = {
-    "stream_low_pass": SPECTRA_SQL["pt1_filter"] + " WHERE log_id < 40",
-    "stream_hold_last": f"WITH {FRAMES_SQL} SELECT log_id, frame_idx, {r('''last_value(CASE WHEN event_type = 'click' THEN v END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)''', 'held')} FROM frames WHERE log_id < 40 {WIN}",
-    "stream_runs": f"""WITH {FRAMES_SQL}, x AS (SELECT log_id, frame_idx, v > 60 AS on_, count(*) OVER (PARTITION BY log_id) AS n FROM frames WHERE log_id < 40), y AS (SELECT *, CASE WHEN on_ = lag(on_) OVER w THEN 0 ELSE 1 END AS ch FROM x {WIN}),
+    "stream_low_pass": SPECTRA_SQL["pt1_filter"],
+    "stream_hold_last": f"WITH {FRAMES_SQL} SELECT log_id, frame_idx, {r('''last_value(CASE WHEN event_type = 'click' THEN v END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)''', 'held')} FROM frames {WIN}",
+    "stream_runs": f"""WITH {FRAMES_SQL}, x AS (SELECT log_id, frame_idx, v > 60 AS on_, count(*) OVER (PARTITION BY log_id) AS n FROM frames), y AS (SELECT *, CASE WHEN on_ = lag(on_) OVER w THEN 0 ELSE 1 END AS ch FROM x {WIN}),
         z AS (SELECT *, sum(ch) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM y {WIN})
         SELECT log_id, min(frame_idx) AS start_idx, max(frame_idx) + 1 AS end_idx FROM z WHERE on_ GROUP BY log_id, g HAVING count(*) >= 2 AND max(frame_idx) + 1 < min(n)""",
-    "stream_windows": f"""WITH {FRAMES_SQL}, x AS (SELECT log_id, frame_idx, count(*) OVER (PARTITION BY log_id) AS n, coalesce(last_value(CASE WHEN v >= 120 THEN 1 WHEN v < 40 THEN 0 END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS open FROM frames WHERE log_id < 40 {WIN}),
+    "stream_windows": f"""WITH {FRAMES_SQL}, x AS (SELECT log_id, frame_idx, count(*) OVER (PARTITION BY log_id) AS n, coalesce(last_value(CASE WHEN v >= 120 THEN 1 WHEN v < 40 THEN 0 END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS open FROM frames {WIN}),
         y AS (SELECT *, CASE WHEN open = lag(open) OVER w THEN 0 ELSE 1 END AS ch FROM x {WIN}), z AS (SELECT *, sum(ch) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM y {WIN}),
         i AS (SELECT log_id, min(frame_idx) AS s, max(frame_idx) + 1 AS e, min(n) AS n FROM z WHERE open = 1 GROUP BY log_id, g), j AS (SELECT *, max(e) OVER (PARTITION BY log_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM i),
         k AS (SELECT *, sum(CASE WHEN s - m <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY log_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM j)

@@ -9,21 +9,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Event names of raw event codes (fixed values).
-EVENT_KINDS = {"disarm": "disarming", "flight_mode": "flight_mode_change", "end": "other"}
+#: What raw events become (fixed values): kind, and what comes before the code in their reason.
+EVENT_KINDS = {"disarm": ("disarming", "code:"), "end": ("disarming", "end:"), "flight_mode": ("flight_mode_change", None)}
+#: Scales of raw integers to SI (fixed values): hundredths of volt and ampere, degrees in tens of millions, m/s from cm/s,
+#: degrees from tenths.
+SCALES = {"cv": 1e-2, "mv": 1e-3, "ca": 1e-2, "coordinate": 1e-7, "cms": 1e-2, "decideg": 0.1, "decimetre": 0.1, "us": 1e-6}
+#: Units of fields by the beginning of their name (fixed values); other fields stay as they are.
+FIELD_UNITS = {
+    "vbatLatest": "cv", "amperageLatest": "ca", "gps:GPS_coord": "coordinate", "gps:GPS_altitude": "decimetre", "gps:GPS_speed": "cms", "gps:GPS_ground_course": "decideg",
+}
+G = 9.80665
 
 
 def read_frames(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
-    """Frames from Parquet (schemas of several logs are merged), CSV or JSON; CSV and JSON want a schema."""
+    """Frames from Parquet, CSV or JSON; CSV and JSON want a schema. Given a schema, no footer is read to find one; without,
+    the schemas of several Parquet logs are merged."""
     if kind == "parquet":
-        return spark.read.option("mergeSchema", "true").parquet(path)
+        return spark.read.schema(schema).parquet(path) if schema else spark.read.option("mergeSchema", "true").parquet(path)
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.csv(path, header=True) if kind == "csv" else reader.json(path)
 
 
-def write_frames(frames: DataFrame, path: str) -> None:
-    """Frames partitioned by log and sorted by frame, so that row groups can be skipped."""
-    frames.repartition("log_id").sortWithinPartitions("log_id", "frame_idx").write.mode("overwrite").partitionBy("log_id").parquet(path)
+def write_frames(frames: DataFrame, path: str, buckets: int = 64, mode: str = "append") -> None:
+    """Frames in ``buckets`` folders by a hash of the log, sorted by log and frame, so that files and row groups of other logs
+    are skipped; what is there already stays unless ``mode`` says otherwise."""
+    keyed = frames.withColumn("bucket", F.pmod(F.xxhash64("log_id"), F.lit(buckets)).cast("int"))
+    keyed.repartition("bucket", "log_id").sortWithinPartitions("bucket", "log_id", "frame_idx").write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str, log_id: int, buckets: int = 64) -> DataFrame:
+    """Frames of one log from :func:`write_frames`; only its bucket is listed and read."""
+    bucket = F.pmod(F.xxhash64(F.lit(log_id).cast("long")), F.lit(buckets)).cast("int")
+    return spark.read.parquet(path).where((F.col("bucket") == bucket) & (F.col("log_id") == log_id)).drop("bucket")
 
 
 def with_time(frames: DataFrame) -> DataFrame:
@@ -31,16 +48,49 @@ def with_time(frames: DataFrame) -> DataFrame:
     return frames.withColumn("time_sec", (F.col("time_us") - F.min("time_us").over(Window.partitionBy("log_id"))) / 1e6)
 
 
-def to_si(value: Column, unit: str) -> Column:
-    """Raw value in SI: millivolt and centiampere style integers, speeds in cm/s, angles in tenths of a degree."""
-    scale = {"mv": 1e-3, "cv": 1e-2, "ca": 1e-2, "cms": 1e-2, "decideg": 0.1, "us": 1e-6}.get(unit, 1.0)
-    return (value.cast("double") * scale).cast("float")
+def gps_time(gps: DataFrame, frames: DataFrame) -> DataFrame:
+    """Adds time_sec to position frames: seconds since the log's first main frame (its first position frame if it has no
+    other), never negative."""
+    first = frames.groupBy("log_id").agg(F.min("time_us").alias("__t0"))
+    t0 = F.coalesce("__t0", F.min("time_us").over(Window.partitionBy("log_id")))
+    return gps.join(first, "log_id", "left").withColumn("time_sec", F.greatest(F.col("time_us") - t0, F.lit(0)) / 1e6).drop("__t0")
+
+
+def to_si(value: Column, unit: str | None) -> Column:
+    """Raw value in SI as a 32-bit float; values without a known unit only change type."""
+    return (value.cast("double") * F.lit(SCALES.get(unit, 1.0))).cast("float")
+
+
+def in_si(frames: DataFrame, fields: list[str]) -> DataFrame:
+    """``frames`` with the named fields in SI, by the units of their names."""
+    unit = lambda f: next((u for k, u in FIELD_UNITS.items() if f.startswith(k)), None)
+    return frames.withColumns({f: to_si(F.col(f"`{f}`"), unit(f)) for f in fields})
+
+
+def rotation(raw: Column, scale: Column) -> Column:
+    """Degrees a second from a raw rate; ``scale``: the header's radians a microsecond for one step."""
+    return F.degrees(raw.cast("double") * scale * 1e6).cast("float")
+
+
+def acceleration(raw: Column, one_g: Column) -> Column:
+    """m/s^2 from a raw acceleration; ``one_g``: the header's steps for 1 g."""
+    return (raw.cast("double") / one_g * G).cast("float")
 
 
 def hydrate(frames: DataFrame, fields: list[str]) -> DataFrame:
-    """Keys and the named fields in the given order; a field that no log has is null."""
+    """Keys and the named main fields in the given order; a field that no log has is null. Position fields (``gps:``) are
+    read by :func:`hydrate_gps`, as they have times of their own."""
     have = set(frames.columns)
-    return frames.select("log_id", "frame_idx", "time_sec", *(F.col(f) if f in have else F.lit(None).cast("float").alias(f) for f in fields))
+    main = [f for f in fields if not f.startswith("gps:")]
+    return frames.select("log_id", "frame_idx", "time_sec", *(F.col(f"`{f}`") if f in have else F.lit(None).cast("float").alias(f) for f in main))
+
+
+def hydrate_gps(gps: DataFrame, frames: DataFrame, fields: list[str]) -> DataFrame:
+    """log_id, frame_idx, time_sec and the ``gps:`` fields of ``fields`` in SI, from position frames with raw fields."""
+    have, wanted = set(gps.columns), [f for f in fields if f.startswith("gps:")]
+    timed = gps_time(gps, frames)
+    named = timed.select("log_id", "frame_idx", "time_sec", *(F.col(f"`{f[4:]}`").alias(f) if f[4:] in have else F.lit(None).cast("float").alias(f) for f in wanted))
+    return in_si(named, wanted)
 
 
 def sample_checks(frames: DataFrame, fields: list[str], stride: int = 32) -> DataFrame:
@@ -66,14 +116,27 @@ def capabilities(frames: DataFrame, logs: DataFrame, fields: list[str], stride:
 
 
 def map_events(raw: DataFrame, frames: DataFrame) -> DataFrame:
-    """log_id, seq, kind, time_sec, detail of raw events (log_id, seq, after_frame, name, code, flags).
+    """log_id, seq, kind, time_sec, reason, flags, name of raw events (log_id, seq, after_frame, name, code, flags).
 
-    An event's time is that of the last frame before it, 0 before any.
+    An event's time is that of the last frame there is up to ``after_frame``, 0 before any. Disarming and the log's end are
+    both a disarming, with the reason ``code:`` or ``end:`` and the code (null without); only other events keep their name.
     """
-    t = frames.select("log_id", F.col("frame_idx").alias("after_frame"), "time_sec")
-    kind = F.coalesce(*(F.when(F.col("name") == k, F.lit(v)) for k, v in EVENT_KINDS.items()), F.lit("other"))
-    detail = F.when(F.col("name") == "disarm", F.concat(F.lit("code:"), F.col("code"))).when(F.col("name") == "end", F.concat(F.lit("end:"), F.col("code"))).when(F.col("name") == "flight_mode", F.col("flags").cast("string")).otherwise(F.col("name"))
-    return raw.join(t, ["log_id", "after_frame"], "left").select("log_id", "seq", kind.alias("kind"), F.coalesce("time_sec", F.lit(0.0)).alias("time_sec"), detail.alias("detail"))
+    none = F.lit(None)
+    marks = frames.select("log_id", F.col("frame_idx").alias("at"), F.col("time_sec").alias("t"), none.cast("long").alias("seq"))
+    both = marks.unionByName(raw.select("log_id", F.col("after_frame").alias("at"), none.cast("double").alias("t"), F.col("seq").cast("long")))
+    upto = Window.partitionBy("log_id").orderBy("at", F.col("seq").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    timed = both.withColumn("time_sec", F.coalesce(F.last("t", ignorenulls=True).over(upto), F.lit(0.0))).where("seq is not null").select("log_id", "seq", "time_sec")
+    pick = lambda i: F.coalesce(*(F.when(F.col("name") == k, F.lit(v[i]).cast("string")) for k, v in EVENT_KINDS.items()))
+    kind = F.coalesce(pick(0), F.lit("other"))
+    reason = F.concat(pick(1), F.col("code").cast("string"))
+    return raw.join(timed, ["log_id", "seq"]).select(
+        "log_id", "seq", kind.alias("kind"), "time_sec", reason.alias("reason"), F.when(kind == "flight_mode_change", F.col("flags").cast("long")).alias("flags"), F.when(kind == "other", F.col("name")).alias("name")
+    )
+
+
+def gps_checks(gps: DataFrame, fields: list[str]) -> DataFrame:
+    """log_id, checks of position fields over every frame: these are few."""
+    return sample_checks(gps, fields, 1)
 
 
 def check_manifest(manifest: DataFrame, caps: DataFrame) -> DataFrame:

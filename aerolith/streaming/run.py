@@ -2,29 +2,48 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
+
+from aerolith.staging import scratch
+
+#: Rows of one replayed file.
+FILE_ROWS = 1_000_000
+
+
+class Progress(StreamingQueryListener):
+    """Calls ``tell(rows so far, rows a second)`` after each micro-batch of the queries it listens to."""
+
+    def __init__(self, tell):
+        self.tell, self.rows = tell, 0
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.rows += event.progress.numInputRows
+        self.tell(self.rows, event.progress.processedRowsPerSecond)
+
+    def onQueryIdle(self, event):
+        pass
 
+    def onQueryTerminated(self, event):
+        pass
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder, or a temporary one where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="aerolith-stream-")
-    return f"{top.rstrip('/')}/replay-{uuid.uuid4().hex}"
 
+def replay(frames: DataFrame, transform, batches: int = 3, order: str = "frame_idx", key: str = "log_id") -> DataFrame:
+    """``transform`` of ``frames`` as a stream of micro-batches, split by frame so that each key's frames come in order; the
+    result is what the stream wrote.
 
-def replay(frames: DataFrame, transform, batches: int = 3, order: str = "frame_idx") -> DataFrame:
-    """``transform`` of ``frames`` as a stream of ``batches`` micro-batches, split by frame so that each key's frames come
-    in order; the result is what the stream wrote."""
+    A part of large tables is several files, each with all of its keys' frames; a micro-batch is one file.
+    """
     spark = frames.sparkSession
-    top = scratch(spark)
-    step = frames.agg((F.floor(F.max(order) / batches) + 1).alias("step"))
-    cut = frames.crossJoin(F.broadcast(step)).withColumn("__part", F.floor(F.col(order) / F.col("step"))).drop("step")
+    top = scratch(spark, "replay")
+    last, total = frames.agg(F.max(order), F.count(F.lit(1))).first()
+    step, files = (last or 0) // batches + 1, 1 + total // batches // FILE_ROWS
     for b in range(batches):
-        cut.where(F.col("__part") == b).drop("__part").coalesce(1).write.mode("append").parquet(f"{top}/in")
+        frames.where(F.floor(F.col(order) / step) == b).repartition(files, key).write.mode("append").parquet(f"{top}/in")
     source = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
     out = transform(source)
     query = out.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").outputMode("append").trigger(availableNow=True).start()

@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from aerolith.flight import FlightSession
+from aerolith.functions import kernels as K
 from aerolith.functions.columns import half_up
 from aerolith.operators import diagnostics as D
 from aerolith.operators import fit as T
@@ -13,7 +14,7 @@ from aerolith.operators import servo as V
 from aerolith.operators import spectral as P
 from aerolith.operators import stats as S
 from aerolith.operators import timeaxis as X
-from aerolith.operators.segments import in_bin_regions
+from aerolith.operators.segments import frames_in, in_bin_regions
 from aerolith.sources import logs as L
 from tests.frames import axis_log, log, ramp
 
@@ -215,3 +216,46 @@ def test_airspeed_inputs_need_samples(spark):
     got = T.airspeed_inputs(f, gps).first()
     assert got.pitch == 0 and got.pitch_missing and got.full_volts == 16.0 and got.throttle == 0.5
     assert T.airspeed_inputs(f.where("frame_idx < 5"), gps).count() == 0
+
+
+def test_long_logs_stay_linear(spark):
+    """A log of 200,000 frames: running values, buckets and sums, no pair of all frames."""
+    import time
+
+    n = 200_000
+    f = spark.range(n).select(F.lit(1).cast("long").alias("log_id"), F.col("id").alias("frame_idx"), (F.col("id") * 0.001).alias("time_sec"), F.sin(F.col("id") * 0.01).alias("v"))
+    began = time.time()
+    src = f.where("frame_idx % 10 = 0").select("log_id", "time_sec", "v")
+    off = X.interpolate(src, f, "v").join(f.select("frame_idx", F.col("v").alias("w")), "frame_idx").where("frame_idx < 199990").agg(F.max(F.abs(F.col("v") - F.col("w")))).first()[0]
+    assert off < 0.01
+    cursors = spark.range(2000).select(F.lit(1).cast("long").alias("log_id"), (F.col("id") * 0.0999 + 0.0002).alias("at_sec"))
+    assert X.nearest_index(f, cursors).where("abs(frame_idx * 0.001 - at_sec) > 0.00051").count() == 0
+    windows = spark.range(2000).select(F.lit(1).cast("long").alias("log_id"), (F.col("id") * 100).alias("start_idx"), (F.col("id") * 100 + 150).alias("end_idx"))
+    plan = frames_in(f, windows)
+    assert plan.count() == 2000 * 150 - 50
+    pairs = f.select("log_id", "frame_idx", F.col("v").alias("a"), F.lag("v", 3).over(X.ordered()).alias("b")).fillna(0.0)
+    best = P.cross_correlation(pairs, 50).orderBy(F.desc("r")).first()
+    assert best.lag == 3
+    assert time.time() - began < 120
+
+
+def test_filter_chain_parts_against_plain_loops():
+    rng = np.random.default_rng(3)
+    p = {"rpm_harmonics": 2, "rpm_weights": [1.0, 0.5], "motor_poles": 14, "rpm_lpf_hz": 150, "rpm_min_hz": 100, "rpm_fade_hz": 50, "rpm_q": 5, "notch_count": 2, "notch_min_hz": 80, "notch_max_hz": 300, "notch_q": 3,
+         "lpf1_type": "PT2", "lpf1_static_hz": 120, "lpf1_dyn_min_hz": 75, "lpf1_dyn_max_hz": 200, "lpf1_dyn_expo": 5}
+    erpm = [500 + 100 * rng.random(400), 700 + 50 * rng.random(400)]
+    centre, weight = K.harmonics(np.stack(erpm), p, 1000.0)
+    for m, e in enumerate(erpm):
+        hz = K.poles(e * 100 / 60 / 7, 150, 0.001)
+        for h in (1, 2):
+            f = np.clip(h * hz, 100, 480)
+            assert np.allclose(centre[2 * m + h - 1], f) and np.allclose(weight[2 * m + h - 1], np.clip((f - 100) / 50, 0, 1) * (1.0, 0.5)[h - 1])
+    assert K.rpm_notches(np.ones(400), [None, erpm[0][:100]], p, 1000.0).tolist() == [1.0] * 400
+    assert K.lowpass_cutoff(p, None) == 120 and K.lowpass_cutoff(p | {"lpf1_dyn_min_hz": 0}, 0.3) == 120
+    assert np.allclose(K.lowpass_cutoff(p, [0.0, 0.5, 1.0]), [75, 75 + 125 * (0.5 + 0.125), 200])
+    assert np.allclose(K.lowpass_cutoff(p | {"lpf1_dyn_expo": 0}, [0.0, 1.0]), [75, 200])
+    t = np.arange(2000) / 1000.0
+    x = np.sin(2 * np.pi * 150 * t) + 0.5 * np.sin(2 * np.pi * 250 * t)
+    tracks = K.notch_tracks(x, p, 1000.0)
+    assert tracks.shape == (2, 2000) and np.abs(tracks[0] - 150).max() < 4 and np.abs(tracks[1] - 250).max() < 4
+    assert (K.notch_tracks(x[:100], p, 1000.0) == 300).all() and K.notch_tracks(x, p | {"notch_count": 0}, 1000.0).shape == (0, 2000)
