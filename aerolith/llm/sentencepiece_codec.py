@@ -127,7 +127,7 @@ class Viterbi:
 class Codec:
     """Encoder and decoder for one vocabulary, with bounded memos."""
 
-    def __init__(self, model: dict, memo: int = 250_000):
+    def __init__(self, model: dict, memo: int = 100_000):
         skip = {*model["bytes"], *model["other"]}
         self.ids = {p: i for i, p in enumerate(model["pieces"]) if i not in skip}
         scores = model["scores"]
@@ -137,7 +137,7 @@ class Codec:
             i = ids.get(a + b)
             return None if i is None else -scores[i]
 
-        self.table = PrefixTable(ids, rank)
+        self.table = PrefixTable(ids, rank, limit=150_000)
         self.byte_ids = dict(zip(range(256), sorted(model["bytes"])))
         self.text = [p.replace(MARK, " ").encode() for p in model["pieces"]]
         for i in model["other"]:

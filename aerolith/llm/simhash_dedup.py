@@ -154,6 +154,7 @@ class BKTree:
         by = place[which.ravel()]
         self.members = np.argsort(by, kind="stable")  # places in ``values`` of each node's copies
         self.first_member = np.searchsorted(by[self.members], np.arange(len(order) + 1))
+        self.node = by
         n = len(self.values)
         at, waiting, keys, children = np.zeros(n, np.int64), np.arange(1, n), [], []
         while len(waiting):  # all values go down one level; the first to take an edge becomes its child
@@ -167,11 +168,17 @@ class BKTree:
         order = np.argsort(keys)
         self.keys, self.children = keys[order], children[order]
 
-    def search(self, queries: np.ndarray, radius: int):
-        """(query, place in the tree's values, distance) of all values within ``radius``."""
+    def search(self, queries: np.ndarray, radius: int, last: np.ndarray | None = None):
+        """(query, place in the tree's values, distance) of all values within ``radius``.
+
+        ``last``: the node up to which a query looks; nodes below one that came later came later still.
+        """
         q = np.arange(len(queries)) if len(self.values) else np.empty(0, np.int64)
         node, out = np.zeros(len(q), np.int64), []
         while len(q):
+            if last is not None:
+                early = node <= last[q]
+                q, node = q[early], node[early]
             d = distances(self.values[node], queries[q])
             near = np.flatnonzero(d <= radius)
             out.append((q[near], node[near], d[near]))
@@ -194,7 +201,7 @@ def searches(values: np.ndarray, radius: int, own: int):
     tree, alone = BKTree(values[:own]), own == len(values)
     step = max(1, 1_000_000 // max(own, 1))
     for lo in range(0 if alone else own, len(values), step):
-        q, at, d = tree.search(values[lo : lo + step], radius)
+        q, at, d = tree.search(values[lo : lo + step], radius, tree.node[lo : lo + step] if alone else None)
         q = q + lo
         yield (q[q > at], at[q > at], d[q > at]) if alone else (q, at, d)
 
@@ -383,7 +390,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     nodes = materialise(rows.groupBy("key").agg(F.min("fp").alias("fp"), best, F.count(F.lit(1)).alias("n")), "nodes")
     masks, radius = sampled_masks(bits, similarity, nodes.count(), recall)
 
-    first = materialise(shard_search(nodes.withColumn("label", F.col("key")), masks, bits, shard_candidates, radius), "candidates")
+    first = materialise(shard_search(nodes.withColumn("label", F.lit(b"")), masks, bits, shard_candidates, radius), "candidates")
     some = materialise(first.select(F.col("a").alias("key")).union(first.select("b")).distinct(), "candidate-keys")
     sets = rows.select("key", "shingles").join(small_side(some, 32), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
     sets = materialise(sets, "candidate-sets")

@@ -47,14 +47,14 @@ def byte_alphabet() -> list[str]:
 class WordCounter:
     """Counts for one vocabulary file, with memos of bounded size."""
 
-    def __init__(self, spec: str, memo: int = 250_000):
+    def __init__(self, spec: str, memo: int = 100_000):
         spec = json.loads(spec)
         model, mark = spec["model"], spec["model"]["end_of_word_suffix"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         ranks = {pair: i for i, pair in enumerate(merges)}
         final = {t[: -len(mark)] for t in model["vocab"] if t.endswith(mark)}
         inner = {t for t in model["vocab"] if not t.endswith(mark)}
-        self.table = PrefixTable(inner, lambda a, b: ranks.get((a, b)), final, mark)
+        self.table = PrefixTable(inner, lambda a, b: ranks.get((a, b)), final, mark, limit=150_000)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
