@@ -10,6 +10,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,9 +73,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     atexit.register(_remove, spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table._aerolith_path = path
+    for held in _HELD:
+        held.append(table)
     return table
 
 
+_HELD: list[list[DataFrame]] = []
+
+
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that are materialised inside when it ends, but for those handed to what it gives."""
+    held: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _HELD.append(held)
+    try:
+        yield lambda table: (kept.append(table), table)[1]
+    finally:
+        _HELD.pop()
+        release(*(t for t in held if all(t is not k for k in kept)))
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables made by :func:`materialise` that nothing reads any more."""
     for t in tables:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import join_by_size, materialise, text_or_empty, without
+from aerolith.llm.common import join_by_size, materialise, passing, text_or_empty, without
 
 
 def chunks_of(text: Column, min_chars: int, max_chars: int) -> Column:
@@ -74,8 +74,9 @@ def exact_groups(docs: DataFrame, min_chars: int = 768, max_chars: int = 8192) -
 
     ``new_bytes`` is what a chunk store gains from the row: the bytes of chunks that no row before it holds.
     """
-    rows = identified(materialise(recipes(docs, min_chars, max_chars), "recipes"))
-    rows = materialise(rows.withColumn("ids", F.coalesce("ids", F.array().cast("array<struct<first_row:bigint,first_pos:int>>"))), "identified")
+    with passing() as keep:
+        rows = identified(materialise(recipes(docs, min_chars, max_chars), "recipes"))
+        rows = keep(materialise(rows.withColumn("ids", F.coalesce("ids", F.array().cast("array<struct<first_row:bigint,first_pos:int>>"))), "identified"))
     groups = materialise(groups_of(rows), "groups")
     return join_by_size(rows, groups, "ids", "group_size", F.size("ids") * 16 + 64).select(
         "doc_id", "keep_id", "group_size", (F.col("row_uid") == F.col("keep_uid")).alias("kept"), "text_sha256",
@@ -107,8 +108,9 @@ def groups_of(rows: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, min_chars: int = 768, max_chars: int = 8192) -> DataFrame:
     """``docs`` without exact copies: of equal texts one row stays, the one with the largest doc_id; all columns kept."""
-    groups = exact_groups(docs, min_chars, max_chars).select(F.col("doc_id").alias("__id"), "keep_id", F.col("text_sha256").alias("__digest"))
     stays = F.col("__id").eqNullSafe(F.col("keep_id"))
-    rows = materialise(groups.groupBy("__id", "keep_id", "__digest").agg(F.count(F.lit(1)).alias("n")), "copies")
+    with passing() as keep:
+        groups = exact_groups(docs, min_chars, max_chars).select(F.col("doc_id").alias("__id"), "keep_id", F.col("text_sha256").alias("__digest"))
+        rows = keep(materialise(groups.groupBy("__id", "keep_id", "__digest").agg(F.count(F.lit(1)).alias("n")), "copies"))
     names = ("__id", "__digest")
     return without(docs, rows.where(~stays).select(*names), rows.where(stays & (F.col("n") > 1)).select(*names), F.sha2(text_or_empty(), 256))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import join_by_size, map_batches, map_rows, materialise, small_side, text_or_empty, without
+from aerolith.llm.common import join_by_size, map_batches, map_rows, materialise, passing, small_side, text_or_empty, without
 from aerolith.llm.components import connected_components
 
 SEED = 42
@@ -199,7 +199,7 @@ def searches(values: np.ndarray, radius: int, own: int):
     others are searched for.
     """
     tree, alone = BKTree(values[:own]), own == len(values)
-    step = max(1, 1_000_000 // max(own, 1))
+    step = max(1, 250_000 // max(own, 1))
     for lo in range(0 if alone else own, len(values), step):
         q, at, d = tree.search(values[lo : lo + step], radius, tree.node[lo : lo + step] if alone else None)
         q = q + lo
@@ -317,14 +317,15 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3, bits: int =
     empty table gives no rows; columns other than doc_id and text are ignored.
     """
     rows = materialise(fingerprints(docs, words, bits), "fingerprints")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    masks = pigeonhole_masks(bits, radius, distinct.count())
-    nodes = distinct.select("fp", F.col("fp").alias("key"), F.lit(b"").alias("label"))
-    linked = connected_components(shard_search(nodes, masks, bits, shard_links, radius))
-    nodes = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
-    nodes = materialise(nodes, "nodes")
-    names = materialise(nodes.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")), "names")
-    named = materialise(join_by_size(nodes, names, "component", "size").select("fp", "component_id", "n"), "named")
+    with passing() as keep:
+        distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+        masks = pigeonhole_masks(bits, radius, distinct.count())
+        nodes = distinct.select("fp", F.col("fp").alias("key"), F.lit(b"").alias("label"))
+        linked = connected_components(shard_search(nodes, masks, bits, shard_links, radius))
+        nodes = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
+        nodes = materialise(nodes, "nodes")
+        names = materialise(nodes.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")), "names")
+        named = keep(materialise(join_by_size(nodes, names, "component", "size").select("fp", "component_id", "n"), "named"))
     return join_by_size(rows, named, "fp", "n").select("doc_id", "fp", "component_id")
 
 
@@ -421,7 +422,8 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, b
     """
     names = (F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
     stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest"))
-    groups = near_groups(docs, words, similarity, bits).select(*names, stays.alias("stays"))
-    rows = materialise(groups.groupBy("__id", "__digest").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "judged")
+    with passing() as keep:
+        groups = near_groups(docs, words, similarity, bits).select(*names, stays.alias("stays"))
+        rows = keep(materialise(groups.groupBy("__id", "__digest").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "judged"))
     lost, again = rows.where("not stays"), rows.where("stays and n > 1")
     return without(docs, lost.select("__id", "__digest"), again.select("__id", "__digest"), F.unhex(F.md5(text_or_empty())))

@@ -1,13 +1,16 @@
 import collections
 import math
+import os
+import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from aerolith.llm.hilbert_ann import hilbert_keys, nearest
-from aerolith.llm.license_scan import license_scan
+from aerolith.llm.license_scan import KNOWN, license_scan
 from aerolith.llm.mixing import fit_exponent, mix, mixture, source_totals
-from aerolith.llm.toxicity import LexiconAutomaton, Scorer, drop_toxic, fit_logistic, held_out_rows, stems_of, toxicity
+from aerolith.llm.toxicity import PRIOR, LexiconAutomaton, Scorer, drop_toxic, fit_logistic, held_out_rows, score_texts, stems_of, toxicity
 from tests.llm.helpers import awkward, docs, empty
 
 
@@ -17,6 +20,19 @@ def test_license_scan(spark):
     got = {r.doc_id: r for r in license_scan(docs(spark, rows, repeat=[rows[0]])).collect()}
     assert got[1].license_id == "Apache-2.0" and got[2].license_id is None and got[2].license_ids == "MIT" and got[2].n_license_units == 1
     assert got[6].license_id == "MIT" and got[5].license_id is None and got[3].license_id is None and got[3].digest == got[4].digest
+    known = dict((i, t) for i, t in KNOWN[::-1])
+    wrapped = known["MIT"].replace(" Software", "\nSoftware").replace("\n\n", "\n \n\n")
+    rows = [(1, f"Tool\n\nMIT License\n\nCopyright (c) 2024 A B\n\n{wrapped}\n\nx = 1"), (2, "# " + known["BSD-3-Clause"].replace("\n\n2.", "\n2.").replace("\n\n3.", "\n3.") + "\n\n\nend"), (3, known["Zlib"].replace("acknowledgment", "acknowledgement")),
+            (4, known["Unlicense"].rsplit("\n\n", 1)[0]), (5, "before\n\n" + known["BSL-1.0"]), (6, "\n\n".join([known["0BSD"], known["ISC"]])), (7, known["BSD-2-Clause"] + "\n\nand more")]
+    got = {r.doc_id: r for r in license_scan(docs(spark, rows)).collect()}
+    assert got[1].license_ids == "MIT" and got[1].n_license_units == 2 and got[1].license_id is None  # with and without its title
+    assert got[2].license_ids == "BSD-3-Clause" and got[3].license_id == "Zlib" and got[4].license_ids == "" and got[5].license_ids == "BSL-1.0"
+    assert got[6].license_ids == "0BSD,ISC" and got[7].license_ids == "BSD-2-Clause"
+    long = "/usr/share/common-licenses/Apache-2.0"
+    if os.path.exists(long):
+        text = open(long, encoding="utf-8").read()
+        found = license_scan(docs(spark, [(1, text), (2, f"Notice\n\n{text}\n\nend"), (3, text[:-200])])).collect()
+        assert {r.doc_id: (r.license_id, r.license_ids) for r in found} == {1: ("Apache-2.0", "Apache-2.0"), 2: (None, "Apache-2.0"), 3: (None, "")}
     own = spark.createDataFrame([("X", "Foo, BAR"), (None, "a"), ("Y", "!!"), ("W", "foo bar")], "license_id string, text string")
     assert license_scan(docs(spark, [(1, "foo bar!")]), own).first().license_id == "W"
     assert license_scan(empty(spark)).count() == 0 and license_scan(awkward(spark)).count() == 10
@@ -96,6 +112,9 @@ def docs_rows(spark):
 
 def test_mix_keeps_all_rows_and_columns(spark):
     d = docs(spark, mix_rows() + [(None, "null id", "small")])
+    twins = docs(spark, [(1, "one two", "small"), (1, "three", "big"), (1, "three", "big"), (2, "x " * 40, "big")])
+    assert sorted(r.text for r in mix(twins, max_epochs=1000.0).select("text").distinct().collect()) == ["one two", "three", "x " * 40]
+    assert sum(r.copies * r.n_tokens for r in mixture(twins, max_epochs=1000.0).collect()) == sum(len(r.text.split()) for r in mix(twins, max_epochs=1000.0).collect())
     m = mix(d, max_epochs=2.0)
     assert m.columns == d.columns and m.select("doc_id").distinct().count() == d.select("doc_id").distinct().count() and m.count() > d.count()
 
@@ -119,6 +138,61 @@ def test_automaton_equals_edit_distance():
         assert (got is None) == (near is None) and (got is None or got[0] == near[0]), w
 
 
+def plain_score(text, model):
+    """The score by definition: edit distances of each word to every term, one by one."""
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    tokens, counts, best = text.split(), {"plain": 0, "misspelt": 0, "stem": 0, "quoted": 0}, 0.0
+    for i, token in enumerate(tokens):
+        word = re.sub(r"^\W+|\W+$", "", token.lower())
+        word = re.sub(r"(.)\1{2,}", r"\1", word) if len(word) > 3 else word
+        if not word:
+            continue
+        kind = "plain" if word in model["terms"] else None
+        if kind is None and word not in model["clean"]:
+            near = [t for t in model["terms"] if t not in model["exact_only"] and edits(word, t) <= (0 if len(t) < 5 else 1 if len(t) < 9 else 2)]
+            kind = "misspelt" if near else None
+        if kind is None:
+            counts["stem"] += any(word.startswith(s) for s in model["stems"])
+        elif Scorer.quoted(tokens, i):
+            counts["quoted"] += 1
+        else:
+            counts[kind] += 1
+            best = max(best, model["terms"][word]) if kind == "plain" else best
+    x = [1, counts["plain"] > 0, *(math.log2(1 + counts[k]) for k in ("plain", "misspelt", "stem", "quoted")), best / 8, max(0, best - 5.5) / 2]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(model["weights"], x))))
+
+
+def test_scores_equal_brute_force(spark):
+    rng = random.Random(12)
+    terms = {"idiot": 7.0, "worthless": 6.0, "scum": 5.0, "moron": 4.5, "blockhead": 6.5, "loweiheit": 3.0}
+    model = {"terms": terms, "stems": ["lowei"], "exact_only": ["moron"], "clean": ["idiom"], "weights": PRIOR.tolist()}
+    words = [*terms, "idi0t", "idiom", "moran", "wortless", "bl0ckhed", "scam", "loweiung", "flower", "said", '"quoted', 'end"', "IDIOT!!", "moooron", "…", "a" * 60]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for i in range(300)] + [(400, None), (401, "idiot " * 500)]
+    got = {r.doc_id: r.score for r in score_texts(docs(spark, rows), model).collect()}
+    assert all(abs(got[i] - plain_score(t or "", model)) < 1e-9 for i, t in rows)
+    assert Scorer(model).features("idiot " * 500) > Scorer(model).features("idiot " * 5)
+
+
+def test_toxic_rows_go_row_by_row(spark):
+    rows, labels = [], []
+    for i in range(600):
+        filler = " ".join(f"w{(i * 7 + j * 13) % 50}" for j in range(12))
+        rows.append((i, f"{filler} {'blockhead' if i % 3 == 0 else 'flower'} {filler[::-1]}"))
+        labels.append((i, 1, int(i % 3 == 0)))
+    rows += [(3, "a clean text about gardens"), (None, "you blockhead"), (None, "a clean text of no number"), (1, "a blockhead of its own"), (None, None)]
+    kept = drop_toxic(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {(r.doc_id, r.text) for r in kept.collect()}
+    assert got == {r for r in rows if "blockhead" not in (r[1] or "")} and kept.columns == docs(spark, rows[:1]).columns
+
+
 def test_quotation_counts_less():
     s = Scorer({"terms": {"idiot": 7.0}})
     assert s.score("you are an idiot and that is all") > 0.7 > s.score('the article said "idiot" is an old word of the language')
