@@ -136,7 +136,7 @@ def q_hint(spark, d):
 
 # --- literal tables: headers and capabilities -------------------------------------------------------------------
 
-#: Synthetic headers: log, parameter, value.
+#: Header templates: number, parameter, value. Supplier s has template s % 3 + 1, with frequencies higher by s % 50.
 HEADERS = [
     (1, "gyro_lpf1_type", "0"), (1, "gyro_lpf1_static_hz", "100"), (1, "dyn_notch_count", "3"), (1, "dyn_notch_min_hz", "80"), (1, "dyn_notch_max_hz", "300"), (1, "dyn_notch_q", "300"),
     (1, "smix0", "3,0,100,0,0,100,0"), (1, "smix1", "2,0,-100,0,0,100,0"), (1, "smix2", "4,1,100,0,0,100,0"), (1, "servoParam0", "100,1000,2000,1500,0"), (1, "servoParam1", "-50, 1100,1900,1500,2"),
@@ -145,16 +145,29 @@ HEADERS = [
     (2, "smix3", "3,1,60,0,0,100,0"), (2, "smix4", "5,x,1,0,0,0,0"), (3, "gyro_lpf1_type", "3"), (3, "gyro_lpf1_static_hz", "0"), (3, "dyn_notch_count", "0"), (3, "craft_name", "Delta"),
     (3, "smix0", "1,1,80,0,0,100,0"), (3, "smix1", "1,2,80,0,0,100,0"), (3, "smix2", "2,1,80,0,0,100,0"), (3, "smix3", "2,2,-80,0,0,100,0"), (3, "smix4", "6,4,100,0,0,100,0"),
 ]
-HEADERS_SQL = "h(log_id, k, v) AS (VALUES " + ", ".join(f"({a}, '{b}', '{c}')" for a, b, c in HEADERS) + ")"
+HEADERS_SQL = (
+    "h0(t, k, v) AS (VALUES " + ", ".join(f"({a}, '{b}', '{c}')" for a, b, c in HEADERS) + "), h AS (SELECT CAST(s_suppkey AS BIGINT) AS log_id, k, CASE WHEN suffix(k, '_hz') AND regexp_full_match(v, '[1-9][0-9]*') "
+    "THEN CAST(CAST(v AS BIGINT) + s_suppkey % 50 AS VARCHAR) ELSE v END AS v FROM supplier JOIN h0 ON t = s_suppkey % 3 + 1)"
+)
 
 
-def logs(spark):
+def header_templates(spark):
     rows = spark.createDataFrame(HEADERS, "log_id long, k string, v string")
     return rows.groupBy("log_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("header_params"))
 
 
+def logs(spark, d):
+    """log_id and header_params of a log for each supplier."""
+    templates = spark.createDataFrame(HEADERS, "t long, k string, v string")
+    ids = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("log_id")).withColumn("t", F.col("log_id") % 3 + 1)
+    higher = F.col("k").endswith("_hz") & F.col("v").rlike("^[1-9][0-9]*$")
+    value = F.when(higher, (F.col("v").try_cast("long") + F.col("log_id") % 50).cast("string")).otherwise(F.col("v"))
+    rows = ids.join(F.broadcast(templates), "t").select("log_id", "k", value.alias("v"))
+    return rows.groupBy("log_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("header_params"))
+
+
 def q_filter_config(spark, d):
-    c = H.filter_config(logs(spark))
+    c = H.filter_config(logs(spark, d))
     out = [c.select("log_id", F.lit(p).alias("filter"), F.col(p)["filter_type"].alias("kind"), F.coalesce(F.col(p)["static_hz"], F.lit(-1)).alias("a"), F.coalesce(F.col(p)["dyn_min_hz"], F.lit(-1)).alias("b"), F.coalesce(F.col(p)["dyn_max_hz"], F.lit(-1)).alias("c")).where("kind is not null")
            for p in ("gyro_lpf1", "gyro_lpf2", "dterm_lpf1", "dterm_lpf2")]
     out.append(c.where("dyn_notch is not null").select("log_id", F.lit("dyn_notch").alias("filter"), F.lit("NOTCH").alias("kind"), F.col("dyn_notch.count").alias("a"), F.col("dyn_notch.min_hz").alias("b"), F.col("dyn_notch.max_hz").alias("c")))
@@ -166,26 +179,26 @@ def q_filter_config(spark, d):
 
 
 def q_delay(spark, d):
-    return rounded(H.delay_budget(H.filter_config(logs(spark))).select("log_id", "stage", "delay_ms"))
+    return rounded(H.delay_budget(H.filter_config(logs(spark, d))).select("log_id", "stage", "delay_ms"))
 
 
 def q_params(spark, d):
-    p = H.filter_params(logs(spark))
+    p = H.filter_params(logs(spark, d))
     return rounded(p.select("log_id", "lpf1_type", "lpf1_static_hz", "lpf1_dyn_min_hz", "lpf1_dyn_max_hz", "notch_q", "notch_max_hz", "rpm_harmonics", "rpm_q", F.col("rpm_weights")[0].alias("w0"), "motor_poles"))
 
 
 def q_smix(spark, d):
-    rules = H.smix_rules(logs(spark))
-    servos = logs(spark).select("log_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("servo"))
+    rules = H.smix_rules(logs(spark, d))
+    servos = logs(spark, d).select("log_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("servo"))
     return rounded(V.roles_from_mixer(servos, rules))
 
 
 def q_servo_params(spark, d):
-    return rounded(H.servo_params(logs(spark)))
+    return rounded(H.servo_params(logs(spark, d)))
 
 
 def q_search(spark, d):
-    return H.search_params(logs(spark), "Lpf1")
+    return H.search_params(logs(spark, d), "Lpf1")
 
 
 #: Synthetic capabilities: log, fields, debug mode, GPS, frames, firmware, checks (field, all zero, lowest, highest).

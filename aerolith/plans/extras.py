@@ -146,7 +146,33 @@ def q_chain_rules(spark, d):
     return shown(R.chain_rule(chain, 20.0, 60.0, 0.4, 0.36))
 
 
+#: Fields of the virtual logs by the names the registry knows.
+KNOWN_FIELDS = {f"axis{t}[{a}]": f"axis{t}_{a}" for t in "PIDFS" for a in range(3)} | {f"wingSpa[{a}]": f"wingSpa_{a}" for a in range(3)} | {"gps:GPS_speed": "gps_speed"}
+MORE_FIELDS = {"wingTpaArg": "v * 8.0", "wingTpaFactor": "2000.0 - v", "debug[4]": "v * 10.0", "debug[1]": "v - 50.0", "wingSTermRaw[1]": "v * 0.0"}
+
+
+def log_caps(spark, d):
+    """Capabilities scanned from the virtual logs; what a log has, its debug mode and firmware follow from its number."""
+    f = flight_frames(spark, d)
+    frames = f.select("log_id", "frame_idx", *(F.col(c).alias(k) for k, c in KNOWN_FIELDS.items()), *(F.expr(e).alias(k) for k, e in MORE_FIELDS.items()))
+    n = F.col("log_id")
+    has = {"wingTpaArg": n % 2 == 0, "wingTpaFactor": n % 4 < 3, "axisS[2]": n % 7 > 0, "gps:GPS_speed": n % 5 > 0}
+    names = [*KNOWN_FIELDS, *MORE_FIELDS]
+    fields = F.filter(F.array(*(F.when(has.get(k, F.lit(True)), F.lit(k)) for k in names)), lambda x: x.isNotNull())
+    logs = f.select("log_id").distinct().select("log_id", fields.alias("fields"), F.when(n % 3 == 0, "TPA").when(n % 3 == 1, "SPA").alias("debug_mode"), (n % 5 > 0).alias("gps_present"), F.lit("4.5.1").alias("firmware"))
+    return L.capabilities(frames, logs, names, 8)
+
+
+def q_log_signals(spark, d):
+    return G.resolve_signals(log_caps(spark, d), G.signal_sources(spark)).select("log_id", "signal", F.col("axis").cast("long"), "state", "kind", "field")
+
+
+def q_log_modules(spark, d):
+    return G.module_report(log_caps(spark, d), G.signal_sources(spark)).select("log_id", "module", F.col("axis").cast("long"), "state")
+
+
 QUERIES = {
+    "log_signals": q_log_signals, "log_modules": q_log_modules,
     "event_track": q_event_track, "gps_track": q_gps_track, "raw_units": q_raw_units, "strict_boxcar": q_strict, "session_reference": q_session, "servo_roles": q_servo_roles, "severity_counts": q_severity_counts,
     "debug_hints": q_debug_hints, "filter_rules": q_filter_rules, "airspeed_rules": q_airspeed_rules, "curve_rules": q_curve_rules, "chain_rules": q_chain_rules,
 }
@@ -157,12 +183,21 @@ def _failed(cases: dict[str, str]) -> str:
     return "[x FOR x IN [" + ", ".join(f"CASE WHEN NOT coalesce({c}, FALSE) THEN '{n}' END" for n, c in cases.items()) + "] IF x IS NOT NULL]"
 
 
+_fields = KNOWN_FIELDS | MORE_FIELDS
+CAPS_SQL = (
+    f"{FRAMES_SQL}, c AS (SELECT log_id, CASE log_id % 3 WHEN 0 THEN 'TPA' WHEN 1 THEN 'SPA' END AS mode, log_id % 5 > 0 AS gps, count(*) AS n, '4.5.1' AS fw FROM frames GROUP BY log_id), "
+    + "ck AS (" + " UNION ALL ".join(f"SELECT log_id, '{k}' AS field, max(CASE WHEN {e} <> 0 THEN 1 ELSE 0 END) = 0 AS zero, min({e}) AS lo, max({e}) AS hi FROM frames WHERE (frame_idx + 1) % 8 = 0 GROUP BY log_id" for k, e in _fields.items()) + "), "
+    + "fl AS (SELECT log_id, field FROM c, (SELECT unnest([" + ", ".join(f"'{k}'" for k in _fields) + "]) AS field) WHERE CASE field WHEN 'wingTpaArg' THEN log_id % 2 = 0 WHEN 'wingTpaFactor' THEN log_id % 4 < 3 WHEN 'axisS[2]' THEN log_id % 7 > 0 WHEN 'gps:GPS_speed' THEN log_id % 5 > 0 ELSE TRUE END), "
+    + dynamics.CAPS_SQL[dynamics.CAPS_SQL.index("src(") :]
+)
 _grade = lambda soft: f"CASE WHEN len(failed) = 0 THEN 'green' WHEN len(failed) <= 2 AND {soft} THEN 'yellow' ELSE 'red' END"
 _whole = lambda x: f"CAST(CAST(floor({x} + 0.5) AS BIGINT) AS VARCHAR)"
 _none = "'' AS cli, '' AS failed"
 _sp = dynamics._sp
 
 ORACLE_SQL = {
+    "log_signals": f"WITH {CAPS_SQL} SELECT * FROM rs",
+    "log_modules": f"WITH {CAPS_SQL}{dynamics.MODULES_SQL[len(dynamics.CAPS_SQL) :]}",
     "event_track": f"""WITH {FRAMES_SQL}, x AS (SELECT log_id, frame_idx AS seq, CASE event_type WHEN 'error' THEN 'disarm' WHEN 'click' THEN 'flight_mode' WHEN 'view' THEN 'sync' ELSE 'end' END AS name, CAST(floor(v) AS BIGINT) AS w,
         coalesce((SELECT max(g.time_sec) FROM frames g WHERE g.log_id = f.log_id AND g.frame_idx <= f.frame_idx AND g.frame_idx % 7 <> 3), 0) AS t FROM frames f)
         SELECT log_id, seq, CASE name WHEN 'flight_mode' THEN 'flight_mode_change' WHEN 'sync' THEN 'other' ELSE 'disarming' END AS kind, {r('t', 'time_sec')}, CASE WHEN name IN ('disarm', 'end') AND w % 5 > 0 THEN CASE name WHEN 'disarm' THEN 'code:' ELSE 'end:' END || w END AS reason,

@@ -14,7 +14,7 @@ from aerolith.operators import spectral as P
 from aerolith.operators import stats as S
 from aerolith.operators.timeaxis import magnitude
 from aerolith.plans.basics import r, rounded
-from aerolith.plans.dynamics import CORR_SQL, WIN, logs
+from aerolith.plans.dynamics import CORR_SQL, WIN, header_templates
 from aerolith.sources.virtual_logs import FRAMES_SQL, axis_frames, flight_frames
 
 FS = 100.0
@@ -102,7 +102,7 @@ def q_chain(spark, d):
     """Fidelity of the simulated filter chain with the parameters of a header against the logged gyro."""
     from aerolith.operators.headers import filter_params
 
-    p = filter_params(logs(spark)).where("log_id = 1").drop("log_id")
+    p = filter_params(header_templates(spark)).where("log_id = 1").drop("log_id")
     a = axis_frames(flight_frames(spark, d)).withColumn("throttle", F.lit(0.5)).withColumn("erpm_0", F.lit(30.0) + F.col("frame_idx") % 7)
     a = a.withColumnsRenamed({"sp": "raw", "gyro": "ref"})
     ids = a.select("log_id").distinct().join(F.broadcast(p), F.lit(True))

@@ -101,10 +101,11 @@ def sample_checks(frames: DataFrame, fields: list[str], stride: int = 32) -> Dat
     on = (F.col("frame_idx") + 1) % stride == 0
     aggs = []
     for f in fields:
-        x = F.when(on, F.col(f).cast("double"))
-        aggs.append(F.struct(F.coalesce(F.max(F.when(on, (F.col(f) != 0).cast("int"))) == 0, F.lit(True)).alias("all_zero"), F.min(x).alias("value_min"), F.max(x).alias("value_max")).alias(f"__{f}"))
+        value = F.col(f"`{f}`")
+        x = F.when(on, value.cast("double"))
+        aggs.append(F.struct(F.coalesce(F.max(F.when(on, (value != 0).cast("int"))) == 0, F.lit(True)).alias("all_zero"), F.min(x).alias("value_min"), F.max(x).alias("value_max")).alias(f"__{len(aggs)}"))
     g = frames.groupBy("log_id").agg(*aggs, F.count(F.lit(1)).alias("total_frames"))
-    pairs = [c for f in fields for c in (F.lit(f), F.col(f"__{f}"))]
+    pairs = [c for i, f in enumerate(fields) for c in (F.lit(f), F.col(f"__{i}"))]
     return g.select("log_id", "total_frames", F.create_map(*pairs).alias("checks"))
 
 
@@ -115,6 +116,24 @@ def capabilities(frames: DataFrame, logs: DataFrame, fields: list[str], stride:
     )
 
 
+def keep_capabilities(caps: DataFrame, path: str) -> None:
+    """Adds capability rows to the store at ``path``."""
+    caps.write.mode("append").parquet(path)
+
+
+def with_capabilities(logs: DataFrame, frames: DataFrame, fields: list[str], path: str, stride: int = 32) -> DataFrame:
+    """Capability rows of all ``logs``: those in the store at ``path`` are read, the others are made and added to it, so
+    that a log's frames are scanned once however often it is asked about."""
+    spark = logs.sparkSession
+    store = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
+        new = logs.join(spark.read.parquet(path).select("log_id"), "log_id", "left_anti")
+        keep_capabilities(capabilities(frames.join(new.select("log_id"), "log_id", "left_semi"), new, fields, stride), path)
+    else:
+        keep_capabilities(capabilities(frames, logs, fields, stride), path)
+    return spark.read.parquet(path).join(logs.select("log_id"), "log_id", "left_semi")
+
+
 def map_events(raw: DataFrame, frames: DataFrame) -> DataFrame:
     """log_id, seq, kind, time_sec, reason, flags, name of raw events (log_id, seq, after_frame, name, code, flags).
 

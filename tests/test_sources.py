@@ -122,3 +122,14 @@ def test_frames_are_kept_by_bucket(spark, tmp_path):
     one = L.read_log(spark, f"{tmp_path}/f", 7, buckets=4)
     assert one.count() == 100 and L.read_frames(spark, f"{tmp_path}/f").count() == 6000
     assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().toString()
+
+
+def test_capabilities_are_scanned_once(spark, tmp_path):
+    path, n = f"{tmp_path}/caps", F.col("id") % 4
+    frames = spark.range(400).select(n.alias("log_id"), F.floor(F.col("id") / 4).alias("frame_idx"), (n * 1.0).alias("axisP[0]"))
+    logs = spark.range(4).select(F.col("id").alias("log_id"), F.array(F.lit("axisP[0]")).alias("fields"), F.lit(None).cast("string").alias("debug_mode"), F.lit(False).alias("gps_present"), F.lit("x").alias("firmware"))
+    first = L.with_capabilities(logs.where("log_id < 3"), frames, ["axisP[0]"], path).collect()
+    assert {r.log_id: r.checks["axisP[0]"].all_zero for r in first} == {0: True, 1: False, 2: False} and first[0].total_frames == 100
+    again = L.with_capabilities(logs, frames.where("log_id = 3"), ["axisP[0]"], path).collect()  # frames of the others are not needed
+    assert {r.log_id: r.total_frames for r in again} == dict.fromkeys(range(4), 100)
+    assert spark.read.parquet(path).count() == 4
