@@ -3,9 +3,10 @@
 For the word-level BPE of ``word_bpe_49k.json``: text is composed (NFC), lower-cased, cut into words by the
 tokenizer's own pattern, and each word is byte-level BPE with an end mark. Words do not influence each other, so the
 count of any prefix of a text is the count of the whole words before it plus the count of the word prefix it ends in.
-Both come from back-pointers of :class:`PrefixTable`. A text's counts at every prefix, character by character, are one
-array: its last entry is the text's count, the last entry within a budget says where to cut for it, and any other
-truncation is looked up there (:func:`tokens_of_prefix`, :func:`longest_within`) without a tokenizer.
+Both come from back-pointers of :class:`PrefixTable`, which holds one for every prefix of a word. A text's count is the
+count at its last prefix; where a budget cuts it is read from the counts at the prefixes of the piece in which the budget
+runs out. On demand all of a text's counts, character by character, are stored as one array, in which any truncation is
+looked up (:func:`tokens_of_prefix`, :func:`longest_within`) without a tokenizer.
 
 Defined results: a null or empty text has 0 tokens and no prefixes; special strings in a text count as one token each (the
 library's default), their beginnings as plain text; repeated rows, rows that share a doc_id and rows with none are
@@ -60,7 +61,7 @@ class WordCounter:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.words = regex.compile(split)
         self.bytes = byte_alphabet()
-        self.memo = Memo(self.marks, memo)
+        self.memo = Memo(self.count, memo)
 
     def symbols(self, word: str) -> str:
         if word.isascii() and word.isprintable() and " " not in word:
@@ -110,7 +111,7 @@ class WordCounter:
         chunks = self._chunks(text)
         if not chunks:
             return np.zeros(len(text), np.int32)
-        inside = np.frombuffer(b"".join(map(self.memo.__getitem__, chunks)), "<i4")
+        inside = np.frombuffer(b"".join(map(self.marks, chunks)), "<i4")
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         whole = inside[np.cumsum(sizes) - 1]
         counts = np.concatenate([[0], inside + np.repeat(np.cumsum(whole) - whole, sizes)])
@@ -138,11 +139,29 @@ class WordCounter:
             out.append(np.concatenate([inside[:-1], [base]]))
         return np.concatenate(out).astype(np.int32)
 
-    @staticmethod
-    def within(counts: np.ndarray, budget: int) -> int:
-        """Length of the longest prefix with at most ``budget`` tokens."""
-        fits = np.flatnonzero(counts <= budget)
-        return int(fits[-1]) + 1 if len(fits) else 0
+    def total_and_cut(self, text: str, budget: int) -> tuple[int, int]:
+        """The last prefix count of ``text``, and the length of its longest prefix with at most ``budget`` tokens.
+
+        Counts at the ends of pieces are summed first; the prefixes inside are looked at for the one piece where the budget
+        runs out, as later ones hold more tokens from their first character on.
+        """
+        if "<|" in text:
+            counts = self.prefix_counts(text)
+            fits = np.flatnonzero(counts <= budget)
+            return int(counts[-1]), int(fits[-1]) + 1 if len(fits) else 0
+        chunks = self._chunks(text)
+        whole = list(map(self.memo.__getitem__, chunks))
+        total = sum(whole)
+        if total <= budget:
+            return total, len(text)
+        left, at = budget, 0
+        for chunk, n in zip(chunks, whole):
+            at = text.index(chunk, at)
+            if n > left:
+                fits = np.flatnonzero(np.frombuffer(self.marks(chunk), "<i4") <= left)
+                return total, at + (int(fits[-1]) + 1 if len(fits) else 0)
+            left, at = left - n, at + len(chunk)
+        raise AssertionError
 
 
 _COUNTERS: dict[str, WordCounter] = {}
@@ -172,12 +191,11 @@ def token_counts(docs: DataFrame, vocabulary: str, budget: int = 2048, prefixes:
         def step(cols):
             n, fit, marks = [], [], []
             for text in cols["text"].to_pylist():
-                counts = counter.prefix_counts(text)
-                total = int(counts[-1]) if len(counts) else 0
+                total, cut = counter.total_and_cut(text, budget)
                 n.append(total)
-                fit.append(len(counts) if total <= budget else counter.within(counts, budget))
+                fit.append(cut)
                 if prefixes:
-                    marks.append(counts)
+                    marks.append(counter.prefix_counts(text))
             return {"doc_id": cols["doc_id"], "n_bytes": cols["n_bytes"], "n_tokens": n, "fitting_chars": fit, "prefix_tokens": marks}
 
         step.release = counter.forget
