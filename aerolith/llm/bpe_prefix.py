@@ -62,11 +62,9 @@ def apart(right: list, left: list, rank: Callable[[str, str], int | None]) -> bo
             j += 1
 
 
-ONE = (1,)
-
-
 class Sizes(dict):
-    """``sizes[end]``: lengths of the tokens that may end where a text ends with the letters ``end`` (three, if it has as many), longest first."""
+    """``sizes[end]``: lengths of the tokens that may end where a text ends with the letters ``end`` (three, if it has as
+    many). One token at most is compatible, so the order is free: lengths that were right move forward."""
 
     def __init__(self, tokens):
         super().__init__()
@@ -79,7 +77,7 @@ class Sizes(dict):
             self[end] = (*sorted(sizes | {2} if end[-2:] in self.two else sizes, reverse=True), 1)
 
     def __missing__(self, end: str) -> tuple[int, ...]:
-        found = (2, 1) if end[-2:] in self.two else ONE
+        found = (2, 1) if end[-2:] in self.two else (1,)
         if len(self) < 200_000:
             self[end] = found
         return found

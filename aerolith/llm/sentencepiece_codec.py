@@ -52,50 +52,61 @@ class Viterbi:
     """Streaming encoder of one segment: feed characters, take committed tokens, then finish.
 
     Column ``n`` stands for the first ``n`` characters since the last committed boundary: ``last[n]`` is the token that
-    ends there on the best path, ``begin[n]`` the column where it begins.
+    ends there on the best path (None until a path asks for it), ``begin[n]`` the column where it begins.
     """
 
     def __init__(self, table: PrefixTable):
         self.table, self.longest = table, table.longest
+        self.room = 4 * table.longest  # columns that make a commit worth while
         self.tail = ""  # characters since the last committed boundary
-        self.last, self.begin = [""], [0]  # last[0]: the last committed token
+        self.last: list[str | None] = [""]  # last[0]: the last committed token
+        self.begin = [0]
 
     def feed(self, chars: str) -> Iterator[str]:
         step = 2 * self.longest
         for at in range(0, len(chars), step):
             self.extend(chars[at : at + step])
-            if len(self.tail) >= 2 * step:
+            if len(self.tail) >= self.room:
                 yield from self.commit()
 
     def extend(self, chars: str) -> None:
-        tail = self.tail = self.tail + chars
-        last, begin, table = self.last, self.begin, self.table
-        tokens, sizes, pairs, fits = table.tokens, table.sizes, table.pairs, table.fits
-        for n in range(len(last), len(tail) + 1):
-            for size in sizes[tail[max(0, n - 3) : n]]:
-                if size > n:
-                    continue
-                token = tail[n - size : n]
-                if size > 1 and token not in tokens:
-                    continue
-                pair = (last[n - size], token)
-                ok = pairs.get(pair)
-                if fits(*pair) if ok is None else ok:
-                    last.append(token)
-                    begin.append(n - size)
-                    break
+        """Columns for ``chars``; each is worked out when a path first asks for it."""
+        self.tail += chars
+        self.last += [None] * len(chars)
+        self.begin += [0] * len(chars)
+
+    def column(self, n: int) -> str:
+        """The token that ends at column ``n`` on the best path there."""
+        table, tail, last = self.table, self.tail, self.last
+        tokens, known = table.tokens, table.pairs.get
+        end = tail[n - 3 if n > 3 else 0 : n]
+        tries = table.sizes[end]
+        for k, size in enumerate(tries):
+            at = n - size
+            if at < 0:
+                continue
+            token = tail[at:n]
+            if size > 1 and token not in tokens:
+                continue
+            pair = (self.column(at) if last[at] is None else last[at], token)
+            ok = known(pair)
+            if table.fits(*pair) if ok is None else ok:
+                last[n], self.begin[n] = token, at
+                if k:
+                    table.sizes[end] = (*tries[: k - 1], size, tries[k - 1], *tries[k + 1 :])
+                return token
+        raise ValueError("no encoding")
 
     def rewind(self, chars: str) -> str:
         """Keep the columns that the next segment, ``chars``, begins with, if nothing was committed; the rest of ``chars`` is left to feed."""
-        n, tail = 0, self.tail
-        if self.last[0] == "":
-            for a, b in zip(tail, chars):
+        n = 0
+        if not self.last[0]:
+            for a, b in zip(self.tail, chars):
                 if a != b:
                     break
                 n += 1
-        self.tail = tail[:n]
+        self.tail, self.last[0] = chars[:n], ""
         del self.last[n + 1 :], self.begin[n + 1 :]
-        self.last[0] = ""
         return chars[n:]
 
     def path(self, column: int) -> list[int]:
@@ -108,6 +119,9 @@ class Viterbi:
     def commit(self) -> Iterator[str]:
         """Give out the tokens up to the last boundary that the paths of all live columns share."""
         live = range(len(self.last) - self.longest, len(self.last))
+        for column in live:
+            if self.last[column] is None:
+                self.column(column)
         shared = set(self.path(live[0]))
         for column in live[1:]:
             shared &= set(self.path(column))
@@ -121,7 +135,16 @@ class Viterbi:
         return [self.last[c] for c in self.path(column)[1:]]
 
     def finish(self) -> list[str]:
-        return self.tokens(len(self.last) - 1)
+        """Tokens from the last committed boundary to the end."""
+        last, begin = self.last, self.begin
+        out, at = [], len(last) - 1
+        if last[at] is None:
+            self.column(at)
+        while at:
+            out.append(last[at])
+            at = begin[at]
+        out.reverse()
+        return out
 
 
 class Codec:
@@ -166,11 +189,13 @@ class Codec:
 
     def segment(self, segment: str) -> bytes:
         """Ids of a segment; parts without vocabulary characters between them cannot merge."""
-        out, coder = [], self.coder
-        for part in self.apart.split(segment) if len(segment) > 1 else [segment]:
-            if part:
-                out += map(self.pack, coder.feed(coder.rewind(part)))
-                out += map(self.pack, coder.finish())
+        out, coder, pack = [], self.coder, self.pack
+        for part in self.apart.split(segment) if self.apart.search(segment) else (segment,):
+            if len(part) < coder.room:  # fits the window as a whole: nothing is committed before its end
+                coder.extend(coder.rewind(part))
+            else:
+                out += map(pack, coder.feed(coder.rewind(part)))
+            out += map(pack, coder.finish())
         return b"".join(out)
 
     def keys(self, text: str) -> list[str]:
@@ -190,9 +215,12 @@ class Codec:
         Segments that are not in the memo go through the trellis in sorted order, so that it keeps the columns of a
         common beginning.
         """
-        keys = list(map(self.keys, texts))
-        ids = {k: self.memo[k] for k in sorted(set().union(*keys))}
-        return [b"".join([ids[k] for k in own]) for own in keys]
+        keys, memo = list(map(self.keys, texts)), self.memo
+        found = set().union(*keys)
+        ids = {k: memo[k] for k in found if k in memo}  # before new ones push old ones out
+        for k in sorted(found.difference(ids)):
+            ids[k] = memo[k]
+        return [b"".join(map(ids.__getitem__, own)) for own in keys]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed([text])[0], "<i4").tolist()
