@@ -2,10 +2,11 @@
 
 Learning, on a bounded sample of labelled rows that are not held out:
 
-1. lexicon: words whose document frequency is far higher among toxic samples, by more than chance brings about among as
-   many words (a likelihood-ratio test that expects less than one false term), seen in several different contexts
-   (neighbouring words), so that copies of one toxic text do not make a term of each of its words;
-2. stems: beginnings shared by several terms, held to the same test on the documents that have any word with them;
+1. lexicon: words that are far more frequent among toxic samples, by more than chance brings about among as many words (a
+   likelihood-ratio test that allows for the number of words tried). A word counts once for each different context
+   (neighbouring words) of its first place in a text, so that copies of one toxic text do not make terms of its words;
+2. stems: beginnings shared by several words that lean to toxic samples (each alone too rare for the test), held to the
+   same test on the documents that have any word with them;
 3. weights: a small logistic model over logarithms of hit counts, kept near prior weights where the sample says little.
 
 The sample's size (``per_class``) is the only bound; words, terms, stems and hits are taken whatever their length or number.
@@ -51,6 +52,9 @@ PRIOR = np.array([-3.0, 3.0, 1.0, 3.5, 3.0, 0.3, 1.0, 2.0])
 SURE = 5.5
 #: Log odds that a term or stem has at least.
 LEAST_ODDS = 2.5
+#: Share of the logarithm of the number of words tried that a term's likelihood ratio must reach; at 1 less than one false
+#: term is expected even if all words were independent.
+STRICT = 0.8
 
 
 def clean(token: str) -> str:
@@ -61,6 +65,12 @@ def clean(token: str) -> str:
     return RUNS.sub(r"\1", word) if len(word) > 3 else word
 
 
+def around(tokens: list[str], at: int) -> int:
+    """Hash of the words beside a place."""
+    beside = (tokens[at - 1] if at else "") + " " + (tokens[at + 1] if at + 1 < len(tokens) else "")
+    return zlib.crc32(beside.encode("utf-8", "surrogatepass"))
+
+
 def edits_allowed(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
@@ -230,23 +240,23 @@ def held_out_rows(doc_id: Column) -> Column:
 
 
 def telling(rows: DataFrame, n_pos: int, n_neg: int, tried: int) -> DataFrame:
-    """Rows (pos, neg: documents of each class) that tell toxic texts from clean ones, with ``llr``, their log odds.
+    """Rows (pos, neg: contexts in each class) that tell toxic texts from clean ones, with ``llr``, their log odds.
 
-    The log odds are ``LEAST_ODDS`` or more, and a likelihood ratio so large is expected less than once by chance among
-    ``tried`` rows.
+    The log odds are ``LEAST_ODDS`` or more, and the likelihood ratio stands out among ``tried`` rows.
     """
     llr = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
     share = F.lit(n_pos / max(1, n_pos + n_neg))
     total = F.col("pos") + F.col("neg")
     gain = F.col("pos") * F.log(F.col("pos") / (total * share))
     gain = gain + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (total * (F.lit(1.0) - share)))).otherwise(0.0)
-    return rows.where("pos > 0").withColumn("llr", llr).where((F.col("llr") >= LEAST_ODDS) & (gain >= math.log(max(2, tried))))
+    return rows.where("pos > 0").withColumn("llr", llr).where((F.col("llr") >= LEAST_ODDS) & (gain >= STRICT * math.log(max(2, tried))))
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_contexts: int = 4) -> dict:
     """Model from at most ``per_class`` labelled rows of each class, taken in the order of a hash of doc_id.
 
-    What comes back to the driver is a part of that bounded sample's words, and a row of counts for each sampled text.
+    What comes back to the driver is a part of that bounded sample's words, and a row of counts for each sampled text. Stems
+    that begin like a shorter stem are left out.
     """
     order = F.xxhash64(F.col("doc_id"))
     rows = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic is not null")
@@ -260,10 +270,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_context
     sample = materialise(texts.join(ids, "__id").select("toxic", "text"), "toxic-sample").repartition(8)
     n_pos = sum(r.toxic == 1 for r in picked)
     n_neg = len(picked) - n_pos
-    classes = [F.sum(F.when(F.col("toxic") == t, 1).otherwise(0)).alias(c) for c, t in (("pos", 1), ("neg", 0))]
+    classes = [F.size(F.collect_set(F.when(F.col("toxic") == t, F.col("context")))).alias(c) for c, t in (("pos", 1), ("neg", 0))]
 
     def words():
-        from aerolith.llm.toxicity import clean
+        from aerolith.llm.toxicity import around, clean
 
         def step(cols):
             term, toxic, context = [], [], []
@@ -271,8 +281,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_context
                 seen, tokens = {}, [clean(t) for t in text.split()]
                 for i, w in enumerate(tokens):
                     if w and w not in seen:
-                        around = (tokens[i - 1] if i else "") + " " + (tokens[i + 1] if i + 1 < len(tokens) else "")
-                        seen[w] = zlib.crc32(around.encode("utf-8", "surrogatepass"))
+                        seen[w] = around(tokens, i)
                 term += seen
                 context += seen.values()
                 toxic += [label] * len(seen)
@@ -281,32 +290,36 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, min_context
         return step
 
     schema = pa.schema([("term", pa.string()), ("toxic", pa.int32()), ("context", pa.int64())])
-    contexts = F.size(F.collect_set(F.when(F.col("toxic") == 1, F.col("context")))).alias("contexts")
-    counted = materialise(map_rows(sample, words, "term string, toxic int, context long", schema).groupBy("term").agg(*classes, contexts), "toxic-words")
+    counted = materialise(map_rows(sample, words, "term string, toxic int, context long", schema).groupBy("term").agg(*classes), "toxic-words")
     tried = counted.count()
-    found = telling(counted.where(F.col("contexts") >= min_contexts), n_pos, n_neg, tried).select("term", "llr").collect()
+    found = telling(counted.where(F.col("pos") >= min_contexts), n_pos, n_neg, tried).select("term", "llr").collect()
     model = {"terms": {r.term: float(r.llr) for r in sorted(found, key=lambda r: (-r.llr, r.term))}}
-    beginnings = stems_of(model["terms"])
+    leaning = counted.where((F.col("pos") > 1) & (F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1)) >= LEAST_ODDS))
+    beginnings = frozenset(stems_of({r.term: 0.0 for r in leaning.select("term").collect()}))
     if beginnings:
 
         def begun():
-            from aerolith.llm.toxicity import clean
+            from aerolith.llm.toxicity import around, clean
 
             def step(cols):
-                stem, toxic = [], []
+                stem, toxic, context = [], [], []
                 for text, label in zip(cols["text"].to_pylist(), cols["toxic"].to_pylist()):
-                    tokens = set(map(clean, text.split()))
-                    have = [b for b in beginnings if any(t.startswith(b) for t in tokens)]
-                    stem += have
-                    toxic += [label] * len(have)
-                return {"stem": stem, "toxic": toxic}
+                    seen, tokens = {}, [clean(t) for t in text.split()]
+                    for i, t in enumerate(tokens):
+                        for b in {t[:k] for k in range(3, len(t) + 1)} & beginnings:
+                            if b not in seen:
+                                seen[b] = around(tokens, i)
+                    stem += seen
+                    context += seen.values()
+                    toxic += [label] * len(seen)
+                return {"stem": stem, "toxic": toxic, "context": context}
 
             return step
 
-        schema = pa.schema([("stem", pa.string()), ("toxic", pa.int32())])
-        stems = map_rows(sample, begun, "stem string, toxic int", schema).groupBy("stem").agg(*classes)
-        beginnings = sorted(r.stem for r in telling(stems, n_pos, n_neg, tried).select("stem").collect())
-    model["stems"] = beginnings
+        schema = pa.schema([("stem", pa.string()), ("toxic", pa.int32()), ("context", pa.int64())])
+        stems = map_rows(sample, begun, "stem string, toxic int, context long", schema).groupBy("stem").agg(*classes)
+        beginnings = {r.stem for r in telling(stems, n_pos, n_neg, tried).select("stem").collect()}
+    model["stems"] = sorted(b for b in beginnings if not any(b[:k] in beginnings for k in range(3, len(b))))
 
     def fuzzy():
         from aerolith.llm.toxicity import Scorer
