@@ -227,24 +227,56 @@ def shard_links(values: np.ndarray, labels: list, radius: int, own: int):
             root = root[root]
 
 
-def shard_candidates(values: np.ndarray, labels: list, radius: int, own: int, most: int = 3):
-    """Pairs of each value with the nearest ``most`` within the radius; each value that has any is in some pair."""
-    a, b, d = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*searches(values, radius, own), ([], [], [])))
-    a, b, d = np.concatenate([a, b]).astype(np.int64), np.concatenate([b, a]).astype(np.int64), np.concatenate([d, d])
-    by = np.lexsort((b, d, a))
-    a, b = a[by], b[by]
-    rank = np.arange(len(a)) - np.searchsorted(a, a)
-    yield from zip(a[rank < most].tolist(), b[rank < most].tolist())
-
-
-def shard_pairs(values: np.ndarray, labels: list, radius: int, own: int):
-    """All pairs within the radius whose labels differ."""
+def nearest_of_each(q: np.ndarray, at: np.ndarray, d: np.ndarray, most: int):
+    """The ``most`` nearest partners of each ``q``: (q, at)."""
+    by = np.lexsort((at, d, q))
+    q, at = q[by], at[by]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < most
+    return q[keep], at[keep]
+
+
+def shard_candidates(values: np.ndarray, labels: list, radius: int, own: int, most: int = 3, window: int = 256):
+    """Pairs of each value with the nearest ``most`` within the radius among the ``window`` values to each side, in the order given."""
+    if own < len(values):
+        return
+    found = [[np.empty(0, np.int64)] * 3]
+    for lo in range(0, max(1, len(values) - window), window):
+        part = values[lo : lo + 2 * window]
+        found += [(a + lo, b + lo, d) for a, b, d in searches(part, radius, len(part))]
+    a, b, d = (np.concatenate(x) for x in zip(*found))
+    q, at = nearest_of_each(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d]), most)
+    yield from zip(q.tolist(), at.tolist())
+
+
+def shard_pairs(values: np.ndarray, labels: list, radius: int, own: int, most: int = 64):
+    """Pairs of each value with the nearest ``most`` within the radius whose labels differ from its own.
+
+    The members of a large label are not searched for among themselves.
+    """
     names = {x: i for i, x in enumerate(dict.fromkeys(labels))}
-    if len(names) > 1:
-        label = np.array([names[x] for x in labels])
-        for a, b, _ in searches(values, radius, own):
+    if len(names) == 1:
+        return
+    label, rest = np.array([names[x] for x in labels]), np.arange(len(values))
+
+    def pairs(part, first):
+        for a, b, d in searches(values[part], radius, first):
+            a, b = part[a], part[b]
             apart = label[a] != label[b]
-            yield from zip(a[apart].tolist(), b[apart].tolist())
+            q, at = nearest_of_each(a[apart], b[apart], d[apart], most)
+            yield from zip(q.tolist(), at.tolist())
+
+    if own < len(values):
+        yield from pairs(rest, own)
+        return
+    for k in np.argsort(-np.bincount(label), kind="stable"):
+        of_label = label[rest] == k
+        if of_label.sum() < 32:
+            break
+        inside, rest = rest[of_label], rest[~of_label]
+        if len(rest):
+            yield from pairs(np.concatenate([inside, rest]), len(inside))
+    if len(rest):
+        yield from pairs(rest, len(rest))
 
 
 #: Odd multipliers that scramble a shard's masked words and the number of its mask into one name (fixed values).
@@ -382,9 +414,9 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     and first_digest (the row that stands for the component) of each row of ``docs``.
 
     Links join texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Shards propose, by
-    fingerprints of the sets, and every link is verified on the sets themselves. First each set's nearest few are
-    verified, which joins the large groups; then all pairs met that are still in different components, so that every
-    pair met is either joined or found to be less alike, and the pairs of a large group are not listed.
+    fingerprints of the sets, and every link is verified on the sets themselves. First each set's nearest few in its
+    neighbourhood are verified, which joins the large groups; then, in each shard, each set and the nearest 64 of those that
+    are in other components by now. So the pairs of a large group are never listed.
     """
     rows = materialise(shingle_sets(docs, words, bits), "sets")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("best")

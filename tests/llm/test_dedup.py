@@ -131,6 +131,10 @@ def test_shard_searches():
     assert sorted_pairs(shard_pairs(v, list(range(90)), 2, 90)) == near == sorted_pairs(shard_candidates(v, None, 2, 90))
     assert sorted_pairs(shard_pairs(v, [i % 2 for i in range(90)], 2, 90)) == {(i, j) for i, j in near if (i - j) % 2}
     assert sorted_pairs(shard_pairs(v, list(range(90)), 2, 60)) == {(i, j) for i, j in near if i < 60 <= j}
+    alike = numbers([rng.getrandbits(3) << 9 | rng.getrandbits(4) for _ in range(3000)], 16)
+    assert len(list(shard_candidates(alike, None, 36, 3000))) <= 3 * 3000 and not list(shard_candidates(v, None, 2, 60))
+    two = list(shard_pairs(alike, [0] * 2900 + [1] * 60 + [2] * 40, 36, 3000))
+    assert len(two) == 100 * 64 + 40 * 60
 
 
 def test_drop_near_copies(spark):
