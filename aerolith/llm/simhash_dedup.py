@@ -14,7 +14,7 @@ fingerprints, so that a shard of evenly spread ones holds about ``shard``, whate
 than ``block`` (of much alike texts) is dealt into blocks, and each pair of blocks is a search of its own, so that no
 task gathers an unbounded shard. For a threshold on the similarity of the shingle sets (``near_groups``), fingerprints
 only propose: masks are random sets of bits, the radius and the number of masks set by a rule so that a pair at the
-threshold is met with probability ``recall``, and links are verified on the sets.
+threshold is met with probability ``recall``, and all pairs of the sets that proposals connect are judged on the sets.
 
 From a shard only links that join two of its groups so far are emitted (at most one less than its fingerprints), which
 keeps every component and never lists the pairs of a large group.
@@ -206,8 +206,12 @@ def searches(values: np.ndarray, radius: int, own: int):
         yield (q[q > at], at[q > at], d[q > at]) if alone else (q, at, d)
 
 
-def shard_links(values: np.ndarray, labels: list, radius: int, own: int):
-    """Links (position, other position) that join groups not joined yet."""
+def shard_links(values: np.ndarray, labels: list, radius: int, own: int, window: int = 256):
+    """Links (position, other position) that join groups not joined yet.
+
+    A whole shard is searched among near positions first; then the members of a large group need no search among
+    themselves, so that the work on a shard of much alike texts does not grow with the square of its size.
+    """
     root = np.arange(len(values))
 
     def find(i):
@@ -216,15 +220,35 @@ def shard_links(values: np.ndarray, labels: list, radius: int, own: int):
             i = root[i]
         return i
 
-    for a, b, _ in searches(values, radius, own):
-        _, some = np.unique(root[a] * len(values) + root[b], return_index=True)
-        for i, j in zip(a[some].tolist(), b[some].tolist()):
-            x, y = find(i), find(j)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                yield i, j
-        while (root[root] != root).any():
-            root = root[root]
+    def joins(part, first):
+        for a, b, _ in searches(values[part], radius, first):
+            a, b = part[a], part[b]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            _, some = np.unique(root[a] * len(values) + root[b], return_index=True)
+            for i, j in zip(a[some].tolist(), b[some].tolist()):
+                x, y = find(i), find(j)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    yield i, j
+            while (root[root] != root).any():
+                root[:] = root[root]
+
+    rest = np.arange(len(values))
+    if own == len(values) > 2 * window:
+        for lo in range(0, len(values) - window, window):
+            part = rest[lo : lo + 2 * window]
+            yield from joins(part, len(part))
+        while len(rest):
+            inside = root[rest] == np.bincount(root[rest]).argmax()
+            if inside.sum() < 32:
+                break
+            group, rest = rest[inside], rest[~inside]
+            if len(rest):
+                yield from joins(np.concatenate([group, rest]), len(group))
+        own = len(rest)
+    if len(rest) > 1:
+        yield from joins(rest, own)
 
 
 def nearest_of_each(q: np.ndarray, at: np.ndarray, d: np.ndarray, most: int):
@@ -361,20 +385,30 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 3, bits: int =
     return join_by_size(rows, named, "fp", "n").select("doc_id", "fp", "component_id")
 
 
+def scrambled(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th of the hashes that follow from ``hashes`` (SplitMix64); these themselves for 0."""
+    if not k:
+        return hashes
+    h = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def shingle_sets(docs: DataFrame, words: int, bits: int) -> DataFrame:
     """doc_id, digest (MD5 of the text), fp (SimHash of its distinct shingles), shingles (their sorted 64-bit hashes) and key
     (MD5 of these)."""
 
     def kernel():
-        from aerolith.llm.simhash_dedup import SEED, fold, shingle_hashes
+        from aerolith.llm.simhash_dedup import SEED, fold, scrambled, shingle_hashes
 
         def step(cols):
             digests, fps, sets, keys = [], [], [], []
             for text in cols["text"].to_pylist():
                 digests.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest())
-                parts = [np.unique(shingle_hashes(text, words, SEED + k)) for k in range(bits // 64)]
-                fps.append(b"".join(fold(p).to_bytes(8, "big") for p in parts))
-                sets.append(parts[0].astype("<u8").tobytes())
+                own = np.unique(shingle_hashes(text, words, SEED))
+                fps.append(b"".join(fold(scrambled(own, k)).to_bytes(8, "big") for k in range(bits // 64)))
+                sets.append(own.astype("<u8").tobytes())
                 keys.append(hashlib.md5(sets[-1]).digest())
             return {"doc_id": cols["doc_id"], "digest": digests, "fp": fps, "shingles": sets, "key": keys}
 
@@ -386,56 +420,106 @@ def shingle_sets(docs: DataFrame, words: int, bits: int) -> DataFrame:
     return map_rows(rows, kernel, "doc_id long, " + ", ".join(f"{n} binary" for n in names), schema)
 
 
-def alike(a: bytes, b: bytes, similarity: float) -> bool:
-    """Whether the Jaccard similarity of two shingle sets is ``similarity`` or more."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both >= similarity * (len(x) + len(y) - both)
+class SetFamily:
+    """Shingle sets (sorted 64-bit hashes) by place, and for each shingle the places that hold it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        names, which = np.unique(np.concatenate(sets), return_inverse=True)
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.which, self.held = which.ravel(), np.bincount(which.ravel(), minlength=len(names))
+        self.start = np.concatenate([[0], np.cumsum(self.held)])
+        self.places = np.repeat(np.arange(len(sets)), self.sizes)[np.argsort(self.which, kind="stable")]
+
+    def alike(self, i: int, similarity: float) -> np.ndarray:
+        """Places of the sets whose Jaccard similarity with set ``i`` is ``similarity`` or more, its own included."""
+        own = self.which[self.first[i] : self.first[i + 1]]
+        count = self.held[own]
+        at = np.repeat(self.start[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        both = np.bincount(self.places[at], minlength=len(self.sizes))
+        near = both >= similarity * (self.sizes + self.sizes[i] - both)
+        near[i] = True
+        return np.flatnonzero(near)
+
+
+def family_links(sets: list[np.ndarray], similarity: float):
+    """Links (place, other place) between sets at ``similarity`` or more that join groups not joined yet.
+
+    Sets are compared with all others, one by one, until all that are left lie in one group: of any two groups one was
+    compared whole, so no link between two is lost. The set of the most often held shingles goes first; its group is the
+    large one if there is any.
+    """
+    family = SetFamily(sets)
+    group, left = np.arange(len(sets)), np.ones(len(sets), bool)
+    i = int((np.add.reduceat(np.append(family.held[family.which], 0), family.first[:-1]) * (family.sizes > 0)).argmax())
+    while True:
+        left[i] = False
+        near = family.alike(i, similarity)
+        _, some = np.unique(group[near], return_index=True)
+        for j in near[some].tolist():
+            if group[j] != group[i]:
+                yield i, j
+        group[np.isin(group, group[near])] = group[i]
+        outside = left & (group != np.bincount(group).argmax())
+        if not outside.any():
+            return
+        i = int(outside.argmax())
+
 
+def set_links(families: DataFrame, similarity: float, most: int = 4096, most_bytes: int = 8 << 20) -> DataFrame:
+    """(a, b): links at ``similarity`` or more that join the sets of each family; ``families``: family, key, shingles.
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose shingle sets (key, shingles) are at ``similarity`` or more."""
+    All pairs of a family are judged, in a task that holds its sets. A family of more than ``most`` sets or ``most_bytes``
+    is dealt into blocks, and each pair of blocks is judged by itself.
+    """
 
     def run(batches):
-        from aerolith.llm.simhash_dedup import alike
+        from aerolith.llm.simhash_dedup import family_links
 
-        for batch in batches:
-            keep = [alike(x.as_py(), y.as_py(), similarity) for x, y in zip(batch.column(2), batch.column(3))]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        def pairs():
+            rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+            for _, group in itertools.groupby(rows, key=lambda r: r[:3]):
+                keys, sets = zip(*(r[3:] for r in group))
+                for i, j in family_links([np.frombuffer(x, "<u8") for x in sets], similarity):
+                    yield max(keys[i], keys[j]), min(keys[i], keys[j])
 
-    x, y = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"{k}_set")) for k in ("a", "b"))
-    return map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "a_set", "b_set"), run, "a binary, b binary")
+        found = pairs()
+        while part := list(itertools.islice(found, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in part], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / most, F.col("bytes") / most_bytes)).cast("int")
+    large = materialise(sizes.select("family", blocks.alias("blocks")).where("blocks > 1"), "large-families")
+    zero, by = F.lit(0), ("family", "lo", "hi")
+    if large.isEmpty():
+        dealt = families.withColumns({"lo": zero, "hi": zero})
+    else:
+        dealt = families.join(small_side(large, 64), "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1))).where("blocks = 1 or other <> part")
+        dealt = dealt.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+    dealt = dealt.select(*by, "key", "shingles").repartition(*by).sortWithinPartitions(*by, "key")
+    return map_batches(dealt, run, "a binary, b binary").distinct()
 
 
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 128, recall: float = 0.99) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 256, recall: float = 0.99) -> DataFrame:
     """doc_id, digest (MD5 of the text), component_id (smallest doc_id reachable by links; null if no row has any), first_id
     and first_digest (the row that stands for the component) of each row of ``docs``.
 
-    Links join texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Shards propose, by
-    fingerprints of the sets, and every link is verified on the sets themselves. First each set's nearest few in its
-    neighbourhood are verified, which joins the large groups; then, in each shard, each set and the nearest 64 of those that
-    are in other components by now. So the pairs of a large group are never listed.
+    Links join texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more. Fingerprints of the sets
+    propose pairs in shards; the sets that proposals connect are a family, and all pairs of a family are judged on the sets
+    themselves. Both steps give out only links that join groups, so the pairs of a large group are never listed, and none
+    is left out.
     """
     rows = materialise(shingle_sets(docs, words, bits), "sets")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("best")
     nodes = materialise(rows.groupBy("key").agg(F.min("fp").alias("fp"), best, F.count(F.lit(1)).alias("n")), "nodes")
     masks, radius = sampled_masks(bits, similarity, nodes.count(), recall)
 
-    first = materialise(shard_search(nodes.withColumn("label", F.lit(b"")), masks, bits, shard_candidates, radius), "candidates")
-    some = materialise(first.select(F.col("a").alias("key")).union(first.select("b")).distinct(), "candidate-keys")
-    sets = rows.select("key", "shingles").join(small_side(some, 32), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    sets = materialise(sets, "candidate-sets")
-    links = materialise(verified(first, sets, similarity), "links")
-    found = connected_components(links)
-
-    labelled = nodes.join(small_side(some, 32), "key", "left_semi").join(found, F.col("key") == F.col("node"), "left")
-    labelled = materialise(labelled.select("fp", "key", F.coalesce("component", "key").alias("label")), "labelled")
-    second = shard_search(labelled, masks, bits, shard_pairs, radius).join(first, ["a", "b"], "left_anti")
-    more = materialise(verified(materialise(second, "candidates"), sets, similarity), "links")
-    if not more.isEmpty():
-        found = connected_components(links.unionByName(more))
+    proposed = connected_components(shard_search(nodes.withColumn("label", F.lit(b"")), masks, bits, shard_links, radius))
+    proposed = materialise(proposed.select(F.col("node").alias("key"), F.col("component").alias("family")), "families")
+    sets = rows.select("key", "shingles").join(small_side(proposed, 64), "key").groupBy("key").agg(F.first("family").alias("family"), F.first("shingles").alias("shingles"))
+    found = connected_components(set_links(materialise(sets, "family-sets"), similarity))
 
     named = nodes.join(found, F.col("key") == F.col("node"), "left").select("key", "best", "n", F.coalesce("component", "key").alias("component"))
     named = materialise(named, "named")
@@ -445,7 +529,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     return out.select("doc_id", "digest", F.col("first.doc_id").alias("component_id"), F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest"))
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 128) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 256) -> DataFrame:
     """``docs`` with one row for each group of near copies: the one with the smallest doc_id, null last, and of different
     texts with that doc_id the one with the smallest MD5. All columns are kept.
 

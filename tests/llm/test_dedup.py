@@ -11,7 +11,7 @@ from aerolith.llm import simhash_dedup
 from aerolith.llm.components import connected_components
 from aerolith.llm.exact_dedup import chunks_of, drop_exact_copies, exact_groups
 from aerolith.llm.line_dedup import common_blocks, increasing, line_dedup, patience, short_runs
-from aerolith.llm.simhash_dedup import BKTree, as_words, drop_near_copies, pigeonhole_masks, shard_candidates, shard_links, shard_pairs, shard_search, simhash_groups
+from aerolith.llm.simhash_dedup import BKTree, as_words, drop_near_copies, family_links, pigeonhole_masks, set_links, shard_candidates, shard_links, shard_pairs, shard_search, simhash_groups
 from aerolith.llm.substring_dedup import sequence_hashes, substring_dedup
 from tests.llm.helpers import LONG, awkward, docs, empty
 
@@ -309,3 +309,48 @@ def test_near_copies_equal_exact_jaccard(spark):
     lost = {d for d, g in group.items() if g != d}
     assert 10 < len(lost) < 35
     assert {r.doc_id for r in drop_near_copies(docs(spark, rows)).collect()} == set(sets) - lost
+
+
+def test_the_one_near_copy_among_many_almost_near_texts_is_found(spark):
+    """Two texts at a similarity of exactly 0.8, each with 1,500 others at 0.79 that have no near copy."""
+    rng, new = random.Random(3), itertools.count()
+
+    def changed(words, starts):
+        return [f"n{next(new)}" if i in starts else w for i, w in enumerate(words)]
+
+    base = [f"w{i}" for i in range(184)]
+    twin = changed(base, {20, 60, 100, 140})
+    rows = [(0, " ".join(base)), (1, " ".join(twin))]
+    for i in range(3000):
+        a, b, c, d = rng.sample(range(10, 170, 10), 4)
+        rows.append((2 + i, " ".join(changed((base, twin)[i % 2], {a, a + 1, b, c, d}))))
+    assert {r[0] for r in rows} - {r.doc_id for r in drop_near_copies(docs(spark, rows)).collect()} == {1}
+
+
+def test_links_of_a_family_equal_brute_force():
+    rng = random.Random(4)
+    for n in (1, 2, 60, 200):
+        base = rng.sample(range(10**6), 60)
+        sets = [np.array(sorted({x if rng.random() > i / n / 4 else rng.randrange(10**6) for x in base}), np.uint64) for i in range(n)] + [np.empty(0, np.uint64)]
+        have = [set(x.tolist()) for x in sets]
+        near = {(i, j) for i, j in itertools.combinations(range(n + 1), 2) if len(have[i] & have[j]) >= 0.8 * len(have[i] | have[j])}
+        links = {(min(p), max(p)) for p in family_links(sets, 0.8)}
+        assert links <= near and joined(n + 1, links) == joined(n + 1, near) and len(links) <= n
+
+
+def joined(n, links):
+    group = list(range(n))
+    for a, b in links:
+        group = [group[a] if g == group[b] else g for g in group]
+    return {frozenset(i for i in range(n) if group[i] == g) for g in group}
+
+
+def test_large_families_are_judged_in_blocks(spark):
+    rng, base = random.Random(6), list(range(60))
+    sets = [sorted({x if rng.random() > i / 400 else rng.randrange(10**6) for x in base}) for i in range(100)]
+    rows = [(bytearray(b"f"), bytearray(b"%03d" % i), bytearray(np.array(x, "<u8").tobytes())) for i, x in enumerate(sets)]
+    families = spark.createDataFrame(rows, "family binary, key binary, shingles binary")
+    want = joined(100, list(family_links([np.array(x, np.uint64) for x in sets], 0.8)))
+    for how in ({}, {"most": 7}, {"most_bytes": 9000}):
+        assert joined(100, [(int(r.a), int(r.b)) for r in set_links(families, 0.8, **how).collect()]) == want
+    assert 1 < len(want) < 90
