@@ -31,7 +31,9 @@ class Memo(dict):
         self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
 
     def __missing__(self, key):
-        value = self.old.pop(key) if key in self.old else self.compute(key)
+        return self.keep(key, self.old.pop(key) if key in self.old else self.compute(key))
+
+    def keep(self, key, value):
         if len(key) <= self.longest:
             if len(self) >= self.limit:
                 self.old = dict(self)

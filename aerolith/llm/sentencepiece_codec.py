@@ -8,7 +8,8 @@ paths of all these columns run through one boundary, everything before it is fin
 columns dropped, so memory does not grow with the text.
 
 White space bounds pieces (no piece has the space mark after another character), so text is fed word by word, every word
-through the same trellis; the ids of words of up to 64 characters are kept in a bounded memo for when they come again.
+through the same trellis; the ids of words of up to 64 characters are kept in a bounded memo for when they come again. A
+word that fits the trellis as a whole needs no commit: its columns hold the ids of their paths.
 
 Defined results: null and empty texts have no ids and decode to the empty string; characters outside the vocabulary
 become byte pieces; a text's own U+2581 reads as a space on decoding, as in the library, so ``round_trip`` is false for
@@ -24,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,29 +200,115 @@ class Codec:
             out += map(pack, coder.finish())
         return b"".join(out)
 
+    @staticmethod
+    def shows_marks(text: str) -> bool:
+        """Whether segments of the text must show their own space marks."""
+        return MARK in text or "  " in text or text[0] == " " or text[-1] == " "
+
     def keys(self, text: str) -> list[str]:
         """Pieces of text between single spaces, or segments that show their own space marks."""
         if not text:
             return []
-        if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
+        if self.shows_marks(text):
             return SEGMENT.findall(MARK + text.replace(" ", MARK))
         return text.split(" ")
 
     def key(self, key: str) -> bytes:
         return self.segment(key if key[0] == MARK else MARK + key)
 
+    def short(self, parts: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """Each part (in sorted order, without white space to split at) with its ids.
+
+        A column holds the token that ends there on the best path and the ids of that path; columns of a beginning that a part
+        shares with the part before are kept. A part that does not fit the trellis as a whole is streamed.
+        """
+        table, room, ids_of = self.table, self.coder.room, self.packed.get
+        tokens, known, fits, sizes = table.tokens, table.pairs.get, table.fits, table.sizes
+        word, last, ids = "", [""], [b""]
+
+        def column(n: int) -> str:
+            end = word[n - 3 if n > 3 else 0 : n]
+            tries = sizes[end]
+            for k, size in enumerate(tries):
+                at = n - size
+                if at < 0:
+                    continue
+                token = word[at:n]
+                if size > 1 and token not in tokens:
+                    continue
+                before = last[at]
+                if before is None:
+                    before = column(at)
+                ok = known((before, token))
+                if fits(before, token) if ok is None else ok:
+                    last[n], ids[n] = token, ids[at] + (ids_of(token) or self.pack(token))
+                    if k:
+                        sizes[end] = (*tries[: k - 1], size, tries[k - 1], *tries[k + 1 :])
+                    return token
+            raise ValueError("no encoding")
+
+        for part in parts:
+            n, same = len(part), 0
+            if n >= room:
+                yield part, self.segment(part)
+                continue
+            for a, b in zip(word, part):
+                if a != b:
+                    break
+                same += 1
+            word = part
+            last[same + 1 :] = [None] * (n - same)
+            ids[same + 1 :] = last[same + 1 :]
+            if last[n] is None:
+                column(n)
+            yield part, ids[n]
+
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers.
 
-        Segments that are not in the memo go through the trellis in sorted order, so that it keeps the columns of a
-        common beginning.
+        Each segment of all texts is looked up once. Those that are not in the memo go through the trellis in sorted order, so
+        that it keeps the columns of a common beginning.
         """
-        keys, memo = list(map(self.keys, texts)), self.memo
-        found = set().union(*keys)
-        ids = {k: memo[k] for k in found if k in memo}  # before new ones push old ones out
-        for k in sorted(found.difference(ids)):
-            ids[k] = memo[k]
-        return [b"".join(map(ids.__getitem__, own)) for own in keys]
+        plain = [i for i, t in enumerate(texts) if t and not self.shows_marks(t)]
+        rest = [i for i, t in enumerate(texts) if t and self.shows_marks(t)]
+        parts = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        shown = pa.array([self.keys(texts[i]) for i in rest], pa.list_(pa.large_string()))
+        every = pa.concat_arrays([parts.flatten(), shown.flatten()]).dictionary_encode()
+        found = pa.array(self.segments(every.dictionary.to_pylist()), pa.large_binary()).take(every.indices)
+        ends = np.cumsum(np.concatenate([[0], pc.list_value_length(parts).to_numpy(), pc.list_value_length(shown).to_numpy()]))
+        at = np.frombuffer(found.buffers()[1], np.int64)[ends].tolist() if len(found) else []
+        data, out = found.buffers()[2], [b""] * len(texts)
+        for i, lo, hi in zip([*plain, *rest], at, at[1:]):
+            out[i] = data[lo:hi].to_pybytes()
+        return out
+
+    def segments(self, keys: list[str]) -> list[bytes]:
+        """Ids of each of the different ``keys``."""
+        memo, split, need = self.memo, {}, {}
+        known, old, search = memo.get, memo.old, self.apart.search
+        ids = list(map(known, keys))
+        for i, k in enumerate(keys):
+            if ids[i] is None:
+                if k in old:
+                    ids[i] = memo.keep(k, old.pop(k))
+                else:
+                    own = k if k[0] == MARK else MARK + k
+                    if k is own or search(k):  # a word and the same word that shows its mark are two keys
+                        split[i] = self.apart.split(own)
+                    else:
+                        need[own] = i
+        for parts in split.values():
+            for part in parts:
+                need.setdefault(part, -1)
+        for own, packed in self.short(sorted(need)):
+            i, need[own] = need[own], packed
+            if i >= 0:
+                ids[i] = memo.keep(keys[i], packed)
+        for i, parts in split.items():
+            ids[i] = b"".join([need[p] for p in parts])
+            if keys[i][0] == MARK:
+                memo.keep(keys[i], ids[i])
+        return ids
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed([text])[0], "<i4").tolist()
@@ -231,14 +319,14 @@ class Codec:
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[tuple[int, int], Codec] = {}
 
 
-def codec_for(model: dict) -> Codec:
-    """One codec per vocabulary and worker process; tasks empty its memos when they end."""
-    key = hash(tuple(model["pieces"]))
+def codec_for(model: dict, memo: int = 100_000) -> Codec:
+    """One codec per vocabulary, size of memo and worker process; tasks empty its memos when they end."""
+    key = hash(tuple(model["pieces"])), memo
     if key not in _CODECS:
-        _CODECS[key] = Codec(model)
+        _CODECS[key] = Codec(model, memo)
     return _CODECS[key]
 
 
@@ -287,7 +375,7 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     def kernel():
         from aerolith.llm.sentencepiece_codec import codec_for
 
-        codec = codec_for(model)
+        codec = codec_for(model, 200_000)
 
         def step(cols):
             n, digest, back, same = [], [], [], []

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -126,3 +127,16 @@ def test_codec_tables(spark):
     assert all(r.round_trip for r in round_trip(awkward(spark), PIECES).collect())
     assert not round_trip(docs(spark, [(1, "a▁b")]), PIECES).first().round_trip
     assert encode(empty(spark), PIECES).count() == 0
+
+
+def test_words_are_looked_up_once_a_batch(codec):
+    lib, fresh = sentencepiece.SentencePieceProcessor(model_file=PIECES), Codec(read_model(PIECES), memo=40)
+    texts = [f"word{i} of\tmany\nlines\n\nand words{i % 7}  {chr(0x2581)} x{'long' * 60} {i}" if i % 3 else f"plain words{i % 9}\nword{i} é日本😀" for i in range(90)]
+    texts += ["", " ", "\n", "a", " a", "a ", "\n\n a\r"]
+    asked, short = [], fresh.short
+    fresh.short = lambda parts: asked.extend(parts) or short(parts)
+    for at in range(0, len(texts), 20):
+        got = fresh.encode_packed(texts[at : at + 20])
+        assert [np.frombuffer(p, "<i4").tolist() for p in got] == [lib.encode(t) for t in texts[at : at + 20]]
+        assert len(asked) == len(set(asked))
+        asked.clear()
